@@ -20,7 +20,7 @@ _BEFORE_SPACE = re.compile(f"[{SPACE}] ")
 #: str.split() also takes these for white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A stop or comma between a letter and white space is a pre-token of its own.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
+_STOP = re.compile("(?<=[^\\W\\d_\u0130])([.,])(?=\\s|$)")
 #: One word of these is one pre-token that no normalizer recomposes (U+0130 is
 #: left out: lower-casing makes it two characters).
 _LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
