@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .decontamination import OP1_SQL, op1_decontamination
+from .embeddings import op6_embedding_dedup
 from .packing import op7_packing
+from .pii import op9_pii
 from .sharding import op3_sharding
 from .simhash import op4_simhash
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
+    "op9_pii": op9_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
