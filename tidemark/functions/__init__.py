@@ -1 +1 @@
-"""."""
+"""Expressions and constants that the operators share."""

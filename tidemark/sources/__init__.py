@@ -1 +1 @@
-"""."""
+"""Where bars come from and where results go."""
