@@ -16,14 +16,16 @@ from array import array
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = re.compile(f"[^{SPACE}]+")
 _PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_BEFORE_SPACE = re.compile(f"[{SPACE}] ")
-#: str.split() also takes these for white space.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: A stop or comma between a letter and white space is a pre-token of its own.
-_STOP = re.compile("(?<=[^\\W\\d_\u0130])([.,])(?=\\s|$)")
-#: One word of these is one pre-token that no normalizer recomposes (U+0130 is
-#: left out: lower-casing makes it two characters).
-_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+# Texts of Latin characters alone are cut into pre-tokens here, as the files'
+# own patterns do; Unicode's versions agree on these characters. U+0130 is left
+# out: lower-casing makes it two characters.
+_LATIN_TEXT = re.compile("[\\x00-\u012f\u0131-\u024f]*")
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_WORD_TOKENS = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_BYTE_TOKENS = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Pieces kept by one worker (about 200 bytes each), and the longest piece kept.
 CACHE_PIECES = 600_000
@@ -52,30 +54,37 @@ class Encoder:
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.cut, self.lower = _cutter(spec)
+        self.kind = _kind(spec)
         self.cache: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
 
-    def _one(self, piece: str) -> list[int]:
-        """Ids of a piece: straight from the model where it is one pre-token."""
-        if self.lower is not None and len(piece) <= CACHE_CHARS and _LATIN.fullmatch(piece):
-            piece = piece.lower() if self.lower else piece
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            return [t.id for t in self.model.tokenize(mapped)]
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """Pieces to encode one by one, and whether each is a pre-token."""
+        latin = _LATIN_TEXT.fullmatch(text) is not None
+        if self.kind == "words":
+            return (_WORD_TOKENS.findall(text.lower()), True) if latin else (_WORDS.findall(text), False)
+        if self.kind == "bytes":
+            return (_BYTE_TOKENS.findall(text), True) if latin else (_PIECES.findall(text), False)
+        return ([text] if text else []), False
+
+    def _one(self, piece: str, whole: bool) -> list[int]:
+        """Ids of a piece: of a pre-token straight from the model."""
+        if whole:
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         cache, out, long = self.cache, [], []
         for text in texts:
-            pieces = self.cut(text)
+            pieces, whole = self._cut(text)
             found = [cache.get(p) for p in pieces]
             if None in found:
                 for i, (piece, ids) in enumerate(zip(pieces, found, strict=True)):
                     if ids is None:
                         ids = cache.get(piece)
                         if ids is None:
-                            ids = cache[piece] = array("I", self._one(piece)).tobytes()
+                            ids = cache[piece] = array("I", self._one(piece, whole)).tobytes()
                             if len(piece) > CACHE_CHARS:
                                 long.append(piece)
                         found[i] = ids
@@ -88,51 +97,27 @@ class Encoder:
         return out
 
 
-def _cutter(spec: dict):
-    """How texts are cut for a tokenizer file, and whether its words are
-    lower-cased (None: pieces must go through the whole tokenizer)."""
+def _kind(spec: dict) -> str:
+    """How texts may be cut: "words" (lower-cased, white space leaves no id),
+    "bytes" (byte-level pieces with their leading space), else not at all."""
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
-    normalizers = (spec.get("normalizer") or {}).get("normalizers", [])
-    plain_bpe = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
-    drops_space = (
-        steps[0].get("type") == "Split"
-        and steps[0].get("behavior") == "Removed"
+    normalizers = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    model = spec["model"]
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return "whole"
+    if (
+        [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern", {}).get("Regex") == _WORD_PATTERN
         and steps[0].get("invert")
-        and "\\s" in steps[0]["pattern"].get("Regex", "")
-        and [n["type"] for n in normalizers] == ["NFC", "Replace", "Lowercase"]
-    )
-    if drops_space and plain_bpe:
-        return _cut_words, True
-    whole_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-    if whole_bytes and plain_bpe and not spec.get("normalizer"):
-        return _cut_pieces, False
-    return (lambda text: [text] if text else []), None
-
-
-def _cut_words(text: str) -> list[str]:
-    """White space parts the pre-tokens and leaves no id of its own."""
-    if _SEPARATORS.search(text):
-        return _WORDS.findall(text)
-    return _STOP.sub(r" \1", text).split()
-
-
-def _cut_pieces(text: str) -> list[str]:
-    """A pre-token ends before a space that follows something else than white
-    space. Where white space precedes a space, split as the pattern itself does."""
-    if _BEFORE_SPACE.search(text):
-        return _PIECES.findall(text)
-    out = []
-    for piece in text.split(" "):
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
-            out += (" " + piece[:-1], piece[-1])
-        else:
-            out.append(" " + piece)
-    if out[0] == " ":
-        del out[0]
-    else:
-        out[0] = out[0][1:]
-    return out
+        and steps[0].get("behavior") == "Removed"
+        and not steps[1].get("use_regex")
+        and normalizers == ["NFC", "Replace", "Lowercase"]
+    ):
+        return "words"
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        return "bytes"
+    return "whole"
 
 
 _ENCODERS: dict[str, Encoder] = {}
