@@ -32,8 +32,17 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+_LABELLED: dict[tuple[str, str], DataFrame] = {}
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.labelled_bars(spark, sf_dir)
+    """Labelled bars, kept for the session: most queries start from them, and
+    those that join them to themselves would otherwise derive them again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LABELLED:
+        columns = ("symbol", "date", "pos", "open", "close", "volume", "sma_50", "realized_vol_20", "state")
+        _LABELLED[key] = states.labelled_bars(spark, sf_dir).select(*columns).persist()
+    return _LABELLED[key]
 
 
 LAB = (o.BARS, o.INDICATORS, o.LABELLED)
@@ -715,7 +724,18 @@ def _(spark, sf):
     return rounded(backtest.compare_models(labelled(spark, sf)), "total_return", "excess_vs_buy_hold")
 
 
-@register("random_label_backtest")
+SHUFFLED = """
+lab0 AS (SELECT * FROM lab),
+dealt AS (
+  SELECT a.symbol, a.pos, b.state FROM (SELECT symbol, pos, row_number() OVER (PARTITION BY symbol ORDER BY pos) AS k FROM lab0) a
+  JOIN (SELECT symbol, state, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', 7, symbol, pos)), pos) AS k FROM lab0) b ON a.symbol = b.symbol AND a.k = b.k
+), shuf AS (SELECT l.symbol, l.date, l.pos, l.close, d.state FROM lab0 l JOIN dealt d ON l.symbol = d.symbol AND l.pos = d.pos)"""
+
+
+@register(
+    "random_label_backtest",
+    o.query("SELECT * FROM bt_stats", *LAB, SHUFFLED, o.WALKFORWARD.replace("FROM lab", "FROM shuf"), o.WF_ALL, o.TRADED, PERF, recursive=True),
+)
 def _(spark, sf):
     return rounded(backtest.random_label_backtest(labelled(spark, sf)), *PERF_COLUMNS)
 
@@ -731,7 +751,18 @@ def _(spark, sf):
     return rounded(expectancy.sensitivity_summary(backtest.sensitivity_grid(labelled(spark, sf))), *cols)
 
 
-@register("sharpe_lift")
+def _lift_sql() -> str:
+    plain = o.performance("bt", "lab", "trd")
+    gated = o.TRADED.replace("sel_s", "gsel_s").replace("sel AS", "gsel AS").replace("FROM sel ", "FROM gsel ").replace("trd AS", "gtrd AS")
+    gated = gated.replace("AND x IS NOT NULL", "AND x IS NOT NULL AND date IN (SELECT date FROM macro WHERE macro_regime IN (0, 2))")
+    return o.query(
+        """SELECT a.symbol, round(a.s, 6) AS sharpe_all, round(b.s, 6) AS sharpe_filtered, round(b.s - a.s, 6) AS lift, coalesce(b.s - a.s >= 0.2, false) AS passes
+        FROM (SELECT symbol, sharpe AS s FROM bt_b) a JOIN (SELECT symbol, sharpe AS s FROM gt_b) b ON a.symbol = b.symbol""",
+        *LAB, MACRO, o.WALKFORWARD, o.WF_ALL, o.TRADED, plain, gated, o.performance("gt", "lab", "gtrd"), recursive=True,
+    )
+
+
+@register("sharpe_lift", _lift_sql())
 def _(spark, sf):
     df = labelled(spark, sf)
     regime = macro(spark, sf).select("date", regimes.regime_allowed(F.col("macro_regime"), [0, 2]).alias("allowed"))
@@ -938,3 +969,121 @@ def _(spark, sf):
 def _(spark, sf):
     df = add_indicators(bars(spark, sf)).select("symbol", "pos", "return_1d")
     return paths.pause_after(stats.annotate_change_points(df, block=600), "is_changepoint", 5)
+
+
+# Positions and streams
+
+
+def signal_bars(spark, sf):
+    df = labelled(spark, sf).select("symbol", "date", "pos", "close", "state")
+    values = expectancy.walkforward(df).select("symbol", "pos", "ev_after_cost")
+    return df.join(values, ["symbol", "pos"], "left").withColumns({"drift": F.col("pos") % 97 == 0, "macro_ok": F.col("pos") % 31 != 0})
+
+
+@register("paper_trading")
+def _(spark, sf):
+    from ..operators import positions
+
+    return rounded(positions.paper_trade(signal_bars(spark, sf)), "net_return")
+
+
+@register(
+    "paper_positions",
+    # A position opened at p is due at p + 5, when the next one may open: greedy choice with a gap of 5.
+    o.query(
+        """SELECT e.symbol, e.symbol || '-' || e.pos AS position_id, e.date AS entry_date, e.close AS entry_price, x.date AS exit_date, x.close AS exit_price,
+        round(x.close / e.close - 1 - 0.0005, 6) AS net_return FROM psel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos
+        LEFT JOIN sig x ON x.symbol = e.symbol AND x.pos = e.pos + 5""",
+        *LAB, o.WALKFORWARD, o.WF_ALL,
+        "sig AS (SELECT *, lag(ev_after_cost) OVER (PARTITION BY symbol ORDER BY pos) AS ev FROM wf_all)",
+        o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND pos % 97 <> 0 AND pos % 31 <> 0)", 3),
+        recursive=True,
+    ),
+)
+def _(spark, sf):
+    from ..operators import positions
+
+    return rounded(positions.positions_from(positions.paper_trade(signal_bars(spark, sf))), "net_return")
+
+
+@register(
+    "open_position_marks",
+    o.query(
+        """SELECT e.symbol || '-' || e.pos AS position_id, e.symbol, round(l.close / e.close - 1, 6) AS unrealized FROM psel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos
+        JOIN (SELECT symbol, max_by(close, pos) AS close, max(pos) AS pos FROM sig GROUP BY symbol) l ON l.symbol = e.symbol WHERE e.pos + 5 > l.pos""",
+        *LAB, o.WALKFORWARD, o.WF_ALL,
+        "sig AS (SELECT *, lag(ev_after_cost) OVER (PARTITION BY symbol ORDER BY pos) AS ev FROM wf_all)",
+        o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND pos % 97 <> 0 AND pos % 31 <> 0)", 3),
+        recursive=True,
+    ),
+)
+def _(spark, sf):
+    from ..operators import positions
+
+    df = signal_bars(spark, sf)
+    prices = df.groupBy("symbol").agg(F.max_by("close", "pos").alias("price"))
+    return rounded(positions.mark_to_market(positions.positions_from(positions.paper_trade(df)), prices), "unrealized")
+
+
+@register(
+    "streaming_hourly_bars",
+    """SELECT * FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS hour, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+       min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL)
+       WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)""",
+)
+def _(spark, sf):
+    from ..streaming import bars as streams
+
+    bars_ = streams.drained(streams.streaming_hourly_bars(streams.event_stream(spark, sf)), "hourly")
+    return bars_.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@register("streaming_positions")
+def _(spark, sf):
+    """Daily bars written as files and read as a stream; decisions equal a batch run's."""
+    from ..streaming import bars as streams
+
+    folder = f"{streams.shared_folder(spark)}/signal-{abs(hash(sf)) % 10**8}"
+    df = signal_bars(spark, sf).select("symbol", F.col("pos").alias("seq"), "close", "ev_after_cost")
+    df.write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    return rounded(streams.drained(streams.streaming_positions(stream), "positions"), "net_return")
+
+
+# Sorted and limited reports
+
+
+@register("top_states_by_value", o.query(
+    """SELECT symbol, state, n, round(ev, 6) AS ev_after_cost FROM (SELECT symbol, state, count(r) AS n, avg(r) - 0.0005 AS ev FROM fwd WHERE horizon = 5 GROUP BY ALL)
+    WHERE n >= 10 ORDER BY abs(ev) DESC, symbol, state LIMIT 16""", *LAB, o.FORWARD))
+def _(spark, sf):
+    table = expectancy.expectancy(labelled(spark, sf), ["symbol", "state"], (5,)).where("n >= 10")
+    top = table.orderBy(F.abs("ev_after_cost").desc(), "symbol", "state").limit(16)
+    return rounded(top.select("symbol", "state", "n", "ev_after_cost"), "ev_after_cost")
+
+
+@register("dashboard_summary", o.query(
+    """SELECT max_by(m.symbol, m.total_return) AS best_symbol, min_by(m.symbol, m.total_return) AS worst_symbol,
+    count(*) FILTER (m.total_return > h.total_return) AS beats_buy_hold FROM bt_b m JOIN hold h ON m.symbol = h.symbol""",
+    *WF, o.TRADED, PERF, HOLD, recursive=True))
+def _(spark, sf):
+    df = labelled(spark, sf)
+    own = backtest.walkforward_backtest(df)[2].select("symbol", "total_return")
+    held = backtest.buy_and_hold(df).select("symbol", F.col("total_return").alias("held"))
+    both = own.join(held, "symbol")
+    return both.agg(
+        F.max_by("symbol", "total_return").alias("best_symbol"), F.min_by("symbol", "total_return").alias("worst_symbol"),
+        F.count_if(F.col("total_return") > F.col("held")).alias("beats_buy_hold"),
+    )
+
+
+@register("provider_pivot", o.query(
+    """SELECT symbol, round(avg(close) FILTER (p = 'a'), 6) AS a_close, round(avg(volume) FILTER (p = 'a'), 6) AS a_volume,
+    round(avg(close) FILTER (p = 'b'), 6) AS b_close, round(avg(volume) FILTER (p = 'b'), 6) AS b_volume,
+    round(avg(close) FILTER (p = 'b') - avg(close) FILTER (p = 'a'), 6) AS close_delta,
+    round(avg(volume) FILTER (p = 'b') - avg(volume) FILTER (p = 'a'), 6) AS volume_delta
+    FROM (SELECT *, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'b' END AS p FROM bars) GROUP BY symbol""", o.BARS))
+def _(spark, sf):
+    df = bars(spark, sf).withColumn("provider", F.when(F.col("pos") % 2 == 0, "a").otherwise("b"))
+    out = monitoring.provider_pivot(df, "a", "b", ["close", "volume"])
+    return rounded(out, *[c for c in out.columns if c != "symbol"])
