@@ -267,7 +267,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return scored.select(
         "doc_id",
-        held.alias("held_out"),
+        F.coalesce(held, F.lit(False)).alias("held_out"),
         F.col("_score").alias("score"),
         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
     )
