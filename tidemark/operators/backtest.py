@@ -206,21 +206,25 @@ def sensitivity_grid(
     so there is one window for each horizon and lookback; the trade selection
     then runs for all combinations at once, keyed by symbol and parameters."""
     base = labelled.select("symbol", "date", "pos", "close", "state")
-    out = None
+    keys = ("symbol", "horizon", "lookback", "cost_bps", "min_samples")
+    options = [F.struct(F.lit(c).alias("cost_bps"), F.lit(m).alias("min_samples")) for c in costs for m in min_samples]
+    made = None
     for h in horizons:
+        own = None
         for look in lookbacks:
             values = walkforward(base, h, look, 0, 0.0).select("symbol", "pos", "train_count", F.col("ev_after_cost").alias("mean"))
-            grid = [F.struct(F.lit(c).alias("cost_bps"), F.lit(m).alias("min_samples")) for c in costs for m in min_samples]
-            df = base.join(values, ["symbol", "pos"], "left").withColumn("g", F.explode(F.array(*grid)))
-            df = df.withColumns({"cost_bps": F.col("g.cost_bps"), "min_samples": F.col("g.min_samples")}).drop("g")
-            df = df.withColumns({"horizon": F.lit(h), "lookback": F.lit(look)})
-            keys = ("symbol", "horizon", "lookback", "cost_bps", "min_samples")
-            signal = (F.col("train_count") >= F.col("min_samples")) & (F.col("mean") - F.col("cost_bps") / 1e4 > 0) & (F.col("pos") >= h + F.col("min_samples"))
-            made = trades(df, signal, h, 0.0, keys)
-            made = made.withColumn("net_return", F.col("gross_return") - F.col("cost_bps") / 1e4)
-            part = performance(equity_curve(df, made, keys), made, keys)
-            out = part if out is None else out.unionByName(part)
-    return out
+            part = base.join(values, ["symbol", "pos"], "left").withColumn("lookback", F.lit(look))
+            own = part if own is None else own.unionByName(part)
+        own = own.withColumn("g", F.explode(F.array(*options))).select("*", "g.*").drop("g").withColumn("horizon", F.lit(h))
+        enough = (F.col("train_count") >= F.col("min_samples")) & (F.col("pos") >= h + F.col("min_samples"))
+        part = trades(own, enough & (F.col("mean") - F.col("cost_bps") / 1e4 > 0), h, 0.0, keys)
+        made = part if made is None else made.unionByName(part)
+    # The trades are few; equity and statistics of all combinations are one pass.
+    made = made.withColumn("net_return", F.col("gross_return") - F.col("cost_bps") / 1e4).persist()
+    grid = [F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("lookback"), o.alias("o")) for h in horizons for k in lookbacks for o in options]
+    every = base.select("symbol", "date", "pos").withColumn("g", F.explode(F.array(*grid)))
+    every = every.select("symbol", "date", "pos", "g.horizon", "g.lookback", "g.o.*")
+    return performance(equity_curve(every, made, keys), made, keys)
 
 
 def sharpe_lift(labelled: DataFrame, mask: str, required: float = 0.2, **options) -> DataFrame:
