@@ -186,7 +186,7 @@ def fit(sample: list[tuple[str, int]]) -> dict:
     both = [halves[0][k] + halves[1][k] for k in (0, 1)]
     model["toxic"], model["ordinary"] = dictionaries(*both, (counts[0][0] + counts[1][0], counts[0][1] + counts[1][1]))
     model["level"] = float(np.mean(levels))
-    # Classes weigh as in the sample's population; 0.7 stays a probability.
+    # Probabilities are those of the sample, in which toxic documents are over-represented.
     model["weights"] = [v.tolist() for v in logistic(np.array(x), np.array(y, dtype=float))]
     return model
 
