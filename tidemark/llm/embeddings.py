@@ -157,15 +157,17 @@ def near_vectors(
     small_batches(spark)
     base = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("vector"),
+        # Kept as stored, so that no more bytes are shuffled; the arithmetic is in double.
+        F.col("embedding").alias("vector"),
         F.col("label").alias("label"),
     )
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    wide = F.col("vector").cast("array<double>")
+    squares = F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x)
     sound = (
         F.col("label").isNotNull()
         & F.col("vec_id").isNotNull()
         & (F.size("vector") > 0)
-        & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & (squares > 0)
     )
     usable = base.where(sound)
