@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from tidemark.llm.embeddings import near_vectors, op6_embedding_dedup
 
@@ -59,6 +60,24 @@ def test_recall_and_precision(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_a_hot_group_of_near_copies_loses_no_links(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n, hot, dim = 20_400, 6_800, 64
+    x = rng.normal(size=(n, dim))
+    centre = np.eye(dim)[0]
+    off = x[:hot] - (x[:hot] @ centre)[:, None] * centre
+    x[:hot] = np.sqrt(0.97) * centre + np.sqrt(0.03) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = x.astype(np.float32)[rng.permutation(n)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.93).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    rows = pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "label": np.zeros(n, np.int32)})
+    rows.to_parquet(tmp_path / "hot.parquet")
+    got = near_vectors(spark.read.parquet(str(tmp_path / "hot.parquet"))).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert want.sum() > 4e7 and (got <= want).all()
+    print("recall", got.sum() / want.sum())
+    assert got.sum() >= 0.9999 * want.sum()
+
+
 def test_split_lists_change_nothing(spark):
     rows = spark.createDataFrame(made(300), SCHEMA)
     one = sorted(map(tuple, near_vectors(rows).collect()))

@@ -2,15 +2,17 @@
 
 Equal vectors of a label are merged first. A vector is described by its
 ``prefix`` nearest pivots in order and filed in the inverted list of each.
-Two vectors are candidates when they share at least ``shared`` pivots; cosine
-in double precision then decides. A list is compared block against block with
-matrix products, and a pair is decided in the first list that both are in,
-so links are counted without being written out; each block writes the number
-of links of its rows and a spanning forest of them.
-
-Pivots are a bounded sample (``max_pivots``, chosen by hash); every vector is
-indexed. Their number follows the square root of the number of vectors, which
-keeps the lists short.
+Two vectors are candidates when they share at least ``shared`` pivots, or one
+that is near to both; cosine in double precision then decides. A list is
+compared block against block with matrix products, and a pair is decided in the
+first list that both are in, so links are counted without being written out;
+each block writes the number of links of its rows and a spanning forest of them.
+
+Pivots are a bounded sample (``max_pivots``, chosen by hash) in which none is
+near another; every vector is indexed. Near means within twice the angle of a
+link, so a group of near copies has one pivot, however large its share of the
+vectors is, and all its members meet in that pivot's list. The number of pivots
+follows the square root of the number of vectors, which keeps the lists short.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import components, materialize, small_batches
-from .simhash import forest
 
 COSINE = 0.93
 PREFIX = 8
@@ -38,11 +39,32 @@ def pivot_count(n: int, max_pivots: int = MAX_PIVOTS) -> int:
     return int(min(max_pivots, max(16, 2 * math.sqrt(n))))
 
 
-def _describe(pivots, prefix: int):
+def near_cosine(cosine: float) -> float:
+    """The cosine of twice the angle whose cosine is ``cosine``: two links of one vector are that close."""
+    return 2 * cosine * cosine - 1 if cosine > 0 else -1.0
+
+
+def apart(candidates: list, count: int, near: float) -> np.ndarray:
+    """The first ``count`` unit vectors of ``candidates`` of which none has a cosine of ``near`` or more with an earlier one."""
+    rows = np.array(candidates, dtype=np.float64)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    kept = np.empty((min(count, len(rows)), rows.shape[1]))
+    n = 0
+    for row in rows:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ row).max() < near:
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
+def _describe(pivots, prefix: int, limit: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pivots.value
         for pdf in batches:
             out = [None] * len(pdf)
+            close = np.zeros(len(pdf), dtype=np.int32)
             lengths = pdf["vector"].map(len).to_numpy()
             for size in np.unique(lengths):
                 at = np.flatnonzero(lengths == size)
@@ -52,35 +74,35 @@ def _describe(pivots, prefix: int):
                 near = rows @ own.T
                 # Nearest first; equal distances in pivot order.
                 order = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
+                close[at] = (np.take_along_axis(near, order, axis=1) >= limit).sum(axis=1)
                 for i, o in zip(at, order, strict=True):
                     out[i] = o.astype(np.int32)
-            yield pd.DataFrame({"id": pdf["id"], "pivots": out})
+            yield pd.DataFrame({"id": pdf["id"], "pivots": out, "close": close})
 
     return run
 
 
-def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, pivot: int, cosine: float, shared: int):
-    """Index pairs (into a, into b) of unit rows that are linked and first share ``pivot``."""
-    width = int(max(pa.max(), pb.max())) + 1
-    ha, hb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-    ha[np.arange(len(a))[:, None], pa] = 1
-    hb[np.arange(len(b))[:, None], pb] = 1
-    i, j = np.nonzero(ha @ hb.T >= shared)
+def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, cosine: float, shared: int):
+    """Index pairs (into a, into b) of unit rows that are linked and first share ``pivot``.
+
+    ``na`` and ``nb`` say how many of a row's pivots (nearest first) are near to it.
+    """
+    near = a @ b.T
+    # The matrix product rounds by block shape; close to the limit the plain sum decides.
+    i, j = np.nonzero(np.abs(near - cosine) < 1e-9)
+    near[i, j] = np.einsum("ij,ij->i", a[i], b[j])
+    i, j = np.nonzero(near >= cosine)
+    same = pa[i][:, :, None] == pb[j][:, None, :]
+    held = same.any(axis=2)
+    place = np.arange(pa.shape[1])
+    close = same & (place < na[i][:, None])[:, :, None] & (place < nb[j][:, None])[:, None, :]
+    candidate = (held.sum(axis=1) >= shared) | close.any(axis=(1, 2))
     # The pair belongs to the smallest pivot that both hold.
-    i, j = i[(first := _smaller(ha, hb, i, j, pivot))], j[first]
-    near = np.einsum("ij,ij->i", a[i], b[j])
-    keep = near >= cosine
+    first = np.where(held, pa[i], np.iinfo(pa.dtype).max).min(axis=1, initial=np.iinfo(pa.dtype).max)
+    keep = candidate & (first == pivot)
     return i[keep], j[keep]
 
 
-def _smaller(ha, hb, i, j, pivot: int) -> np.ndarray:
-    """Pairs that share no pivot below ``pivot``."""
-    if pivot == 0:
-        return np.ones(len(i), dtype=bool)
-    lower = ha[:, :pivot] @ hb[:, :pivot].T
-    return lower[i, j] == 0
-
-
 def _compare(cosine: float, shared: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -99,29 +121,41 @@ def _compare(cosine: float, shared: int):
     return run
 
 
+def _join(links: list[tuple[int, int]], label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Append to ``links`` those links (x, y) that join components, and merge these in ``label``."""
+    while len(x):
+        far = label[x] != label[y]
+        x, y = x[far], y[far]
+        for k in np.unique(label[y], return_index=True)[1].tolist():
+            a, b = label[x[k]], label[y[k]]
+            if a != b:
+                label[label == b] = a
+                links.append((int(x[k]), int(y[k])))
+
+
 def _task(pdf: pd.DataFrame, cosine: float, shared: int) -> Iterator[pd.DataFrame]:
     pivot, i, j = (int(pdf[c].iat[0]) for c in ("pivot", "i", "j"))
     ids, copies, own = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
     rows = np.array(pdf["vector"].tolist(), dtype=np.float64)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     rows = rows / norms
-    held = np.array(pdf["pivots"].tolist(), dtype=np.int64)
+    held, close = np.array(pdf["pivots"].tolist(), dtype=np.int64), pdf["close"].to_numpy()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     number = np.zeros(len(pdf), dtype=np.int64)
-    links: list[tuple[int, int]] = []
+    label, links = np.arange(len(pdf)), []
     for a in range(0, len(left), TILE):
         la = left[a : a + TILE]
         for b in range(0, len(right), TILE):
             lb = right[b : b + TILE]
             if i == j and b < a:
                 continue
-            x, y = _list_links(rows[la], rows[lb], held[la], held[lb], pivot, cosine, shared)
+            x, y = _list_links(rows[la], rows[lb], held[la], held[lb], close[la], close[lb], pivot, cosine, shared)
             x, y = la[x], lb[y]
             if i == j and a == b:
                 x, y = x[x < y], y[x < y]
             np.add.at(number, x, copies[y])
             np.add.at(number, y, copies[x])
-            links = forest(links + list(zip(x.tolist(), y.tolist(), strict=True)))
+            _join(links, label, x, y)
     some = np.flatnonzero(number)
     if len(some):
         # One table for both: a count has no second end.
@@ -185,13 +219,13 @@ def near_vectors(
     pivots: dict[int, list] = {}
     for r in order:
         own = pivots.setdefault(r["size"], [])
-        if len(own) < count:
-            own.append(r["vector"])
+        own.append(r["vector"])
     for r in chosen.groupBy("size").agg(F.min_by("vector", "same").alias("vector")).collect():
         pivots.setdefault(r["size"], [r["vector"]])
-    unit = {s: np.array(v) / np.linalg.norm(np.array(v), axis=1, keepdims=True) for s, v in pivots.items()}
+    near = near_cosine(cosine)
+    unit = {s: apart(v, count, near) for s, v in pivots.items()}
     sent = spark.sparkContext.broadcast(unit)
-    described = reps.select("id", "vector").mapInPandas(_describe(sent, prefix), "id long, pivots array<int>")
+    described = reps.select("id", "vector").mapInPandas(_describe(sent, prefix, near), "id long, pivots array<int>, close int")
     # Rows whose lists are shorter than ``shared`` have too few pivots to share that many.
     shared = max(1, min(shared, prefix, min((len(v) for v in unit.values()), default=1)))
     filed = materialize(reps.join(described, "id").withColumn("size", F.size("vector")), "filed")
@@ -204,7 +238,7 @@ def near_vectors(
     tasks = tasks.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     # Tasks are told apart by their whole key, not by its hash.
     tasks = tasks.withColumn("task", F.concat_ws("|", F.col("label").cast("string"), "size", "pivot", "i", "j"))
-    dealt = tasks.select("task", "pivot", "i", "j", "own", "id", "copies", "pivots", "vector").repartition("task")
+    dealt = tasks.select("task", "pivot", "i", "j", "own", "id", "copies", "pivots", "close", "vector").repartition("task")
     found = dealt.sortWithinPartitions("task").mapInPandas(_compare(cosine, shared), "a long, b long, n long")
     found = materialize(found, "vector-links")
     numbers = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
