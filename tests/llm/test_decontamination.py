@@ -43,6 +43,16 @@ def test_partial_short_and_common_items(spark):
     assert (50, 1, 20, 16) in got and not any(d == 51 for d, *_ in got) and (52, 2, 1, 1) in got
 
 
+def test_texts_that_share_an_id_are_found_apart(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(14)) for name in "abcdefgh"]
+    ids = [1, 1, None, None, None, None, 2, 3]
+    items = list(zip(ids, texts, strict=True)) + [(4, texts[0]), (None, texts[6])]
+    docs = [(k, f"before {text} after") for k, text in enumerate(texts)]
+    docs.append((20, " ".join(texts[:4])))
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(got) == brute(docs, items) and got.count() == len(rows_of(got))
+
+
 def test_odd_rows(spark, odd, nothing, tmp_path):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "short"), (None, "lorem ipsum dolor sit amet")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contained_items(odd, items).collect()}

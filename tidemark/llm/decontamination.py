@@ -58,12 +58,17 @@ def _choose(width: str, make) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, width, shingles, n, missing) and their sketch rows (item_id, width, hash, least)."""
+    """Items (item_id, key, width, shingles, n, missing) and their sketch rows (key, width, hash, least).
+
+    ``key`` names an item's words: texts that share an id are sketched apart,
+    and equal texts of several ids once.
+    """
     base = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     base = base.withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
     base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     base = base.select(
         "item_id",
+        F.xxhash64("w").alias("key"),
         "width",
         F.array_distinct(_choose("width", lambda k: shingle_texts("w", k))).alias("shingles"),
         F.array_distinct(_choose("width", lambda k: shingle_hashes("h", k))).alias("hashes"),
@@ -73,12 +78,13 @@ def item_sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     base = materialize(base, "items")
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     length = (F.floor(largest * (1 - threshold)) + 1 + SPARE).cast("int")
-    rows = base.select("item_id", "width", "n", "missing", length.alias("k"), F.explode("hashes").alias("hash"))
+    texts = base.select("key", "width", "n", "missing", "hashes").distinct()
+    rows = texts.select("key", "width", "n", "missing", length.alias("k"), F.explode("hashes").alias("hash"))
     rows = rows.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("width", "hash")))
-    order = Window.partitionBy("item_id", "width", "n").orderBy("shared", "hash")
+    order = Window.partitionBy("key", "width", "n").orderBy("shared", "hash")
     rows = rows.withColumn("place", F.row_number().over(order)).where("place <= k")
     least = F.greatest(F.least("k", "n") - F.col("missing"), F.lit(1)).alias("least")
-    return base, materialize(rows.select("item_id", "width", "hash", least), "sketches")
+    return base, materialize(rows.select("key", "width", "hash", least), "sketches")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,15 +110,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = slim.select("doc_id", F.lit(0).cast("long").alias("hash")).limit(0).crossJoin(
-            spark.createDataFrame([], "item_id long, least int")
+            spark.createDataFrame([], "key long, least int")
         )
-    found = hits.groupBy("doc_id", "item_id", "least").agg(F.count_distinct("hash").alias("held"))
-    found = materialize(found.where("held >= least").select("doc_id", "item_id").distinct(), "candidates")
+    found = hits.groupBy("doc_id", "key", "least").agg(F.count_distinct("hash").alias("held"))
+    found = materialize(found.where("held >= least").select("doc_id", "key").distinct(), "candidates")
     # Exact: the shingles themselves, of the candidate documents only.
-    named = found.select(F.col("doc_id").alias("found_id"), F.col("item_id").alias("found_item"))
+    named = found.select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"))
     texts = slim.join(named, F.col("doc_id").eqNullSafe(F.col("found_id")))
     texts = texts.withColumn("w", words(F.col("text"))).drop("text")
-    pairs = texts.join(base.drop("hashes"), F.col("item_id").eqNullSafe(F.col("found_item")))
+    pairs = texts.join(base.drop("hashes"), F.col("key") == F.col("found_key"))
     held = _choose("width", lambda k: shingle_texts("w", k))
     pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("shingles", held)))
     pairs = pairs.where(F.col("n_shared") >= F.col("n") - F.col("missing"))
