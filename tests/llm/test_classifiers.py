@@ -88,6 +88,22 @@ def test_toxicity_stage_keeps_columns(spark, tmp_path):
     assert sum(i in ids for i in range(400) if i % 4) >= 297 and sum(i in ids for i in range(0, 400, 4)) <= 3
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in ("on", "er", "ing", "ti")]
+    rows, marks = [], []
+    for i in range(120):
+        toxic = i % 4 == 0
+        words = [*rng.choice(plain, 5000), *(["grumblefoul", "vexatrash"] if toxic else [])]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    assert min(len(t) for _, t in rows) > 20_030
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = {r.doc_id: r._score for r in with_score(docs, labels).collect() if crc32(str(r.doc_id).encode()) % 3 == 1}
+    assert all((p >= 0.7) == (i % 4 == 0) for i, p in held.items()), held
+
+
 def test_typical_parts():
     toxic = [windows(f"plain words here vilething {k}") for k in range(30)]
     ordinary = [windows(f"plain words here {k}") for k in range(90)]

@@ -30,8 +30,6 @@ from .common import small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, at most, by hash order.
 FIT_TOXIC, FIT_ORDINARY = 1200, 2800
-#: Bytes of one fitted document that count.
-FIT_BYTES = 20_000
 REPEAT, LEVEL = 3, 19
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 65_536
 THRESHOLD = 0.7
@@ -162,7 +160,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 def fit(sample: list[tuple[str, int]]) -> dict:
     """The whole classifier from (text, toxic) pairs."""
-    docs = [(windows(t[:FIT_BYTES] if t else t), int(y)) for t, y in sample]
+    return fit_windows([(windows(t), int(y)) for t, y in sample])
+
+
+def fit_windows(docs: list[tuple[list[bytes], int]]) -> dict:
+    """The whole classifier from (distinct windows of a text, toxic) pairs."""
     classes = {y for _, y in docs}
     if classes != {0, 1}:
         return {"constant": float(len(docs) > 0 and classes == {1})}
@@ -211,7 +213,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fit on at most FIT_TOXIC and FIT_ORDINARY labelled rows, the first by a hash of the doc_id.
 
-    Which rows those are is settled on ids alone; only their texts are fetched.
+    Which rows those are is settled on ids alone. Their whole texts are cut into
+    windows by the executors, and only the distinct windows are fetched.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     ids = ids.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -222,9 +225,15 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if not chosen:
         return fit([])
     rows = training_rows(docs, labels, "toxic").where(F.col("doc_id").isin(chosen))
-    rows = rows.select("doc_id", F.substring("text", 1, FIT_BYTES).alias("text"), "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64, r["text"] or ""))
-    return fit([(r["text"], r["label"]) for r in rows])
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(windows)
+
+    found = rows.select("doc_id", cut("text").alias("windows"), "label").collect()
+    fitted = [(r["doc_id"], [bytes(w) for w in r["windows"]], r["label"]) for r in found]
+    fitted.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1]))
+    return fit_windows([(own, label) for _, own, label in fitted])
 
 
 _MEASURES: dict[int, Distance] = {}
