@@ -1,6 +1,7 @@
 """Hand-computed cases, no-lookahead checks and invariants."""
 
 import datetime
+import inspect
 
 import numpy as np
 import pytest
@@ -270,6 +271,23 @@ def test_hidden_regimes_find_planted_ones():
     assert max((path == truth).mean(), (path != truth).mean()) > 0.98
 
 
+def test_hidden_regimes_take_the_best_of_converged_starts(spark, sf, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(m, s, (60, 2)) for m, s in ((0, 1), (0.5, 0.4), (-0.4, 2), (0.5, 0.4), (0, 1))])
+    each = [statistics.fit_hmm(x, 3, starts=1, seed=7 + s)[1] for s in range(10)]
+    best = statistics.fit_hmm(x, 3)[1]
+    assert abs(best - max(each)) < 1e-6 and best >= statistics.fit_hmm(x, 3, rounds=15)[1]
+    more = statistics.fit_hmm(x, 3, rounds=201)[1]
+    assert abs(more - best) < 2e-2
+    assert inspect.signature(statistics.hidden_regimes).parameters["starts"].default == 10
+    assert inspect.signature(statistics.hidden_regimes).parameters["rounds"].default == 200
+    used = []
+    real = statistics.hidden_regimes
+    monkeypatch.setattr(statistics, "hidden_regimes", lambda df, columns, **more: used.append(more) or real(df.limit(0), columns))
+    registry.QUERIES["hidden_regimes"](spark, sf)
+    assert used == [{}]
+
+
 def test_change_points_find_planted_ones():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, s, 120) for s in (0.005, 0.04, 0.005)]) + np.repeat([0, 0.05, 0], 120)

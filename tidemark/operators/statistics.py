@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 # The statistics by name.
 STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
+#: Gain in log-likelihood below which a hidden Markov fit has converged.
+GAIN = 1e-2
 
 
 def _rng(seed: int, name: str) -> np.random.Generator:
@@ -63,48 +65,66 @@ def _log_gauss(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     return -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(axis=2)
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+def _forward_backward(e: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State probabilities (starts, bars, k), expected moves (starts, k, k) and
+    log-likelihoods of several models at once, by scaled recursions.
+
+    ``e`` holds log densities (starts, bars, k), ``pi`` (starts, k), ``a`` (starts, k, k).
+    """
+    top = e.max(axis=2, keepdims=True)
+    # Bars first: each step then works on one block of memory.
+    p = np.ascontiguousarray(np.exp(e - top).swapaxes(0, 1))
+    n = len(p)
+    f, b, scale = np.empty_like(p), np.ones_like(p), np.empty((n, len(pi), 1))
+    now = (pi * p[0])[:, None, :]
+    for t in range(n):
+        if t:
+            now = (now @ a) * p[t][:, None, :]
+        total = now.sum(axis=2, keepdims=True) + 1e-300
+        now = now / total
+        f[t], scale[t] = now[:, 0], total[:, 0]
+    later = np.ones((len(pi), a.shape[1], 1))
+    for t in range(n - 2, -1, -1):
+        later = a @ (later * (p[t + 1] / scale[t + 1])[:, :, None])
+        b[t] = later[:, :, 0]
+    g = f * b
+    g /= g.sum(axis=2, keepdims=True) + 1e-300
+    moves = a * np.einsum("tsi,tsj->sij", f[:-1], b[1:] * p[1:] / scale[1:], optimize=True)
+    return g.swapaxes(0, 1), moves, np.log(scale[:, :, 0]).sum(axis=0) + top[:, :, 0].sum(axis=1)
 
 
 def fit_hmm(x: np.ndarray, k: int = 3, starts: int = 10, rounds: int = 200, seed: int = 7) -> tuple[np.ndarray, float]:
     """Gaussian hidden Markov model with diagonal variances: the best of several
-    Baum-Welch fits, and its Viterbi path."""
+    Baum-Welch fits, and its Viterbi path. A fit ends when a round gains less
+    than ``GAIN`` in log-likelihood; all starts are fitted side by side."""
     if len(x) < 2 * k:
         raise ValueError("too few observations for the number of regimes")
     floor = 1e-3 * x.var(axis=0) + 1e-12
-    best = (-np.inf, None)
-    for s in range(starts):
-        rng = np.random.default_rng(seed + s)
-        mean = x[rng.choice(len(x), k, replace=False)]
-        var, pi, a = np.tile(x.var(axis=0) + floor, (k, 1)), np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1))
-        np.fill_diagonal(a, 0.9)
-        a /= a.sum(axis=1, keepdims=True)
-        before = -np.inf
-        for _ in range(rounds):
-            e, la = _log_gauss(x, mean, var), np.log(a + 1e-300)
-            f, b = np.empty_like(e), np.zeros_like(e)
-            f[0] = np.log(pi + 1e-300) + e[0]
-            for t in range(1, len(x)):
-                f[t] = _lse(f[t - 1][:, None] + la, 0) + e[t]
-            for t in range(len(x) - 2, -1, -1):
-                b[t] = _lse(la + (e[t + 1] + b[t + 1])[None, :], 1)
-            total = float(_lse(f[-1], 0))
-            g = np.exp(f + b - total)
-            xi = np.zeros((k, k))
-            for t in range(len(x) - 1):
-                xi += np.exp(f[t][:, None] + la + (e[t + 1] + b[t + 1])[None, :] - total)
-            w = g.sum(axis=0)[:, None] + 1e-12
-            pi, a = g[0] / g[0].sum(), (xi + 1e-12) / (xi + 1e-12).sum(axis=1, keepdims=True)
-            mean = g.T @ x / w
-            var = np.stack([(g[:, [j]] * (x - mean[j]) ** 2).sum(axis=0) / w[j] for j in range(k)]) + floor
-            if abs(total - before) < 1e-4 * max(1.0, abs(total)):
-                break
-            before = total
-        if total > best[0]:
-            best = (total, (pi, a, mean, var))
-    pi, a, mean, var = best[1]
+    mean = np.stack([x[np.random.default_rng(seed + s).choice(len(x), k, replace=False)] for s in range(starts)])
+    var = np.tile(x.var(axis=0) + floor, (starts, k, 1))
+    pi, a = np.full((starts, k), 1 / k), np.full((starts, k, k), 0.1 / max(1, k - 1))
+    a[:, np.arange(k), np.arange(k)] = 0.9
+    a /= a.sum(axis=2, keepdims=True)
+    before, open_ = np.full(starts, -np.inf), np.arange(starts)
+    for _ in range(rounds):
+        e = np.stack([_log_gauss(x, mean[s], var[s]) for s in open_])
+        g, moves, total = _forward_backward(e, pi[open_], a[open_])
+        w = g.sum(axis=1)[:, :, None] + 1e-12
+        pi[open_] = g[:, 0]
+        a[open_] = (moves + 1e-12) / (moves + 1e-12).sum(axis=2, keepdims=True)
+        mean[open_] = g.swapaxes(1, 2) @ x / w
+        for q, s in enumerate(open_):
+            var[s] = np.stack([g[q, :, j] @ (x - mean[s, j]) ** 2 / w[q, j] for j in range(k)]) + floor
+        done = total - before[open_] < GAIN
+        before[open_] = total
+        open_ = open_[~done]
+        if not len(open_):
+            break
+    # Compared by the likelihoods of the models as they ended.
+    e = np.stack([_log_gauss(x, mean[s], var[s]) for s in range(starts)])
+    total = _forward_backward(e, pi, a)[2]
+    s = int(total.argmax())
+    pi, a, mean, var, best = pi[s], a[s], mean[s], var[s], float(total[s])
     e, la = _log_gauss(x, mean, var), np.log(a + 1e-300)
     score, back = np.log(pi + 1e-300) + e[0], np.zeros((len(x), k), dtype=int)
     for t in range(1, len(x)):
@@ -115,10 +135,10 @@ def fit_hmm(x: np.ndarray, k: int = 3, starts: int = 10, rounds: int = 200, seed
     path[-1] = score.argmax()
     for t in range(len(x) - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
-    return path, best[0]
+    return path, best
 
 
-def hidden_regimes(df: DataFrame, columns: list[str], k: int = 3, starts: int = 3, rounds: int = 60, seed: int = 7) -> DataFrame:
+def hidden_regimes(df: DataFrame, columns: list[str], k: int = 3, starts: int = 10, rounds: int = 200, seed: int = 7) -> DataFrame:
     """Regime of every bar with known emissions: (symbol, pos, regime); a symbol with too few gets none."""
     slim = df.select("symbol", "pos", *columns)
 

@@ -961,7 +961,7 @@ def _(spark, sf):
 @register("hidden_regimes")
 def _(spark, sf):
     df = add_indicators(bars(spark, sf)).select("symbol", "pos", "return_1d", "realized_vol_20")
-    found = stats.hidden_regimes(df, ["return_1d", "realized_vol_20"], starts=1, rounds=15)
+    found = stats.hidden_regimes(df, ["return_1d", "realized_vol_20"])
     return stats.name_regimes(df.join(found, ["symbol", "pos"]))
 
 
