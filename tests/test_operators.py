@@ -296,6 +296,29 @@ def test_change_points_find_planted_ones():
     assert statistics.change_points(x[:30]) == []
 
 
+def test_change_points_span_the_whole_series(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 0.01, n) for m, n in ((0, 300), (0.06, 310), (0, 590), (0.06, 290), (0, 20), (0.06, 490))])
+    assert statistics._median_square(x[:301]) == pytest.approx(np.median(((x[:301, None] - x[None, :301]) ** 2)[np.triu_indices(301, 1)]), rel=1e-12)
+    # The optimal segmentation from the full kernel table, nothing pruned.
+    squares = (x[:, None] - x[None, :]) ** 2
+    sums = np.zeros((len(x) + 1, len(x) + 1))
+    sums[1:, 1:] = np.exp(-squares / np.median(squares[np.triu_indices(len(x), 1)])).cumsum(axis=0).cumsum(axis=1)
+    best, last = np.full(len(x) + 1, np.inf), np.zeros(len(x) + 1, dtype=int)
+    best[0] = -3.0
+    for b in range(20, len(x) + 1):
+        a = np.arange(b - 19)
+        cost = best[a] + 3.0 + (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
+        best[b], last[b] = cost.min(), a[cost.argmin()]
+    want, b = [], len(x)
+    while last[b]:
+        want.insert(0, b := int(last[b]))
+    assert [300, 610, 1200, 1490, 1510] == want
+    df = series(spark, [1.0] * len(x), return_1d=x.tolist())
+    got = statistics.annotate_change_points(df).where("is_changepoint").select("pos").collect()
+    assert sorted(r.pos for r in got) == want
+
+
 def test_paper_trading_order(spark):
     n = 12
     df = series(spark, [100.0 + i for i in range(n)], ev_after_cost=[0.01] * n, drift=[i == 1 for i in range(n)], macro_ok=[i != 2 for i in range(n)])

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # The statistics by name.
 STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
@@ -163,34 +163,60 @@ def name_regimes(df: DataFrame, value: str = "return_1d", vol: str = "realized_v
     return means.join(mid, "symbol").select("symbol", "regime", "mean_return", "mean_vol", F.concat_ws("_", side, size).alias("label"))
 
 
+def _ranked_gap(ordered: np.ndarray, rank: int) -> float:
+    """The ``rank``-th smallest (from 1) distance between two of the sorted values, without all the pairs."""
+    at = np.arange(len(ordered))
+
+    def within(gap: float) -> int:
+        return int((np.searchsorted(ordered, ordered + gap, side="right") - at - 1).sum())
+
+    if within(0.0) >= rank:
+        return 0.0
+    low, high = 0.0, 2 * float(ordered[-1] - ordered[0])
+    while low < (middle := (low + high) / 2) < high and high - low > 1e-15 * high:
+        low, high = (low, middle) if within(middle) >= rank else (middle, high)
+    return high
+
+
+def _median_square(x: np.ndarray) -> float:
+    """Median of the squared differences of all pairs."""
+    ordered, pairs = np.sort(x), len(x) * (len(x) - 1) // 2
+    one = _ranked_gap(ordered, (pairs + 1) // 2)
+    two = one if pairs % 2 else _ranked_gap(ordered, pairs // 2 + 1)
+    return (one * one + two * two) / 2
+
+
 def change_points(x: np.ndarray, min_size: int = 20, penalty: float = 3.0) -> list[int]:
     """Penalised optimal segmentation with a Gaussian kernel cost (width from the
-    median distance), pruned; the first positions of new segments."""
+    median distance), pruned; the first positions of new segments.
+
+    The kernel's table is never held: the sums of all segments that end at a
+    position follow from those that end before it and one row of the kernel.
+    """
     n = len(x)
     if n < 2 * min_size:
         return []
-    squares = (x[:, None] - x[None, :]) ** 2
-    middle = np.median(squares[np.triu_indices(n, 1)])
-    sums = np.zeros((n + 1, n + 1))
-    sums[1:, 1:] = np.exp(-squares / (middle if middle > 0 else 1.0)).cumsum(axis=0).cumsum(axis=1)
-
-    def cost(a, b):
-        inside = sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]
-        return (b - a) - inside / (b - a)
-
-    best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), [0]
+    width = _median_square(x) or 1.0
+    # Kernel sums of the segments from each position to the current one.
+    inside = np.zeros(n)
+    best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.array([0])
     best[0] = -penalty
-    for b in range(min_size, n + 1):
-        starts = np.array([a for a in open_ if b - a >= min_size])
+    for b in range(1, n + 1):
+        # Only segments from an open start, or from a later position, are asked for again.
+        first = int(open_[0]) if len(open_) else max(0, b - 1)
+        row = np.exp(-((x[first:b] - x[b - 1]) ** 2) / width)
+        inside[first:b] += 2 * row[::-1].cumsum()[::-1] - 1
+        if b < min_size:
+            continue
+        ready = open_ <= b - min_size
+        starts = open_[ready]
         if len(starts):
-            inside = sums[b, b] - sums[starts, b] - sums[b, starts] + sums[starts, starts]
-            values = best[starts] + (b - starts) - inside / (b - starts)
+            values = best[starts] + (b - starts) - inside[starts] / (b - starts)
             i = int(values.argmin())
             best[b], last[b] = values[i] + penalty, starts[i]
-            gone = set(starts[values > best[b]].tolist())
-            open_ = [a for a in open_ if a not in gone]
-        if b >= min_size and np.isfinite(best[b]):
-            open_.append(b)
+            open_ = np.concatenate([starts[values <= best[b]], open_[~ready]])
+        if np.isfinite(best[b]):
+            open_ = np.append(open_, b)
     found, b = [], n
     while last[b] > 0:
         b = int(last[b])
@@ -198,12 +224,9 @@ def change_points(x: np.ndarray, min_size: int = 20, penalty: float = 3.0) -> li
     return found[::-1]
 
 
-def annotate_change_points(df: DataFrame, value: str = "return_1d", min_size: int = 20, penalty: float = 3.0, block: int = 1500) -> DataFrame:
-    """(symbol, pos, is_changepoint): series are cut into blocks of ``block``
-    known values, since the kernel's table grows with their square."""
-    known = df.where(F.col(value).isNotNull())
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy("pos")) - 1
-    cut = known.select("symbol", "pos", F.col(value).cast("double").alias("v"), F.floor(k / block).alias("block"))
+def annotate_change_points(df: DataFrame, value: str = "return_1d", min_size: int = 20, penalty: float = 3.0) -> DataFrame:
+    """(symbol, pos, is_changepoint) of the known values; each symbol's series is segmented as a whole."""
+    known = df.where(F.col(value).isNotNull()).select("symbol", "pos", F.col(value).cast("double").alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -211,4 +234,4 @@ def annotate_change_points(df: DataFrame, value: str = "return_1d", min_size: in
         flag[change_points(pdf["v"].to_numpy(), min_size, penalty)] = True
         return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "is_changepoint": flag})
 
-    return cut.groupBy("symbol", "block").applyInPandas(run, "symbol string, pos int, is_changepoint boolean")
+    return known.groupBy("symbol").applyInPandas(run, "symbol string, pos int, is_changepoint boolean")

@@ -968,7 +968,7 @@ def _(spark, sf):
 @register("change_points")
 def _(spark, sf):
     df = add_indicators(bars(spark, sf)).select("symbol", "pos", "return_1d")
-    return paths.pause_after(stats.annotate_change_points(df, block=600), "is_changepoint", 5)
+    return paths.pause_after(stats.annotate_change_points(df), "is_changepoint", 5)
 
 
 # Positions and streams
