@@ -263,6 +263,13 @@ def test_bootstrap(spark):
         statistics.bootstrap(df, "r", statistic="mode")
 
 
+def test_bootstrap_mean_draws_all_resamples(spark, sf, monkeypatch):
+    drawn, real = [], statistics.bootstrap
+    monkeypatch.setattr(statistics, "bootstrap", lambda df, value, **more: drawn.append(more.get("n", inspect.signature(real).parameters["n"].default)) or real(df, value, **more))
+    registry.QUERIES["bootstrap_mean"](spark, sf)
+    assert drawn == [2000]
+
+
 def test_hidden_regimes_find_planted_ones():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(m, 0.3, (80, 2)) for m in (-2, 2, -2, 2)])

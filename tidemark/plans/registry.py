@@ -955,7 +955,7 @@ def _(spark, sf):
 
 @register("bootstrap_mean")
 def _(spark, sf):
-    return rounded(stats.bootstrap(add_indicators(bars(spark, sf)), "return_1d", n=500), "estimate", "low", "high")
+    return rounded(stats.bootstrap(add_indicators(bars(spark, sf)), "return_1d"), "estimate", "low", "high")
 
 
 @register("hidden_regimes")
