@@ -122,6 +122,27 @@ def test_markov_value_by_hand_and_blocks(spark):
         assert one == two
 
 
+def test_forecasts_of_several_steps(spark):
+    rng = np.random.default_rng(12)
+    found = rng.integers(0, 4, 90).tolist()
+    rows = markov.walkforward_forecasts(series(spark, [1.0] * 90, found), 60).collect()
+    got = {(r.pos, r.horizon, r.dst): r.p for r in rows}
+    assert {r.horizon for r in rows} == {1, 5, 10, 20} and {r.pos for r in rows} == set(range(60, 90))
+    for pos in range(60, 90):
+        counts = np.zeros((4, 4))
+        for a, b in zip(found[pos - 60 : pos - 1], found[pos - 59 : pos], strict=True):
+            counts[a, b] += 1
+        for h in (1, 5, 10, 20):
+            want = np.linalg.matrix_power(counts / counts.sum(axis=1, keepdims=True), h)[found[pos]]
+            assert [got.get((pos, h, d), 0.0) for d in range(4)] == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_several_steps_are_registered(spark, sf):
+    one, all_ = (registry.QUERIES[q](spark, sf).toPandas() for q in ("walkforward_forecasts", "walkforward_forecasts_steps"))
+    assert set(all_["horizon"]) == {1, 5, 10, 20}
+    assert sorted(map(tuple, all_[all_["horizon"] == 1].values)) == sorted(map(tuple, one.values))
+
+
 def test_backtest_costs(spark):
     df = series(spark, [100, 100, 110, 110], [1, 0, 0, 0])
     table = spark.createDataFrame([("A", 1, 1.0)], "symbol string, state int, ev_after_cost double")

@@ -129,7 +129,7 @@ def _blocks(df: DataFrame, block: int, overlap: int) -> DataFrame:
     return df.withColumn("block", F.explode(reach)).withColumn("own", F.col("block") == own)
 
 
-def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[int, ...] = (1, 5), n_states: int = N_STATES, block: int = 5000) -> DataFrame:
+def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[int, ...] = (1, 5, 10, 20), n_states: int = N_STATES, block: int = 5000) -> DataFrame:
     """Per bar: state probabilities from the ``lookback`` known states before it.
 
     Returns (symbol, pos, horizon, dst, p) for the states with p > 0. The

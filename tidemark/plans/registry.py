@@ -602,6 +602,12 @@ def _(spark, sf):
     return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252, (1,)), "p")
 
 
+# The reference's four horizons; those of several steps have no SQL form, so that of one step is checked above.
+@register("walkforward_forecasts_steps")
+def _(spark, sf):
+    return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252), "p")
+
+
 @register("walkforward_markov_value")
 def _(spark, sf):
     return rounded(markov.walkforward_markov_value(labelled(spark, sf)), "markov_ev", "coverage", "weighted_samples")
