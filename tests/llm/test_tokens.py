@@ -15,7 +15,6 @@ FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
 def plain(name):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -25,6 +24,8 @@ def test_cached_ids_are_those_of_whole_texts(name, documents):
     signs = " \n\t\x1c\x1f\xa0　 ab'sé1$.,İΣςǺ<|endoftext|>"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     texts += ["", "it's  we'll\n\n x   y 's", "<|endoftext|> a", "a" * 500, " lead", "Trail. "]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", " ", "a ", "\n", "é", "\u0338", "　x"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 8))) for _ in range(1000)]
     texts += [r.text for r in documents.collect()]
     own, want = Encoder(tokenizer_path(name), cache_pieces=500).encode_batch(texts), plain(name)
     assert all(a == want(t).tobytes() for a, t in zip(own, texts, strict=True))
@@ -42,6 +43,24 @@ def test_token_files(spark, sf, documents):
     check_files(op8_token_files(spark, sf).collect(), sorted((r.doc_id, r.text) for r in documents.collect()))
 
 
+def test_files_follow_the_order(spark, documents, monkeypatch):
+    from tidemark.llm import token_files
+
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
+    docs = documents.select("doc_id", "text").union(documents.selectExpr("CAST(17 AS BIGINT)", "text").limit(150))
+    path = new_path(spark, "many")
+    write_tokens(docs, path)
+    assert len({r.f for r in read_tokens(spark, path).selectExpr("_metadata.file_name AS f").distinct().collect()}) > 8
+    encode, start = plain("byte_bpe_50k.json"), 0
+    rows = sorted(token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    want = sorted((r.doc_id, crc32(np.append(encode(r.text), np.uint32(2)).astype("<u4").tobytes())) for r in docs.collect())
+    assert sorted((r.doc_id, r.ids_crc32) for r in rows) == want
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+
+
 def test_token_files_odd_rows(spark, odd, nothing):
     path = new_path(spark, "odd")
     write_tokens(odd, path)
@@ -87,9 +106,25 @@ def test_packing_odd_rows(odd, nothing):
     assert pack_documents(nothing).count() == 0
 
 
+def test_special_strings_in_both_outputs(spark):
+    rows = [(i, t) for i, t in enumerate(["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|endoftext|>" * 3, None, "plain"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(pack_documents(docs, capacity=4).collect(), rows, 4)
+    path = new_path(spark, "special")
+    write_tokens(docs, path)
+    check_files(token_index(spark, path).collect(), rows)
+    assert plain("word_bpe_49k.json")("a <|endoftext|> b").tolist() == [320, 49407, 321]
+
+
+def test_repeated_pieces_without_ids(spark):
+    rows = [(None, "same words here")] * 300 + [(None, None)] * 300 + [(7, "same words here")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(pack_documents(docs, capacity=32).collect(), rows, 32)
+
+
 @pytest.mark.parametrize("low,high", [(600, 1100), (1, 2048), (300, 700), (2048, 2048), (1, 40)])
-def test_plans_hold_every_piece(low, high):
-    lengths = np.random.default_rng(low).integers(low, high + 1, 4000)
+def test_plans_hold_every_piece(low, high, n=4000):
+    lengths = np.random.default_rng(low).integers(low, high + 1, n)
     counts = {int(s): int(n) for s, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
     held, bins = {}, 0
     for content, n in pack_histogram(counts):
@@ -102,3 +137,17 @@ def test_plans_hold_every_piece(low, high):
     for s in sorted(counts, reverse=True):
         plain_fit.place(s, counts[s])
     assert bins <= 1.01 * sum(n for _, n in plain_fit.sequences()) + 1
+
+
+@pytest.mark.parametrize("low,high", [(1, 2048), (600, 1100)])
+def test_plans_of_many_pieces(low, high):
+    test_plans_hold_every_piece(low, high, 400_000)
+
+
+def test_grouping_beats_best_fit_on_narrow_lengths():
+    lengths = np.random.default_rng(3).integers(500, 901, 8000)
+    counts = {int(s): int(n) for s, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plain_fit = Plan(CAPACITY)
+    for s in sorted(counts, reverse=True):
+        plain_fit.place(s, counts[s])
+    assert sum(n for _, n in pack_histogram(counts)) < 0.95 * sum(n for _, n in plain_fit.sequences())

@@ -3,9 +3,11 @@
 Only the histogram of piece lengths (at most ``capacity`` counters) reaches
 the driver. Large lengths are rounded up within groups of equal cardinality;
 a configuration programme over those few sizes is solved by column generation
-and rounded down; actual lengths take the rounded ones' places, but for the
-last of each configuration; what is left, and the small lengths, go longest
-first to the fullest sequence that has room (best fit).
+and rounded down, and actual lengths take the rounded ones' places. What
+rounding leaves is grouped and solved again while that helps; the rest, and the
+small lengths, go longest first to the fullest sequence that has room (best
+fit). Where plain best fit alone needs fewer sequences, as it can on lengths
+with many small ones, its plan is taken.
 All of this works on counts of equal sequences, so its cost does not depend
 on the number of documents. The resulting plan, a bounded table of (length,
 rank) intervals, gives each piece its sequence and offset in parallel.
@@ -13,6 +15,7 @@ rank) intervals, gives each piece its sequence and offset in parallel.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from .tokens import encoder, tokenizer_path
 CAPACITY = 2048
 END_ID = 0
 #: Equal-cardinality groups of large lengths, and what counts as large.
-GROUPS = 64
+GROUPS = 96
 SMALL_SHARE = 0.2
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -94,37 +97,43 @@ class Plan:
         return sorted((c, n) for kinds in self.by_room.values() for c, n in kinds.items())
 
 
-def configurations(sizes: list[int], demand: list[float], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
+def _best_pattern(sizes: list[int], prices: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
+    """The dearest set of at most ``most`` sizes (repeats allowed) that fits: its price and counts.
+
+    Large sizes allow few pieces a sequence, so the knapsack is ``most`` rounds over all capacities at once.
+    """
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(most):
+        more, pick = best.copy(), np.full(capacity + 1, -1)
+        for i, (s, price) in enumerate(zip(sizes, prices, strict=True)):
+            value = best[: capacity + 1 - s] + price
+            better = value > more[s:] + 1e-12
+            more[s:][better], pick[s:][better] = value[better], i
+        best = more
+        picks.append(pick)
+    column, c = np.zeros(len(sizes)), capacity
+    for pick in reversed(picks):
+        i = pick[c]
+        if i >= 0:
+            column[i] += 1
+            c -= sizes[i]
+    return float(best[capacity]), column
+
+
+def configurations(sizes: list[int], demand: list[float], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """Solve min sum x over patterns p with sum x_p p = demand, by column
-    generation: (pattern, x) pairs. Pricing is an unbounded knapsack."""
-    m = len(sizes)
-    basis = np.zeros((m, m))
-    for i, s in enumerate(sizes):
-        basis[i, i] = capacity // s
+    generation: (pattern, x) pairs. ``sizes`` descend. Pricing is a knapsack of
+    ``capacity`` with few pieces; stopping early only makes a plan less tight."""
+    m, most = len(sizes), capacity // sizes[-1]
+    basis = np.diag([float(capacity // s) for s in sizes])
     x = np.array(demand, dtype=float) / np.diag(basis)
-    widths = np.array(sizes)
-    tail = m - np.searchsorted(widths[::-1], np.arange(capacity + 1), side="right")
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        prices = np.ones(m) @ inverse
-        # Sizes descend, so those that fit into c are a tail of the list.
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(widths[-1]), capacity + 1):
-            i = int(tail[c])
-            values = best[c - widths[i:]] + prices[i:]
-            k = int(values.argmax())
-            best[c] = best[c - 1]
-            if values[k] > best[c] + 1e-12:
-                best[c], choice[c] = values[k], i + k
-        if best[capacity] <= 1 + 1e-7:
+    inverse = np.diag(1 / np.diag(basis))
+    for k in range(rounds):
+        if k % 50 == 49:
+            inverse = np.linalg.inv(basis)  # the updates below gather rounding errors
+        value, column = _best_pattern(sizes, inverse.sum(axis=0), capacity, most)
+        if value <= 1 + 1e-6:
             break
-        column, c = np.zeros(m), capacity
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-            else:
-                column[choice[c]] += 1
-                c -= sizes[choice[c]]
         step = inverse @ column
         ratios = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratios))
@@ -132,71 +141,75 @@ def configurations(sizes: list[int], demand: list[float], capacity: int, rounds:
         x = np.maximum(x - theta * step, 0)
         x[out] = theta
         basis[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
     return [(basis[:, i].astype(int), float(x[i])) for i in range(m) if x[i] > 0]
 
 
+def linear_grouping(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """One round of the scheme over large lengths: sequences, and the lengths they leave over.
+
+    Runs of neighbouring lengths of about equal cardinality are groups, and a
+    group's longest length is its size. The programme over the sizes is rounded
+    down, and each slot takes the longest length left of its group.
+    """
+    share, filled = sum(counts.values()) / groups, 0.0
+    members: list[list[list[int]]] = [[]]
+    for s in sorted(counts, reverse=True):
+        if members[-1] and (filled >= share * len(members) or len(counts) <= groups):
+            members.append([])
+        members[-1].append([s, counts[s]])
+        filled += counts[s]
+    demand = [float(sum(n for _, n in g)) for g in members]
+    made = []
+    for pattern, times in configurations([g[0][0] for g in members], demand, capacity):
+        bins = int(times + 1e-6)
+        slots = [g for g, k in enumerate(pattern) for _ in range(k)]
+        while bins:
+            # As many equal sequences at once as the lengths at the heads of the groups allow.
+            heads: dict[int, int] = {}
+            for g in slots:
+                heads[g] = heads.get(g, 0) + 1
+            run = min([bins, *(members[g][0][1] // k for g, k in heads.items() if members[g])])
+            content = []
+            for g in slots:
+                if members[g]:
+                    content.append(members[g][0][0])
+                    members[g][0][1] -= max(run, 1)
+                    if not members[g][0][1]:
+                        members[g].pop(0)
+            if not content:
+                break
+            made.append((tuple(content), max(run, 1)))
+            bins -= max(run, 1)
+    return made, {s: n for g in members for s, n in g}
+
+
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such) that hold exactly ``counts`` (length to number)."""
-    plan = Plan(capacity)
+    """Sequences as (lengths in order, how many such) that hold exactly ``counts`` (length to number).
+
+    Linear grouping and plain best fit are both tried on the counts; the plan
+    with fewer sequences is taken, the grouping's on a tie.
+    """
     left = {s: n for s, n in counts.items() if n}
-    if capacity in left:
-        plan.add((capacity,), left.pop(capacity))
-    large = sorted((s for s in left if s > SMALL_SHARE * capacity), reverse=True)
-    total = sum(left[s] for s in large)
-    if len(large) > 1:
-        # Runs of lengths, longest first; a group takes its longest length as its size.
-        share, filled = total / groups, 0.0
-        members: list[list[list[int]]] = [[]]
-        for s in large:
-            if members[-1] and (filled >= share * len(members) or len(large) <= groups):
-                members.append([])
-            members[-1].append([s, left[s]])
-            filled += left[s]
-        sizes = [g[0][0] for g in members]
-        demand = [float(sum(n for _, n in g)) for g in members]
-        for pattern, times in configurations(sizes, demand, capacity):
-            bins = int(times + 1e-6)
-            slots = [g for g, k in enumerate(pattern) for _ in range(k)]
-            if len(slots) > 1:
-                slots.pop()  # best fit chooses the last by actual lengths, which the rounding blurs
-            while bins > 0:
-                content, run = [], bins
-                need: dict[tuple[int, int], int] = {}
-                for g in slots:
-                    group = members[g]
-                    while group and not group[0][1]:
-                        group.pop(0)
-                    if group:
-                        content.append(group[0][0])
-                        need[g, group[0][0]] = need.get((g, group[0][0]), 0) + 1
-                if not content:
-                    break
-                for (g, _), k in need.items():
-                    run = min(run, members[g][0][1] // k)
-                if run == 0:
-                    # Too few of a length for all its slots: fill one sequence piece by piece.
-                    content, run = [], 1
-                    for g in slots:
-                        group = members[g]
-                        while group and not group[0][1]:
-                            group.pop(0)
-                        if group:
-                            content.append(group[0][0])
-                            group[0][1] -= 1
-                else:
-                    for (g, _), k in need.items():
-                        members[g][0][1] -= k * run
-                plan.add(tuple(content), run)
-                bins -= run
-        for s in large:
-            del left[s]
-        for group in members:
-            for s, n in group:
-                if n:
-                    left[s] = left.get(s, 0) + n
-    for s in sorted(left, reverse=True):
-        plan.place(s, left[s])
-    return plan.sequences()
+    large = {s: n for s, n in left.items() if SMALL_SHARE * capacity < s < capacity}
+    plans = []
+    for parts in (groups, 0) if len(large) > 1 else (0,):
+        plan, rest = Plan(capacity), dict(left)
+        if capacity in rest:
+            plan.add((capacity,), rest.pop(capacity))
+        own, before = dict(large), math.inf
+        while parts and len(own) > 1 and sum(own.values()) < before / 2:
+            before = sum(own.values())
+            made, own = linear_grouping(own, capacity, parts)
+            for content, n in made:
+                plan.add(content, n)
+        rest |= {s: own.get(s, 0) for s in large} if parts else {}
+        for s in sorted(rest, reverse=True):
+            plan.place(s, rest[s])
+        plans.append(plan.sequences())
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def plan_table(sequences: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
@@ -242,7 +255,10 @@ def pack_documents(
     end id alone). Longer ones than ``capacity`` are cut into full pieces and a
     rest. Returns per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id (gapless from 0), offset. Repeated rows and repeated or null
-    doc_ids are packed as rows of their own. An empty table gives no rows.
+    doc_ids are packed as rows of their own; pieces of equal length may take
+    one another's places from run to run. Very long texts are cut like any
+    other. Other columns, whatever their names, are ignored. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -252,8 +268,11 @@ def pack_documents(
     table = plan_table(pack_histogram(counts, capacity, groups))
     plan = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in table.columns))
     buckets = bucket_count(max(counts.values(), default=0))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    ranked = bucketed_rank(keyed, ["length"], "_b", ["doc_id", "piece", "ids_crc32"], "rank").drop("_b")
+    # Pieces are told apart by their place in the written table, so no key, however hot, is one bucket.
+    place = ["_file", "_row"]
+    keyed = pieces.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64(*place), F.lit(buckets)))
+    ranked = bucketed_rank(keyed, ["length"], "_b", place, "rank").drop("_b", *place)
     return ranked.mapInPandas(
         _assign(plan),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
@@ -265,5 +284,9 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack whatever documents are left; one row per piece."""
+    """Pack whatever documents are left, as :func:`pack_documents` does: one row per piece.
+
+    Null and empty texts are a piece of one id, repeated rows are packed each,
+    very long texts are cut; an empty table gives no rows.
+    """
     return pack_documents(docs)

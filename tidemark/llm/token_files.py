@@ -8,6 +8,7 @@ A document's place in the corpus (``start``) follows from the files' totals.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
+#: Text bytes (and a row's overhead) of a file at most; of a few tasks' work at least, while there are cores for it.
+FILE_BYTES, LEAST_BYTES, ROW_BYTES = 128 << 20, 8 << 20, 64
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -43,12 +46,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     """Encode every whole text of ``docs`` (doc_id, text) and write the files.
 
     A null or empty text is the end id alone. Rows with a null doc_id come
-    first; repeated doc_ids stay as rows, ordered by text. Files are contiguous
-    doc_id ranges; one document's ids are never split over files.
+    first; repeated doc_ids stay as rows, in the order of a hash of their texts,
+    and may go on in the next file. Files are contiguous ranges in that order,
+    sized by bytes; one document's ids, however many, are never split over
+    files. Other columns are ignored. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    weight = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    least = min(math.ceil(weight / LEAST_BYTES), 2 * spark.sparkContext.defaultParallelism)
+    files = max(1, math.ceil(weight / FILE_BYTES), least)
+    slim = slim.withColumn("h", F.xxhash64("text"))
+    dealt = slim.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     (
         dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("compression", "zstd")
@@ -94,9 +104,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = materialize(
         rows.mapInArrow(_checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "token-index"
     )
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("first"))
-    # One row a file: files are doc_id ranges, so their first ids order them.
-    earlier = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    # One row a file: files are numbered in the order of their ranges.
+    number = F.regexp_extract("file", "part-([0-9]+)-[^/]*$", 1).cast("long")
+    earlier = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))

@@ -3,7 +3,9 @@
 Encoding a corpus text by text repeats the work for every common word. The
 pre-tokenizers of the supported files never join characters across certain
 places, so a text is cut there and each piece's ids are kept, packed, in a
-bounded cache. The ids are those of encoding the whole text.
+bounded cache. The ids are those of encoding the whole text: the string of an
+added token (such as an end mark) in a text becomes that token, as the library
+does by default, and parts a text.
 """
 
 from __future__ import annotations
@@ -49,12 +51,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or []):
+            self.kind = "whole"  # their places depend on more than the string
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.cache: dict[str, bytes] = {}
         self.cache_pieces = cache_pieces
 
@@ -75,6 +81,19 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
+        if self.marks is None or self.kind == "whole":
+            return self._encode_plain(texts)
+        cut = [self.marks.split(t) for t in texts]
+        if all(len(parts) == 1 for parts in cut):
+            return self._encode_plain(texts)
+        plain = iter(self._encode_plain([p for parts in cut for p in parts[::2]]))
+        out = []
+        for parts in cut:
+            marks = [array("I", [self.added[m]]).tobytes() for m in parts[1::2]]
+            out.append(b"".join(next(plain) if i % 2 == 0 else marks[i // 2] for i in range(len(parts))))
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         cache, out, long = self.cache, [], []
         for text in texts:
             pieces, whole = self._cut(text)
