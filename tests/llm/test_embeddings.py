@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from tidemark.llm.embeddings import near_vectors, op6_embedding_dedup
+from tidemark.llm.embeddings import agreement, near_vectors, op6_embedding_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -78,6 +78,18 @@ def test_a_hot_group_of_near_copies_loses_no_links(spark, tmp_path):
     assert got.sum() >= 0.9999 * want.sum()
 
 
+def test_repeated_ids_with_unlike_vectors_are_rows_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (2, [5.0, -5.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False)]
+
+
+def test_the_order_of_pivots_counts():
+    a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]])
+    b = np.array([[1, 2, 3, 4], [4, 3, 2, 1], [1, 8, 9, 7]])
+    assert agreement(a, b).tolist() == [4.0, 2.0, 1.0]
+
+
 def test_split_lists_change_nothing(spark):
     rows = spark.createDataFrame(made(300), SCHEMA)
     one = sorted(map(tuple, near_vectors(rows).collect()))

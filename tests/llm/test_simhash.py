@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from tidemark.llm.simhash import SEED, fingerprint_links, forest, link_large, link_small, op4_simhash, simhash_components, simhash_stage
+from tidemark.llm.simhash import SEED, bucket_masks, finer_masks, fingerprint_links, forest, link_large, link_small, op4_simhash, simhash_components, simhash_stage
 
 
 def brute_fingerprint(text):
@@ -58,14 +58,26 @@ def test_bit_sliced_comparison():
     assert len(found) == len(forest(sorted(truth)))  # both are spanning forests of the same graph
 
 
-def test_split_buckets_lose_no_link(spark):
-    prints = clouds(60)
+def test_hot_buckets_are_filed_again_and_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    # Most fingerprints share their top 40 bits, so several first buckets are hot.
+    low = sorted({int(x) for x in rng.integers(0, 2**24, 400)} | {int(x) ^ 5 for x in rng.integers(0, 2**24, 50)})
+    prints = sorted({(0xABCDE12345 << 24) | x for x in low} | {((0xABCDE12345 << 24) | x) ^ 3 for x in low[::3]} | set(clouds(60)))
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     table = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
-    links = [(r.a, r.b) for r in fingerprint_links(table, bucket_rows=2).collect()]
     label = brute_components(dict(enumerate(prints)))
-    assert len(forest(links)) == len(prints) - len(set(label.values()))
-    assert all(label[a] == label[b] for a, b in links)
+    for rows in (2, 50):
+        links = [(r.a, r.b) for r in fingerprint_links(table, bucket_rows=rows).collect()]
+        assert len(forest(links)) == len(prints) - len(set(label.values()))
+        assert all(label[a] == label[b] for a, b in links)
+
+
+def test_finer_masks_split_what_is_left():
+    for mask in bucket_masks(1000):
+        masks = finer_masks(mask)
+        assert all(m & mask == mask for m in masks)
+        own = [m ^ mask for m in masks]
+        assert sum(own) == 2**64 - 1 - mask and all(a & b == 0 for i, a in enumerate(own) for b in own[:i])
 
 
 def test_odd_rows(spark, odd, nothing):
@@ -73,5 +85,7 @@ def test_odd_rows(spark, odd, nothing):
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (None, None)} <= got
     assert simhash_components(odd).count() == odd.count()
     kept = simhash_stage(spark, odd, "").collect()
-    assert sorted(r.doc_id or 0 for r in kept if r.doc_id not in (4, 7, 8, 9)) == [0, 1, 5, 5]
+    assert sorted(r.doc_id or 0 for r in kept if r.doc_id not in (4, 7, 8, 9)) == [0, 1, 5]
+    assert simhash_stage(spark, odd, "").columns == odd.columns
+    assert simhash_stage(spark, nothing, "").count() == 0
     assert simhash_components(nothing).count() == 0

@@ -1,18 +1,22 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Equal vectors of a label are merged first. A vector is described by its
-``prefix`` nearest pivots in order and filed in the inverted list of each.
-Two vectors are candidates when they share at least ``shared`` pivots, or one
-that is near to both; cosine in double precision then decides. A list is
-compared block against block with matrix products, and a pair is decided in the
-first list that both are in, so links are counted without being written out;
-each block writes the number of links of its rows and a spanning forest of them.
-
-Pivots are a bounded sample (``max_pivots``, chosen by hash) in which none is
-near another; every vector is indexed. Near means within twice the angle of a
-link, so a group of near copies has one pivot, however large its share of the
-vectors is, and all its members meet in that pivot's list. The number of pivots
-follows the square root of the number of vectors, which keeps the lists short.
+permutation: its ``prefix`` nearest pivots in order. It is filed in the inverted
+lists of the first ``lists`` of them. Two vectors of one list are candidates by
+their permutations: shared pivots count the more, the nearer their places are,
+and the count must reach ``shared`` pivots at equal places (or the two have a
+pivot in common that is near to both); cosine in double precision then decides.
+A list is compared block against block with matrix products, and a pair is
+decided in the first list that both are in, so links are counted without being
+written out; each block writes the number of links of its rows and a spanning
+forest of them.
+
+Pivots are a sample of 8 sqrt(n) of the n vectors at most, chosen by hash, of
+which up to 2 sqrt(n) are kept so that none is near another; every vector is
+indexed. Near means within twice the angle of a link, so a group of near copies
+has one pivot, however large its share of the vectors is, and all its members
+meet in that pivot's list. Lists thus grow like sqrt(n); one that is longer than
+a block is dealt out as pairs of blocks, which loses nothing.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from .common import components, materialize, small_batches
 
 COSINE = 0.93
 PREFIX = 8
-SHARED = 2
-MAX_PIVOTS = 1024
+LISTS = 4
+SHARED = 1.5
 #: Rows of a list that are compared at once; longer lists are dealt out as pairs of blocks.
 LIST_ROWS = 4096
 TILE = 512
 
 
-def pivot_count(n: int, max_pivots: int = MAX_PIVOTS) -> int:
-    return int(min(max_pivots, max(16, 2 * math.sqrt(n))))
+def pivot_count(n: int) -> int:
+    return int(max(16, 2 * math.sqrt(n)))
 
 
 def near_cosine(cosine: float) -> float:
@@ -82,8 +86,17 @@ def _describe(pivots, prefix: int, limit: float):
     return run
 
 
-def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, cosine: float, shared: int):
-    """Index pairs (into a, into b) of unit rows that are linked and first share ``pivot``.
+def agreement(pa: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """How much the permutations of pairs of rows agree: a shared pivot counts 1 at
+    equal places, and 1 / prefix less for every place between."""
+    n = pa.shape[1]
+    place = np.arange(n)
+    weight = 1 - np.abs(place[:, None] - place[None]) / n
+    return ((pa[:, :, None] == pb[:, None, :]) * weight).sum(axis=(1, 2))
+
+
+def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, cosine: float, shared: float, lists: int):
+    """Index pairs (into a, into b) of unit rows that are linked and first meet in the list of ``pivot``.
 
     ``na`` and ``nb`` say how many of a row's pivots (nearest first) are near to it.
     """
@@ -92,18 +105,18 @@ def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, na
     i, j = np.nonzero(np.abs(near - cosine) < 1e-9)
     near[i, j] = np.einsum("ij,ij->i", a[i], b[j])
     i, j = np.nonzero(near >= cosine)
-    same = pa[i][:, :, None] == pb[j][:, None, :]
-    held = same.any(axis=2)
-    place = np.arange(pa.shape[1])
+    same = pa[i][:, :lists, None] == pb[j][:, None, :lists]
+    place = np.arange(same.shape[1])
     close = same & (place < na[i][:, None])[:, :, None] & (place < nb[j][:, None])[:, None, :]
-    candidate = (held.sum(axis=1) >= shared) | close.any(axis=(1, 2))
-    # The pair belongs to the smallest pivot that both hold.
-    first = np.where(held, pa[i], np.iinfo(pa.dtype).max).min(axis=1, initial=np.iinfo(pa.dtype).max)
+    candidate = close.any(axis=(1, 2)) | (agreement(pa[i], pb[j]) >= shared)
+    # The pair belongs to the smallest pivot in whose list both are.
+    most = np.iinfo(pa.dtype).max
+    first = np.where(same.any(axis=2), pa[i][:, :lists], most).min(axis=1, initial=most)
     keep = candidate & (first == pivot)
     return i[keep], j[keep]
 
 
-def _compare(cosine: float, shared: int):
+def _compare(cosine: float, shared: float, lists: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
@@ -114,9 +127,9 @@ def _compare(cosine: float, shared: int):
             cut = int(new[-1]) if len(new) else 0
             rest = pdf.iloc[cut:]
             for task in np.split(np.arange(cut), new[:-1]) if cut else []:
-                yield from _task(pdf.iloc[task], cosine, shared)
+                yield from _task(pdf.iloc[task], cosine, shared, lists)
         if rest is not None and len(rest):
-            yield from _task(rest, cosine, shared)
+            yield from _task(rest, cosine, shared, lists)
 
     return run
 
@@ -133,7 +146,7 @@ def _join(links: list[tuple[int, int]], label: np.ndarray, x: np.ndarray, y: np.
                 links.append((int(x[k]), int(y[k])))
 
 
-def _task(pdf: pd.DataFrame, cosine: float, shared: int) -> Iterator[pd.DataFrame]:
+def _task(pdf: pd.DataFrame, cosine: float, shared: float, lists: int) -> Iterator[pd.DataFrame]:
     pivot, i, j = (int(pdf[c].iat[0]) for c in ("pivot", "i", "j"))
     ids, copies, own = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
     rows = np.array(pdf["vector"].tolist(), dtype=np.float64)
@@ -149,7 +162,7 @@ def _task(pdf: pd.DataFrame, cosine: float, shared: int) -> Iterator[pd.DataFram
             lb = right[b : b + TILE]
             if i == j and b < a:
                 continue
-            x, y = _list_links(rows[la], rows[lb], held[la], held[lb], close[la], close[lb], pivot, cosine, shared)
+            x, y = _list_links(rows[la], rows[lb], held[la], held[lb], close[la], close[lb], pivot, cosine, shared, lists)
             x, y = la[x], lb[y]
             if i == j and a == b:
                 x, y = x[x < y], y[x < y]
@@ -173,8 +186,8 @@ def near_vectors(
     vectors: DataFrame,
     cosine: float = COSINE,
     prefix: int = PREFIX,
-    shared: int = SHARED,
-    max_pivots: int = MAX_PIVOTS,
+    lists: int = LISTS,
+    shared: float = SHARED,
     list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """Links and components of ``vectors`` (vec_id, embedding, label).
@@ -184,8 +197,10 @@ def near_vectors(
     their labels are equal and not null and their cosine is at least
     ``cosine``. Vectors that are null, empty, zero or hold a null or non-finite
     component link with nothing; neither do vectors of different lengths, nor
-    rows with a null vec_id. A repeated row links its copies. An empty table
-    gives no rows.
+    rows with a null vec_id. A repeated row links its copies; rows that share a
+    vec_id but not the vector are vectors of their own. Ties have no part in
+    it: a pair's cosine alone decides. Other columns, whatever their names, are
+    ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -206,30 +221,29 @@ def near_vectors(
     )
     usable = base.where(sound)
     same = F.xxhash64("label", "vector").alias("same")
-    # One representative of equal vectors; the vector itself breaks hash ties.
-    reps = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps.select("id", "copies", "label", "vector", same), "vectors")
+    # One representative of equal vectors, under a number of its own; rows may share a vec_id.
+    reps = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), "vec_id", "copies", "label", "vector", same)
+    reps = materialize(reps, "vectors")
     member = materialize(
         usable.join(reps.select("label", "vector", "id"), ["label", "vector"]).select("vec_id", "id"), "members"
     )
     n = reps.count()
-    count = pivot_count(n, max_pivots)
+    count = pivot_count(n)
     chosen = reps.withColumn("size", F.size("vector")).select("size", "vector", "same", "id")
-    order = chosen.orderBy("same", "id").limit(4 * count).collect()
     pivots: dict[int, list] = {}
-    for r in order:
-        own = pivots.setdefault(r["size"], [])
-        own.append(r["vector"])
+    for r in chosen.orderBy("same", "vector").limit(4 * count).collect():
+        pivots.setdefault(r["size"], []).append(r["vector"])
     for r in chosen.groupBy("size").agg(F.min_by("vector", "same").alias("vector")).collect():
         pivots.setdefault(r["size"], [r["vector"]])
     near = near_cosine(cosine)
     unit = {s: apart(v, count, near) for s, v in pivots.items()}
     sent = spark.sparkContext.broadcast(unit)
     described = reps.select("id", "vector").mapInPandas(_describe(sent, prefix, near), "id long, pivots array<int>, close int")
-    # Rows whose lists are shorter than ``shared`` have too few pivots to share that many.
-    shared = max(1, min(shared, prefix, min((len(v) for v in unit.values()), default=1)))
-    filed = materialize(reps.join(described, "id").withColumn("size", F.size("vector")), "filed")
-    filed = filed.withColumn("pivot", F.explode("pivots"))
+    # Where there are few pivots, one in common is all there can be.
+    shared = min(shared, 0.5 * min([prefix, *map(len, unit.values())]))
+    filed = materialize(reps.drop("vec_id").join(described, "id").withColumn("size", F.size("vector")), "filed")
+    filed = filed.withColumn("pivot", F.explode(F.slice("pivots", 1, lists)))
     keys = ["label", "size", "pivot"]
     sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     tasks = filed.join(sizes, keys).withColumn("parts", F.ceil(F.col("rows") / list_rows).cast("int"))
@@ -239,16 +253,17 @@ def near_vectors(
     # Tasks are told apart by their whole key, not by its hash.
     tasks = tasks.withColumn("task", F.concat_ws("|", F.col("label").cast("string"), "size", "pivot", "i", "j"))
     dealt = tasks.select("task", "pivot", "i", "j", "own", "id", "copies", "pivots", "close", "vector").repartition("task")
-    found = dealt.sortWithinPartitions("task").mapInPandas(_compare(cosine, shared), "a long, b long, n long")
+    found = dealt.sortWithinPartitions("task").mapInPandas(_compare(cosine, shared, lists), "a long, b long, n long")
     found = materialize(found, "vector-links")
     numbers = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     merged = components(found.where("b IS NOT NULL").select("a", "b"))
-    marked = reps.select("id", "copies").join(numbers, "id", "left")
+    marked = reps.select("id", "vec_id", "copies").join(numbers, "id", "left")
     marked = marked.join(merged, marked["id"] == merged["node"], "left").select(
-        "id",
-        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+        "id", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"
     )
+    marked = materialize(marked, "vector-marks")
+    least = marked.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("least"))
+    marked = marked.join(least, "component", "left").select("id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
     linked = member.join(marked, "id").select("vec_id", "n_links", "component_id")
     alone = base.where(~F.coalesce(sound, F.lit(False))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

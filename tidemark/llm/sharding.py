@@ -1,10 +1,11 @@
 """Proportional stratified interleaving of rows into shards.
 
 Every source's rows are shuffled by a seeded hash and ranked; rank r of n rows
-becomes the fractional rank (2r + 1) / 2n. Ordering all rows by fractional
-rank interleaves the sources in proportion, so any contiguous cut holds the
-corpus mixture to within one row a source. Law ``rows``: shard sizes differ by
-one row at most.
+becomes the fractional rank (r + u) / n, where u in [0, 1) is a hash of the
+source: many small sources, which would else all have a row at 1 / 2n, are
+spread evenly. Ordering all rows by fractional rank interleaves the sources in
+proportion, so any contiguous cut holds the corpus mixture to within a row a
+source. Law ``rows``: shard sizes differ by one row at most.
 
 Both global orders are ranked in buckets (hash range, then fractional-rank
 range), so no source, however hot, is ordered by one task, and no rank is
@@ -27,7 +28,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = SEED, rows_per_b
     text_crc32 (null text: as the empty text), law, shard, slot (0-based place
     in the shard) and grown_shard (null: law ``rows`` gives no such promise).
     Rows are never merged: repeated rows and repeated or null doc_ids are rows
-    of their own; a null source is a stratum. An empty table gives no rows.
+    of their own (which of several equal rows comes first is open); a null
+    source is a stratum. Very long texts count by their bytes. Ties of the hash
+    go by doc_id, checksum and size. An empty table gives no rows.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -49,9 +52,10 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, seed: int = SEED, rows_per_b
     ranked = bucketed_rank(slim, ["source"], "_b", order, "rank")
     sizes = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     ranked = ranked.alias("r").join(sizes.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    fraction = ((F.col("rank") * 2 + 1).cast("double") / (F.col("n_source") * 2)).alias("fraction")
+    shift = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "r.source"), 11) / F.lit(2.0**53)
+    fraction = ((F.col("rank") + shift) / F.col("n_source")).alias("fraction")
     ranked = ranked.select("r.doc_id", "r.source", "size", "text_crc32", "key", fraction)
-    ranked = ranked.withColumn("_b", F.floor(F.col("fraction") * buckets))
+    ranked = ranked.withColumn("_b", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
     ranked = materialize(ranked, "shard-ranks")
     order = ["fraction", "source", F.shiftrightunsigned("key", 1), "key", "doc_id", "text_crc32", "size"]
     placed = bucketed_rank(ranked, [], "_b", order, "position") if n else ranked.withColumn("position", F.lit(0).cast("long"))

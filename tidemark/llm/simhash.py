@@ -7,7 +7,10 @@ under every such choice of ranges and compared inside its buckets only. That
 finds every link. In a bucket the fingerprints are stored as vertical bit
 planes: one XOR handles 64 pairs a word, carry-save counters add the planes
 up, and a block of lanes is abandoned once every lane is past the radius.
-A bucket yields a spanning forest of its links rather than all its pairs.
+A bucket yields a spanning forest of its links rather than all its pairs. One of
+too many fingerprints is filed again under ranges of the bits that it doesn't
+share yet, by the same argument, so a hot bucket costs a few copies of its rows
+and is never compared as a whole.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ RADIUS = 3
 SEED = 42
 #: Lanes that are dropped together (64 words of 64 lanes).
 BLOCK_WORDS = 64
-#: Buckets above this many fingerprints are dealt out as pairs of blocks.
-BUCKET_ROWS = 8192
+#: Buckets above this many fingerprints are filed again under further ranges.
+BUCKET_ROWS = 4096
+#: With so few bits not shared, a bucket of distinct fingerprints is small anyway.
+LAST_BITS = 12
 #: Buckets up to this size are compared many at a time, lane against shifted lane.
 SMALL_BUCKET = 64
 
@@ -204,14 +209,14 @@ def _compare(radius: int):
         for pdf in batches:
             if rest is not None and len(rest):
                 pdf = pd.concat([rest, pdf], ignore_index=True)
-            keys = pdf[["scheme", "key", "i", "j"]].to_numpy()
+            keys = pdf[["mask", "key"]].to_numpy()
             new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             cut = int(new[-1]) if len(new) else 0
             rest = pdf.iloc[cut:]
             if cut:
                 yield _links(pdf.iloc[:cut], new, radius)
         if rest is not None and len(rest):
-            keys = rest[["scheme", "key", "i", "j"]].to_numpy()
+            keys = rest[["mask", "key"]].to_numpy()
             yield _links(rest, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, radius)
 
     return run
@@ -253,24 +258,39 @@ def bucket_masks(n: int, radius: int = RADIUS) -> list[int]:
     return masks
 
 
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """``mask`` with one more range each of the bits outside it: two fingerprints
+    that agree on ``mask`` and are within ``radius`` agree under one of them too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= max(LAST_BITS, radius + 1):
+        return []
+    edges = [round(len(free) * i / (radius + 1)) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints (id long, fp long) within ``radius`` bits."""
-    masks = bucket_masks(fps.count(), radius)
-    keyed = fps.select(
-        "id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("scheme", "key")
-    )
-    sizes = keyed.groupBy("scheme", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
-    keyed = keyed.join(sizes, ["scheme", "key"]).withColumn("parts", parts)
-    # Large buckets: each row goes to every pair of blocks that its own block is in.
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select(
-        "scheme", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp"
-    )
-    keys = ["scheme", "key", "i", "j"]
-    dealt = keyed.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_compare(radius), "a long, b long")
+    waiting, masks, links = fps.select("id", "fp"), bucket_masks(fps.count(), radius), None
+    keys = ["mask", "key"]
+    filed = waiting.select("id", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    while True:
+        filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        finer = {_signed(m): [_signed(x) for x in finer_masks(m, radius)] for m in masks}
+        split = [m for m, more in finer.items() if more]
+        hot = (F.col("n") > bucket_rows) & F.col("mask").isin(split)
+        sizes = materialize(sizes.withColumn("hot", hot), "simhash-buckets")
+        dealt = filed.join(sizes.where("NOT hot").select(*keys), keys)
+        found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(radius), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        again = [r["mask"] for r in sizes.where("hot").select("mask").distinct().collect()]  # masks, not rows
+        if not again:
+            return links
+        into = F.create_map(*[F.lit(x) for m in again for x in (m, finer[m])])
+        # The same wider mask may be reached on two ways.
+        filed = filed.join(sizes.where("hot").select(*keys), keys).select("id", "fp", F.explode(F.element_at(into, F.col("mask"))).alias("mask"))
+        filed = materialize(filed.distinct(), "simhash-hot")
+        masks = sorted({x % (1 << 64) for m in again for x in finer[m]})
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -279,8 +299,11 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, bucket_rows: int =
     Reads doc_id and text; returns doc_id, fp (signed long), component_id (the
     smallest doc_id reachable over links of at most ``radius`` bits). Texts
     without words (null, empty, white space) have fingerprint zero and link
-    like any others. Rows with a null doc_id get a null component_id and link
-    nothing; repeated doc_ids are kept as rows. An empty table gives no rows.
+    like any others; very long texts count whole. Rows with a null doc_id get a
+    null component_id and link nothing. Repeated doc_ids are kept as rows, and
+    the id ties the components of its texts. Components have no ties: the
+    smallest id names them. Other columns, whatever their names, are ignored.
+    An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -309,7 +332,24 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each near-duplicate component."""
+    """Keep one document of each near-duplicate component: the smallest doc_id.
+
+    Where rows share that id, one of those whose text has the smallest hash
+    stays. Null, empty and white-space texts are copies of one another. Rows
+    with a null doc_id link nothing and all stay. Columns of any name pass
+    through; an empty table stays empty.
+    """
     found = simhash_components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    key = docs["doc_id"].cast("long")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("to"))
+    marks = materialize(ids.where("doc_id <> to OR n > 1"), "simhash-marks")
+    once = docs.join(marks, key == marks["doc_id"], "left_anti")
+    repeated = marks.where("doc_id = to").select(F.col("doc_id").alias("id"))
+    if repeated.isEmpty():
+        return once
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.join(repeated, key == repeated["id"], "left_semi").withColumnsRenamed(named)
+    rows = rows.withColumn("own", F.col(named["doc_id"]).cast("long")).withColumn("h", F.xxhash64(named["text"]))
+    first = rows.groupBy(F.col("own").alias("to")).agg(F.min("h").alias("least"))
+    rows = rows.join(first, (F.col("own") == F.col("to")) & (F.col("h") == F.col("least"))).dropDuplicates(["own"])
+    return once.union(rows.select(*[F.col(named[c]).alias(c) for c in docs.columns]))
