@@ -2,12 +2,14 @@
 
 Containment of an item in a document is the share of the item's distinct word
 shingles that the document holds. Items are partitioned by size (powers of
-two). Each is sketched by the first k of its shingles in a fixed hash order,
-rarest among the items first; k follows from its partition's largest size, so
-that a document which reaches the threshold must hold a known number of the
-sketch's shingles. Any document is thus found without comparing it to every
-item, however long it is, and no qualifying pair is lost to chance. The pairs
-found are verified by exact shingle containment.
+two). An item's MinHash sketch is the k of its shingles that have the least
+hash values (bottom-k); k follows from its partition's largest size. As in
+containment MinHash, only the small set is sketched, and the share of a sketch
+that a document holds estimates the containment whatever the document's length.
+k - m of the sketch is asked for, where m is how many shingles a qualifying
+document may lack, so no qualifying pair is lost to chance, and no document is
+compared to every item. The pairs found are verified by exact shingle
+containment.
 
 Everything runs on DataFrame functions.
 """
@@ -15,7 +17,6 @@ Everything runs on DataFrame functions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize
 
@@ -41,8 +42,8 @@ def windows(items: str, width: int, each) -> Column:
 
 
 def shingle_hashes(hashes: str, width: int) -> Column:
-    """Hashes of the shingles of ``width`` words, from the words' own hashes."""
-    return windows(hashes, width, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+    """Hashes of the shingles of ``width`` words, from the width and the words' own hashes."""
+    return windows(hashes, width, lambda i: F.xxhash64(F.lit(width), *[F.get(hashes, i + k) for k in range(width)]))
 
 
 def shingle_texts(tokens: str, width: int) -> Column:
@@ -79,10 +80,9 @@ def item_sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     length = (F.floor(largest * (1 - threshold)) + 1 + SPARE).cast("int")
     texts = base.select("key", "width", "n", "missing", "hashes").distinct()
-    rows = texts.select("key", "width", "n", "missing", length.alias("k"), F.explode("hashes").alias("hash"))
-    rows = rows.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("width", "hash")))
-    order = Window.partitionBy("key", "width", "n").orderBy("shared", "hash")
-    rows = rows.withColumn("place", F.row_number().over(order)).where("place <= k")
+    # The k least hash values of a uniform hash, whatever the order of the shingles.
+    sketch = F.slice(F.array_sort("hashes"), F.lit(1), F.greatest(length, F.lit(1)))
+    rows = texts.select("key", "width", "n", "missing", length.alias("k"), F.explode(sketch).alias("hash"))
     least = F.greatest(F.least("k", "n") - F.col("missing"), F.lit(1)).alias("least")
     return base, materialize(rows.select("key", "width", "hash", least), "sketches")
 
@@ -93,25 +93,23 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     ``docs``: doc_id, text; ``items``: item_id, text. Returns doc_id, item_id,
     n_shingles, n_shared, containment. Shingles are five words; an item of
     fewer words is one shingle of all of them, looked for at that width. Items
-    and documents without words (null, empty, signs only) match nothing. Rows
-    that share an id count as found when one of them is; null ids are kept.
+    and documents without words (null, empty, signs only) match nothing; very
+    long texts are searched whole. Rows that share an id count as found when
+    one of them is; null ids are kept. Of equally contained texts of one
+    item_id the one with more shingles is reported. Other columns, whatever
+    their names, are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     base, sketches = item_sketches(items.select("item_id", "text"), threshold)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     small = sketches.count() <= BROADCAST_ROWS
     widths = sorted(r["width"] for r in sketches.select("width").distinct().collect())  # 1 to 5
+    # One pass over the documents; a hash says how wide its shingle is.
     hashed = slim.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    hits = None
-    for width in widths:
-        own = sketches.where(F.col("width") == width).drop("width")
-        held = hashed.select("doc_id", F.explode(shingle_hashes("h", width)).alias("hash"))
-        part = held.join(F.broadcast(own) if small else own, "hash")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = slim.select("doc_id", F.lit(0).cast("long").alias("hash")).limit(0).crossJoin(
-            spark.createDataFrame([], "key long, least int")
-        )
+    held = F.concat(*[shingle_hashes("h", k) for k in widths]) if widths else F.array().cast("array<bigint>")
+    held = hashed.select("doc_id", F.explode(held).alias("hash"))
+    # Beyond the limit a common passage is a hot key of the documents' side alone, which adaptive execution splits.
+    own = sketches.drop("width")
+    hits = held.join(F.broadcast(own) if small else own, "hash")
     found = hits.groupBy("doc_id", "key", "least").agg(F.count_distinct("hash").alias("held"))
     found = materialize(found.where("held >= least").select("doc_id", "key").distinct(), "candidates")
     # Exact: the shingles themselves, of the candidate documents only.
@@ -165,7 +163,13 @@ FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(round(0.8 * n, 9))
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that contain a benchmark item."""
+    """Drop the documents that contain a benchmark item.
+
+    Null, empty and wordless texts contain nothing and stay. Rows that share a
+    doc_id (null too) are judged together and go when one of them does. Very
+    long texts are searched whole; columns of any name pass through; an empty
+    table stays empty.
+    """
     found = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaky = found.select(F.col("doc_id").alias("leaky_id")).distinct()
-    return docs.join(leaky, F.col("doc_id").eqNullSafe(F.col("leaky_id")), "left_anti").select(*docs.columns)
+    leaky = found.select(F.col("doc_id").alias("leaky")).distinct()
+    return docs.join(leaky, docs["doc_id"].eqNullSafe(leaky["leaky"]), "left_anti")
