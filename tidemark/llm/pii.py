@@ -5,9 +5,11 @@ further candidates (addresses written out, national or 00-prefixed numbers,
 differently separated cards, IPv6). Five labelers vote on every candidate for,
 against or not at all: pattern, checksum, gazetteer, context and boundary.
 Expectation-maximisation over the corpus-wide counts of vote patterns (at most
-4 kinds x 3^5 rows) estimates each labeler's reliability without labels, and a
-logistic span classifier is trained on the resulting posteriors. Candidates it
-accepts are added; base spans always stay.
+4 kinds x 3^5 rows) estimates each labeler's reliability without labels. With
+the resulting posteriors as targets a logistic span classifier is trained on
+the votes and on features of the spans themselves (length, digit groups,
+letters, spaces, a cue close by), again on counts: a table of bounded size.
+Candidates it accepts are added; base spans always stay.
 
 Offsets are in code points. A text's matches are marked with two control
 characters, split there, and their offsets are sums of the pieces' lengths.
@@ -23,10 +25,13 @@ from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "boundary")
+#: Span features and how many values each has.
+FEATURES = {"size": 4, "groups": 6, "letters": 2, "spaces": 2, "near": 2}
 #: Probability from which the classifier adds a candidate.
 ACCEPT = 0.9
 OPEN, CLOSE, PLAIN = "\x01", "\x02", "\x03"
 CONTEXT_CHARS = 40
+NEAR_CHARS = 14
 
 # \G (the end of the previous match) or a run's first character: elsewhere in a
 # run a match would have begun earlier, and trying would take quadratic time.
@@ -171,9 +176,22 @@ def _labels(kind: str, m: Column, strict: bool) -> list[Column]:
     return [v.cast("int").alias(name) for v, name in zip(votes, LABELERS, strict=True)]
 
 
+def _features(kind: str, m: Column) -> list[Column]:
+    """Small whole numbers that describe a match, by the names of FEATURES."""
+    value, n = m["value"], F.length(m["value"])
+    found = {
+        "size": F.when(n <= 8, 0).when(n <= 16, 1).when(n <= 24, 2).otherwise(3),
+        "groups": F.least(F.size(F.array_remove(F.split(value, "[^0-9]+"), "")), F.lit(5)),
+        "letters": value.rlike("[A-Za-z]").cast("int"),
+        "spaces": value.rlike("[ \\t\\n]").cast("int"),
+        "near": F.right(m["before"], F.lit(NEAR_CHARS)).rlike(CUES[kind]).cast("int"),
+    }
+    return [found[name].alias(name) for name in FEATURES]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` (with a text column) and ``_spans``: every candidate span as
-    (start, kind, end, base, votes), by start and kind."""
+    (start, kind, end, base, votes, shape), by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     dirty = (F.instr(text, OPEN) > 0) | (F.instr(text, CLOSE) > 0)
     df = docs.withColumn("_text", F.when(dirty, F.translate(text, OPEN + CLOSE, PLAIN * 2)).otherwise(text))
@@ -193,6 +211,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 m["end"].alias("end"),
                 (_valid(kind, m["value"]) if strict else F.lit(False)).alias("base"),
                 F.struct(*_labels(kind, m, strict)).alias("votes"),
+                F.struct(*_features(kind, m)).alias("shape"),
             ),
         )
 
@@ -200,11 +219,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.drop("_text", *[x[0] for x in found])
 
 
-def vote_counts(spans: DataFrame) -> list[tuple[int, bool, tuple[int, ...], int]]:
-    """(kind, base, votes, count) over the whole corpus: a table of bounded size."""
-    rows = spans.select(F.explode("_spans").alias("s")).select("s.kind", "s.base", "s.votes.*")
-    counted = rows.groupBy("kind", "base", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r["kind"], r["base"], tuple(r[x] for x in LABELERS), r["n"]) for r in counted)
+def vote_counts(spans: DataFrame) -> list[tuple[int, tuple[int, ...], tuple[int, ...], int]]:
+    """(kind, votes, features, count) over the whole corpus: a table of bounded size."""
+    rows = spans.select(F.explode("_spans").alias("s")).select("s.kind", "s.votes.*", "s.shape.*")
+    counted = rows.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["n"]) for r in counted)
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list, list[float]]:
@@ -239,35 +258,44 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100
     return prior, tables, post
 
 
-def classifier(patterns: list[tuple[tuple[int, ...], int]], post: list[float], steps: int = 400) -> list[float]:
-    """Logistic regression of the posteriors on the votes (for, against): bias first."""
-    rows = [([1.0, *[float(v == s) for v in votes for s in (1, -1)]], n, p) for (votes, n), p in zip(patterns, post, strict=True)]
-    total = sum(n for _, n, _ in rows)
-    weights = [0.0] * (1 + 2 * len(LABELERS))
-    if not total:
-        return weights
-    for _ in range(steps):
+def _active(votes: tuple[int, ...], shape: tuple[int, ...]) -> list[int]:
+    """Which of the classifier's 0/1 inputs are 1: the bias, each vote for or against, each feature's value."""
+    out = [0] + [1 + 2 * i + (v < 0) for i, v in enumerate(votes) if v]
+    at = 1 + 2 * len(LABELERS)
+    for value, n in zip(shape, FEATURES.values(), strict=True):
+        out.append(at + value)
+        at += n
+    return out
+
+
+def classifier(rows: list[tuple[tuple[int, ...], tuple[int, ...], int, float]], steps: int = 400) -> list[float]:
+    """Logistic regression of the posteriors on votes and features, from (votes, features, count, posterior)."""
+    weights = [0.0] * (1 + 2 * len(LABELERS) + sum(FEATURES.values()))
+    total = sum(n for _, _, n, _ in rows)
+    active = [(_active(votes, shape), n, p) for votes, shape, n, p in rows]
+    for _ in range(steps if total else 0):
         slope = [0.0] * len(weights)
-        for x, n, p in rows:
-            z = sum(w * v for w, v in zip(weights, x, strict=True))
+        for own, n, p in active:
+            z = sum(weights[i] for i in own)
             miss = n / total * (p - 1 / (1 + math.exp(-max(-50, min(50, z)))))
-            for i, v in enumerate(x):
-                slope[i] += miss * v
-        weights = [w + 2.0 * (s - 1e-4 * w) for w, s in zip(weights, slope, strict=True)]
+            for i in own:
+                slope[i] += miss
+        weights = [w + 1.0 * (s - 1e-4 * w) for w, s in zip(weights, slope, strict=True)]
     return weights
 
 
-def train(counts: list[tuple[int, bool, tuple[int, ...], int]]) -> dict[int, list[float]]:
+def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]]) -> dict[int, list[float]]:
     """The span classifier's weights of each kind."""
     models = {}
     for k in range(len(KINDS)):
+        own = [(votes, shape, n) for kind, votes, shape, n in counts if kind == k]
         merged: dict[tuple[int, ...], int] = {}
-        for kind, _, votes, n in counts:
-            if kind == k:
-                merged[votes] = merged.get(votes, 0) + n
+        for votes, _, n in own:
+            merged[votes] = merged.get(votes, 0) + n
         patterns = sorted(merged.items())
-        _, _, post = reliabilities(patterns) if patterns else (0, [], [])
-        models[k] = classifier(patterns, post)
+        post = reliabilities(patterns)[2] if patterns else []
+        chance = {votes: p for (votes, _), p in zip(patterns, post, strict=True)}
+        models[k] = classifier([(votes, shape, n, chance[votes]) for votes, shape, n in own])
     return models
 
 
@@ -278,6 +306,10 @@ def _accepted(span: Column, models: dict[int, list[float]]) -> Column:
         for i, name in enumerate(LABELERS):
             vote = span["votes"][name]
             score = score + F.when(vote == 1, float(weights[1 + 2 * i])).when(vote == -1, float(weights[2 + 2 * i])).otherwise(0.0)
+        at = 1 + 2 * len(LABELERS)
+        for name, n in FEATURES.items():
+            score = score + F.element_at(F.array(*[F.lit(float(w)) for w in weights[at : at + n]]), span["shape"][name] + 1)
+            at += n
         out = F.when(span["kind"] == k, score >= math.log(ACCEPT / (1 - ACCEPT))).otherwise(out)
     return out
 
@@ -304,7 +336,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256
     and spans ("kind:start:end" by start, comma-joined). A null text is empty
     and has no spans. Rows are treated one by one: repeated rows and repeated
-    or null doc_ids give a row each. An empty table gives no rows.
+    or null doc_ids give a row each. Very long texts are searched whole. Of
+    candidates that overlap each other all accepted ones are listed; none that
+    overlaps a base span is. Other columns, whatever their names, are ignored.
+    An empty table gives no rows.
     """
     slim = candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_spans")
     slim = materialize(slim, "pii-candidates")
@@ -320,10 +355,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in text replaced by [EMAIL], [IP], [CARD] or
     [PHONE]; overlapping spans become one, named after the first. Where there
-    is an n_chars column it is brought up to date for the changed texts."""
+    is an n_chars column it is brought up to date for the changed texts.
+
+    The candidates are found once and written beside the rows. Null and empty
+    texts stay as they are, very long ones are searched whole, repeated rows
+    are treated one by one, columns of any name pass through, and an empty
+    table stays empty."""
     columns = docs.columns
-    models = train(vote_counts(candidates(docs.select("text")).select("_spans")))
-    done = decided(candidates(docs.withColumnsRenamed({c: f"c_{c}" for c in columns if c != "text"})), models)
+    found = candidates(docs.withColumnsRenamed({c: f"c_{c}" for c in columns if c != "text"}))
+    found = materialize(found, "pii-candidates")
+    done = decided(found, train(vote_counts(found)))
     empty = F.slice("_all", 1, 0)
     merged = F.aggregate(
         "_all",
@@ -361,5 +402,5 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redact the personal data in every document."""
+    """Redact the personal data in every document: :func:`redact`, which states the odd cases."""
     return redact(docs)
