@@ -2,10 +2,11 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import zstandard
 
 from tidemark.llm.language import Model, identify, op5_language, trigrams, codes
 from tidemark.llm.quality import op2_quality, quality, statistics
-from tidemark.llm.toxicity import dictionaries, op10_toxicity, part_counts, toxicity_stage, typical_parts, windows, with_score
+from tidemark.llm.toxicity import Distance, dictionaries, features, op10_toxicity, sample, toxicity_stage, windows, with_score
 
 BIG = "/root/testdata/sf0.01"
 
@@ -104,10 +105,39 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     assert all((p >= 0.7) == (i % 4 == 0) for i, p in held.items()), held
 
 
-def test_typical_parts():
-    toxic = [windows(f"plain words here vilething {k}") for k in range(30)]
-    ordinary = [windows(f"plain words here {k}") for k in range(90)]
-    counts = part_counts(toxic), part_counts(ordinary)
-    found = typical_parts(counts[0], 30, counts[1], 90)
-    assert b" vile" in found and b" plai" not in found
-    assert all(dictionaries(toxic, ordinary, counts))
+def test_lengths_are_those_of_zstandard():
+    """Distances and features against the library called directly."""
+    toxic = [windows(f"plain words here vilething {k} and more of it") for k in range(60)]
+    ordinary = [windows(f"plain words here {k} and more of it all") for k in range(180)]
+    bad, plain, level = dictionaries(toxic, ordinary)
+    lengths = []
+    for data in (plain, bad):
+        d = zstandard.ZstdCompressionDict(data)
+        made = zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(level=19)
+        lengths.append({w: len(made.compress(b"".join(bytes([c]) * 3 for c in b" " + w + b" "))) for own in toxic for w in own})
+    own = sorted({w for x in toxic for w in x})
+    want = np.array([lengths[0][w] - lengths[1][w] for w in own], dtype=float)
+    got = Distance(bad, plain).of(own)
+    assert (got == want).all() and got[own.index(b"vilething")] == got.max() > max(level, 0)
+    top = sorted(want)[::-1][:3]
+    assert np.allclose(features(got, level), [*top, np.log1p((want >= level).sum()), np.log1p(len(own))])
+
+
+def test_toxic_recall_in_english(spark):
+    rows = op10_toxicity(spark, "/root/testdata/sf0.1").collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    wrong = sum(r.predicted for r in held if not truth[r.doc_id]) / sum(not truth[r.doc_id] for r in held)
+    own = [r.predicted for r in held if truth[r.doc_id] and lang[r.doc_id] == "en"]
+    # In these tables the marks of the other languages are common in ordinary documents as well.
+    assert wrong <= 0.01 and sum(own) >= 0.8 * len(own), (wrong, sum(own), len(own))
+
+
+def test_repeated_ids_in_the_fit(spark):
+    rows = [(1, f"copy {i} grumblefoul") for i in range(50)] + [(i, f"plain words {i}") for i in range(2, 40)] + [(None, "x")]
+    labels = spark.createDataFrame([(i, int(i == 1 or i % 9 == 0)) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = sample(docs, labels).collect()
+    assert len(own) == len({r.doc_id for r in own}) and with_score(docs, labels).count() == len(rows)

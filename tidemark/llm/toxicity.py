@@ -1,37 +1,42 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on the wording that is typical of
-toxic documents, one on ordinary text. A window (a word with its neighbours'
-spaces, lower-cased) is compressed under both, and the difference of the two
-lengths tells which text it comes from. Windows are a few bytes, so each byte
-is written ``REPEAT`` times: shared strings of four letters then pay for the
-match that replaces them. A document's largest differences, and how many
-windows pass the level that ordinary windows rarely reach, go into a logistic
-calibration.
-
-Labels mark documents, not words. Toxic training text is therefore narrowed to
-words of which a part is over-represented in toxic documents (likelihood
-ratio). Dictionaries and calibration are fitted on a bounded sample of the
-labelled rows; the calibration scores each half under the other half's
-dictionaries.
+Two zstandard dictionaries are trained, one on the text of toxic documents and
+one on ordinary text, each document's windows being a sample. A window (a
+lower-cased word with its neighbours' spaces) is compressed under both, and the
+difference of the two lengths tells which text it comes from. Windows are a few
+bytes, so each byte is written ``REPEAT`` times: shared strings of four letters
+then pay for the match that replaces them. The ordinary dictionary is the
+larger: what a toxic document shares with ordinary text is found in it too.
+
+Labels mark documents, not words. The toxic dictionary is therefore trained a
+second time, on those windows of the toxic documents whose distance under the
+first pair is one that ordinary windows rarely reach (``RARE``). A document's
+largest distances, and how many windows pass such a level, go into a logistic
+calibration. It is fitted on a bounded sample of the labelled rows, and scores
+each third under the other thirds' dictionaries. Windows, dictionaries and
+distances of the sample are made in tasks; the driver gets the dictionaries and
+a few numbers a sampled row.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches, unused
 
 #: Labelled rows of each class that the classifier is fitted on, at most, by hash order.
 FIT_TOXIC, FIT_ORDINARY = 1200, 2800
+FOLDS = 3
 REPEAT, LEVEL = 3, 19
-TOXIC_BYTES, ORDINARY_BYTES = 4096, 65_536
+#: Dictionary sizes (of the toxic one: at first, and trained again), and the lengths of its selected segments.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT = (65_536, 32_768), 262_144, 60
+#: Share of ordinary windows beyond the level that selects windows, and beyond the one that counts them.
+RARE, COUNTED = 1e-3, 5e-4
 THRESHOLD = 0.7
 EDGE = b".,;:!?\"'()[]*#$%&|<>=+-_/"
 CACHE = 400_000
@@ -50,60 +55,39 @@ def windows(text: str | None) -> list[bytes]:
     return sorted(found)
 
 
-def parts(window: bytes) -> set[bytes]:
-    """The window's beginnings, and the whole."""
-    w = b" " + window
-    return {w[:k] for k in range(4, min(len(w), 8) + 1)} | {w + b" "}
-
-
 def stretched(window: bytes) -> bytes:
     return bytes(np.repeat(np.frombuffer(b" " + window + b" ", dtype=np.uint8), REPEAT))
 
 
-def part_counts(docs: list[list[bytes]]) -> Counter:
-    """In how many documents each part occurs."""
-    counts: Counter = Counter()
-    for own in docs:
-        counts.update(set().union(*map(parts, own)))
-    return counts
-
-
-def typical_parts(toxic: Counter, n: int, ordinary: Counter, m: int) -> set[bytes]:
-    """Parts of words whose document frequency is far higher in the n toxic than in the m ordinary documents."""
-
-    def fit(k: float, size: float, q: float) -> float:
-        return (k * math.log(q) if k else 0.0) + ((size - k) * math.log(1 - q) if size > k else 0.0)
-
-    kept = set()
-    for part, a in toxic.items():
-        b = ordinary[part]
-        if a < max(2, 0.004 * n) or a * m <= 20 * n * (b + 0.5):
-            continue
-        p = (a + b) / (n + m)
-        if 2 * (fit(a, n, a / n) + fit(b, m, b / m) - fit(a, n, p) - fit(b, m, p)) > 10.8:
-            kept.add(part)
-    return kept
-
-
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary from ``samples``; too few to train on serve as they are."""
     import zstandard
 
-    grouped = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
+    total = sum(map(len, samples))
+    while size > 1024 and total < 4 * size:
+        size //= 2
     try:
-        return zstandard.train_dictionary(size, grouped, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], counts: tuple[Counter, Counter], seed: int = 7) -> tuple[bytes, bytes]:
-    typical = typical_parts(counts[0], len(toxic), counts[1], len(ordinary))
-    rng = np.random.default_rng(seed)
-    telling = [w for own in toxic for w in own if typical & parts(w)]
-    plain = [w for own in ordinary for w in own]
-    telling = [stretched(telling[i]) for i in rng.permutation(len(telling))[:50_000]]
-    plain = [stretched(plain[i]) for i in rng.permutation(len(plain))[:60_000]]
-    return train_dictionary(telling, TOXIC_BYTES), train_dictionary(plain, ORDINARY_BYTES)
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes, float]:
+    """The toxic and the ordinary dictionary from documents' windows, and the level that few ordinary windows reach."""
+
+    def samples(docs):
+        return [b"".join(map(stretched, own)) for own in docs if own]
+
+    plain = train_dictionary(samples(ordinary), ORDINARY_BYTES)
+    first = Distance(train_dictionary(samples(toxic), TOXIC_BYTES[0]), plain)
+    usual = np.concatenate([first.of(own) for own in ordinary] or [np.zeros(1)])
+    level = max(1.0, float(np.quantile(usual, 1 - RARE)))
+    telling = [w for own in toxic for w, d in zip(own, first.of(own), strict=True) if d >= level]
+    grouped = [b"".join(map(stretched, telling[i : i + 8])) for i in range(0, len(telling), 8)]
+    again = train_dictionary(grouped, TOXIC_BYTES[1])
+    second = Distance(again, plain)
+    usual = np.concatenate([second.of(own) for own in ordinary] or [np.zeros(1)])
+    return again, plain, float(np.quantile(usual, 1 - COUNTED))
 
 
 class Distance:
@@ -158,41 +142,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return centre, scale, w
 
 
-def fit(sample: list[tuple[str, int]]) -> dict:
-    """The whole classifier from (text, toxic) pairs."""
-    return fit_windows([(windows(t), int(y)) for t, y in sample])
-
-
-def fit_windows(docs: list[tuple[list[bytes], int]]) -> dict:
-    """The whole classifier from (distinct windows of a text, toxic) pairs."""
-    classes = {y for _, y in docs}
-    if classes != {0, 1}:
-        return {"constant": float(len(docs) > 0 and classes == {1})}
-    halves = [[[w for k, (w, label) in enumerate(docs) if k % 2 == h and label == c] for c in (1, 0)] for h in (0, 1)]
-    counts = [tuple(part_counts(own) for own in half) for half in halves]
-    x, y = [], []
-    model: dict = {}
-    levels = []
-    for h in (0, 1):
-        if not all(halves[h]):
-            continue
-        measure = Distance(*dictionaries(*halves[h], counts[h]))
-        other = [(w, c) for c, own in zip((1, 0), halves[1 - h], strict=True) for w in own]
-        found = [(measure.of(w), label) for w, label in other]
-        plain = np.concatenate([d for d, label in found if not label] or [np.zeros(1)])
-        levels.append(float(np.quantile(plain, 0.9995)))
-        x += [features(d, levels[-1]) for d, _ in found]
-        y += [label for _, label in found]
-    if not x or len(set(y)) < 2:
-        return {"constant": sum(label for _, label in docs) / len(docs)}
-    both = [halves[0][k] + halves[1][k] for k in (0, 1)]
-    model["toxic"], model["ordinary"] = dictionaries(*both, (counts[0][0] + counts[1][0], counts[0][1] + counts[1][1]))
-    model["level"] = float(np.mean(levels))
-    # Probabilities are those of the sample, in which toxic documents are over-represented.
-    model["weights"] = [v.tolist() for v in logistic(np.array(x), np.array(y, dtype=float))]
-    return model
-
-
 def score(text: str | None, model: dict, measure: Distance | None) -> float:
     if measure is None:
         return model["constant"]
@@ -210,11 +159,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return slim.join(known, "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fit on at most FIT_TOXIC and FIT_ORDINARY labelled rows, the first by a hash of the doc_id.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, fold, label, windows) of at most FIT_TOXIC and FIT_ORDINARY labelled documents.
 
-    Which rows those are is settled on ids alone. Their whole texts are cut into
-    windows by the executors, and only the distinct windows are fetched.
+    They are the first by a hash of the doc_id, settled on ids alone; of rows
+    that share an id the one whose text has the least hash is taken. The
+    windows are those of the whole texts.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     ids = ids.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -222,18 +172,61 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     known = ids.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = [known.where(F.col("label") == c).orderBy("h", "doc_id").limit(n) for c, n in ((1, FIT_TOXIC), (0, FIT_ORDINARY))]
     chosen = [r["doc_id"] for part in chosen for r in part.select("doc_id").collect()]
-    if not chosen:
-        return fit([])
     rows = training_rows(docs, labels, "toxic").where(F.col("doc_id").isin(chosen))
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(windows)
 
-    found = rows.select("doc_id", cut("text").alias("windows"), "label").collect()
-    fitted = [(r["doc_id"], [bytes(w) for w in r["windows"]], r["label"]) for r in found]
-    fitted.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[1]))
-    return fit_windows([(own, label) for _, own, label in fitted])
+    fold = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    return materialize(rows.select("doc_id", fold, "label", cut("text").alias("windows")), "toxicity-sample")
+
+
+def _train_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The dictionaries of one part of the sample: all but one fold, or all."""
+    pdf = pdf.sort_values("doc_id")
+    by = [[[bytes(w) for w in own] for own in pdf.loc[pdf["label"] == c, "windows"]] for c in (1, 0)]
+    toxic, ordinary, level = dictionaries(*by)
+    return pd.DataFrame({"part": [pdf["part"].iat[0]], "toxic": [toxic], "ordinary": [ordinary], "level": [level]})
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """Fit the classifier on the sample: dictionaries in a task each, the calibration on a few numbers a row."""
+    spark = docs.sparkSession
+    rows = sample(docs, labels)
+    counts = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [sum(v for (_, c), v in counts.items() if c == label) for label in (0, 1)]
+    if not all(n):
+        return {"constant": float(n[1] > 0)}
+    # Part f lacks fold f; part FOLDS has all. Both classes must be left in a part.
+    parts = [f for f in range(FOLDS) if all(n[c] > counts.get((f, c), 0) for c in (0, 1))]
+    share = {"constant": n[1] / sum(n)}
+    if not parts:
+        return share
+    each = F.array(*[F.lit(p) for p in (*parts, FOLDS)])
+    dealt = rows.withColumn("part", F.explode(F.filter(each, lambda p: p != F.col("fold"))))
+    found = dealt.groupBy("part").applyInPandas(_train_part, "part int, toxic binary, ordinary binary, level double").collect()
+    made = {r["part"]: (bytes(r["toxic"]), bytes(r["ordinary"]), r["level"]) for r in found}
+    sent = spark.sparkContext.broadcast(made)
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        measures = {p: Distance(*m[:2]) for p, m in sent.value.items() if p != FOLDS}
+        for pdf in batches:
+            use = pdf[[f in measures for f in pdf["fold"]]]
+            x = [features(measures[f].of([bytes(w) for w in own]), sent.value[f][2]) for f, own in zip(use["fold"], use["windows"], strict=True)]
+            yield pd.DataFrame({"doc_id": use["doc_id"], "label": use["label"], "x": x})
+
+    own = rows.mapInPandas(described, "doc_id long, label int, x array<double>").collect()  # a few numbers a sampled row
+    own.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["label"] for r in own], dtype=float)
+    if not 0 < y.sum() < len(y):
+        return share
+    # Probabilities are those of the sample, in which toxic documents are over-represented.
+    weights = [v.tolist() for v in logistic(np.array([r["x"] for r in own]), y)]
+    level = float(np.mean([made[p][2] for p in parts]))
+    toxic, ordinary, _ = made[FOLDS]
+    return {"toxic": toxic, "ordinary": ordinary, "level": level, "weights": weights}
 
 
 _MEASURES: dict[int, Distance] = {}
@@ -249,12 +242,14 @@ def _measure(model: dict) -> Distance | None:
     return _MEASURES[key]
 
 
-def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, others untouched) with ``_score``, the calibrated probability of being toxic.
+def with_score(docs: DataFrame, labels: DataFrame, out: str = "_score") -> DataFrame:
+    """``docs`` (doc_id, text, others untouched) with ``out``, the calibrated probability of being toxic.
 
-    Null and empty texts are scored like texts without windows. Without
-    labelled rows of both classes all scores are the one class seen, else 0.
-    Each row is scored by itself: repeated rows get equal scores.
+    Null and empty texts are scored like texts without windows; very long texts
+    are scored whole. Without labelled rows of both classes all scores are the
+    one class seen, else 0. Each row is scored by itself: repeated rows get
+    equal scores. ``docs`` must not have a column of the name ``out``. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -267,7 +262,7 @@ def with_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for part in texts:
             yield pd.Series([score(t, model, measure) for t in part], dtype="float64")
 
-    return docs.withColumn("_score", scored(F.col("text").cast("string")))
+    return docs.withColumn(out, scored(F.col("text").cast("string")))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -283,6 +278,12 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose score reaches the threshold."""
-    scored = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    """Drop the documents whose score reaches the threshold.
+
+    Null, empty and very long texts, repeated rows and null doc_ids are scored
+    row by row as :func:`with_score` says; columns of any name pass through; an
+    empty table stays empty.
+    """
+    name = unused(docs, "_score")
+    scored = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
