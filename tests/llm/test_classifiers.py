@@ -1,3 +1,6 @@
+import math
+import unicodedata
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -5,7 +8,7 @@ import pytest
 import zstandard
 
 from tidemark.llm.language import Model, identify, op5_language, trigrams, codes
-from tidemark.llm.quality import op2_quality, quality, statistics
+from tidemark.llm.quality import FEATURES, op2_quality, quality, statistics
 from tidemark.llm.toxicity import Distance, dictionaries, features, op10_toxicity, sample, toxicity_stage, windows, with_score
 
 BIG = "/root/testdata/sf0.01"
@@ -50,6 +53,90 @@ def test_kneser_ney_sums_to_one():
         assert abs(p.sum() + other - 1) < 1e-9
 
 
+def dictionary_costs(train, text):
+    """Interpolated Kneser-Ney from dictionaries: language to mean cost of the text's trigrams."""
+    def clean(t):
+        out = "".join(ch if unicodedata.category(ch)[0] in "LM" else " " for ch in t.lower())
+        return "  " + " ".join(out.split()) + " "
+
+    out = {}
+    alphabet = {ch for own in train.values() for t in own for ch in clean(t)[2:]} | {" "}
+    for lang, own in train.items():
+        tri = Counter(c[i : i + 3] for c in map(clean, own) for i in range(len(c) - 2))
+        bi = Counter(g[1:] for g in tri)
+        uni = Counter(g[1:] for g in bi)
+        cut = []
+        for table in (tri, bi, uni):
+            one, two = (sum(n == k for n in table.values()) for k in (1, 2))
+            cut.append(min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5)
+        after = {}
+        for table in (tri, bi):
+            for g, n in table.items():
+                total, kinds = after.get((len(g), g[:-1]), (0, 0))
+                after[len(g), g[:-1]] = (total + n, kinds + 1)
+
+        def p(g):
+            if len(g) == 1:
+                total = sum(uni.values())
+                return max(uni[g] - cut[2], 0) / total + cut[2] * len(uni) / total / (len(alphabet) + 1)
+            lower, (total, kinds) = p(g[1:]), after.get((len(g), g[:-1]), (0, 0))
+            table, d = (tri, cut[0]) if len(g) == 3 else (bi, cut[1])
+            return max(table[g] - d, 0) / total + d * kinds / total * lower if total else lower
+
+        c = clean(text)
+        own = [c[i : i + 3] for i in range(len(c) - 2)]
+        out[lang] = -sum(math.log(p(g)) for g in own) / len(own)
+    return out
+
+
+def test_language_against_dictionaries_and_joins(spark, documents):
+    rows = [r for r in documents.select("doc_id", "text", "lang").collect() if r.text and r.lang][:120]
+    train = {}
+    for r in rows[:60]:
+        train.setdefault(r.lang, []).append(r.text)
+    train_on = spark.createDataFrame([(t, x) for x, own in train.items() for t in own], "text string, lang string")
+    docs = spark.createDataFrame([(r.doc_id, r.text, False) for r in rows] + [(None, None, True), (None, "12", False)], "doc_id long, text string, learnt boolean")
+    one = {r.doc_id: r for r in identify(docs, train_on).collect()}
+    for r in rows[40:]:
+        if any(unicodedata.category(ch)[0] == "L" for ch in r.text):
+            costs = dictionary_costs(train, r.text)
+            best = min(sorted(costs), key=costs.get)
+            assert one[r.doc_id].lang_pred == best and abs(one[r.doc_id].cross_entropy - costs[best]) < 1e-9
+    two = identify(docs, train_on, model_rows=0).collect()
+    assert len(two) == docs.count()
+    for r in two:
+        if r.doc_id is not None:
+            assert r.lang_pred == one[r.doc_id].lang_pred and abs(r.score - one[r.doc_id].score) < 1e-9
+            assert abs(r.cross_entropy - one[r.doc_id].cross_entropy) < 1e-9
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    train_on = spark.createDataFrame([("same words here", "xx"), ("same words here", "aa")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "same words", True)], "doc_id long, text string, learnt boolean")
+    for rows in (10**6, 0):
+        assert [(r.lang_pred, round(r.score, 9)) for r in identify(docs, train_on, rows).collect()] == [("aa", 0.5)]
+
+
+def test_quality_against_dense_densities(spark, sf, documents):
+    """The discriminant by plain formulas: solved Mahalanobis distances and determinants."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality in (0, 1)}
+    x = {i: np.array(statistics(t)) for i, t in rows}
+    own = {c: np.array([x[i] for i in sorted(x) if marks.get(i) == c and crc32(str(i).encode()) % 3 != 1]) for c in (0, 1)}
+    d, total = len(FEATURES), sum(map(len, own.values()))
+    pooled = sum((v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for v in own.values()) / (total - 2)
+    logs = {}
+    for c, v in own.items():
+        share = min(1.0, 0.1 + d / (len(v) + d))
+        cov = (1 - share) * np.cov(v.T) + share * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-4 * np.eye(d)
+        for i in x:
+            gap = x[i] - v.mean(axis=0)
+            logs[c, i] = math.log(len(v) / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * gap @ np.linalg.solve(cov, gap)
+    for r in quality(documents, spark.read.parquet(f"{sf}/labels.parquet")).collect():
+        assert abs(r.score - 1 / (1 + math.exp(min(40, max(-40, logs[0, r.doc_id] - logs[1, r.doc_id]))))) < 1e-7
+
+
 def test_language_odd_rows(spark, odd, nothing):
     docs = odd.selectExpr("doc_id", "text", "lang", "lang IS NOT NULL AS learnt", "score")
     rows = identify(docs, docs).collect()

@@ -7,6 +7,11 @@ continuation counts with absolute discounts. A text gets the language of the
 lowest cross-entropy per character. Rejection is calibrated on all training
 texts: a text whose cross-entropy is far above what its language's own texts
 have is marked as rejected.
+
+The models' arrays are broadcast up to ``MODEL_ROWS`` n-grams in all (counted
+first). Beyond that the same probabilities are joined: the costs of the
+distinct trigrams of the texts come from joins with the n-gram tables, and the
+texts' own trigrams are joined with these.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ REJECT = 4.0
 #: Sharpness of the score: nats per character times this.
 SHARPNESS = 10.0
 UNDETERMINED = "und"
+#: N-grams of all languages together up to which the models are broadcast (some 60 bytes each).
+MODEL_ROWS = 4_000_000
 
 _LETTER: np.ndarray | None = None
 
@@ -140,6 +147,69 @@ def train(counted: pd.DataFrame) -> tuple[list[str], list[Model]]:
     return langs, [Model(t["gram"].to_numpy(np.int64), t["n"].to_numpy(np.int64), alphabet) for t in tables]
 
 
+def gram_costs(counted: DataFrame, needed: DataFrame, langs: list[str]) -> DataFrame:
+    """(gram, costs) for every gram of ``needed``: its cost under each language, in the order of ``langs``.
+
+    The model of :class:`Model`, as joins of its tables instead of arrays.
+    """
+    one, two = F.lit(ONE), F.lit(TWO)
+
+    def contexts(df: DataFrame, out: str) -> DataFrame:
+        key = F.shiftright("gram", BITS).alias("ctx")
+        return df.groupBy("lang", key).agg(F.sum("n").alias(f"sum_{out}"), F.count(F.lit(1)).alias(f"kinds_{out}"))
+
+    def cut(df: DataFrame, out: str) -> DataFrame:
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        d = F.when(ones > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.5)
+        return df.groupBy("lang").agg(d.alias(out), F.sum("n").alias(f"total_{out}"), F.count(F.lit(1)).alias(f"kinds_{out}"))
+
+    tri = counted.select("lang", "gram", "n")
+    bi = tri.groupBy("lang", F.col("gram").bitwiseAND(two).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    uni = bi.groupBy("lang", F.col("gram").bitwiseAND(one).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    alphabet = uni.agg(F.count_distinct("gram")).first()[0]
+    cuts = cut(tri, "d3").join(cut(bi, "d2"), "lang").join(cut(uni, "d1"), "lang")
+    df = needed.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs]))).join(F.broadcast(cuts), "lang")  # a row a language
+    df = df.withColumns({"g1": F.col("gram").bitwiseAND(one), "g2": F.col("gram").bitwiseAND(two)})
+    df = df.withColumns({"c1": F.shiftright("g2", BITS), "c2": F.shiftright("gram", BITS)})
+    for table, key, n in ((uni, "g1", "n1"), (bi, "g2", "n2"), (tri, "gram", "n3")):
+        df = df.join(table.select("lang", F.col("gram").alias(key), F.col("n").alias(n)), ["lang", key], "left")
+    for table, key, out in ((bi, "c1", "b"), (tri, "c2", "t")):
+        df = df.join(contexts(table, out).withColumnRenamed("ctx", key), ["lang", key], "left")
+
+    def own(n: str, d: str):
+        return F.greatest(F.coalesce(n, F.lit(0)) - F.col(d), F.lit(0.0))
+
+    p = own("n1", "d1") / F.col("total_d1") + F.col("d1") * F.col("kinds_d1") / F.col("total_d1") / (alphabet + 1)
+    for n, d, out in (("n2", "d2", "b"), ("n3", "d3", "t")):
+        total, kinds = F.col(f"sum_{out}"), F.col(f"kinds_{out}")
+        p = F.when(total.isNotNull(), own(n, d) / total + F.col(d) * kinds / total * p).otherwise(p)
+    costs = df.select("gram", "lang", (-F.ln(p)).alias("cost")).groupBy("gram").agg(F.collect_list(F.struct("lang", "cost")).alias("each"))
+    return costs.select("gram", F.transform(F.array_sort("each"), lambda x: x["cost"]).alias("costs"))
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for row, text in zip(pdf["row"], pdf["text"], strict=True):
+            c = codes(text)
+            if c is not None:
+                g, n = np.unique(trigrams(c), return_counts=True)
+                yield pd.DataFrame({"row": row, "gram": g, "n": n})
+
+
+def joined_costs(texts: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
+    """``texts`` (doc_id, text, learnt) to (doc_id, learnt, size, costs) by joins, without a broadcast model."""
+    numbered = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "language-texts")
+    held = materialize(numbered.select("row", "text").mapInPandas(_grams, "row long, gram long, n long"), "language-grams")
+    known = gram_costs(counted, held.select("gram").distinct(), langs)
+    sums = [F.sum(F.col("n") * F.get("costs", F.lit(k))).alias(f"c{k}") for k in range(len(langs))]
+    each = held.join(known, "gram").groupBy("row").agg(F.sum("n").alias("size"), *sums)
+    each = each.select("row", "size", F.array(*[F.col(f"c{k}") / F.col("size") for k in range(len(langs))]).alias("costs"))
+    zero = F.array(*[F.lit(0.0) for _ in langs])
+    return numbered.join(each, "row", "left").select(
+        "doc_id", "learnt", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("costs", zero).alias("costs")
+    )
+
+
 def cross_entropies(texts: list[str | None], models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
     """Mean cost of each text under each model, and the number of its trigrams (0: no letter)."""
     grams = [trigrams(c) if c is not None else np.empty(0, dtype=np.int64) for c in map(codes, texts)]
@@ -154,7 +224,7 @@ def cross_entropies(texts: list[str | None], models: list[Model]) -> tuple[np.nd
     return out, sizes
 
 
-def identify(docs: DataFrame, train_on: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, train_on: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Languages of ``docs`` (doc_id, text, learnt), learnt from ``train_on`` (text, lang).
 
     ``learnt`` marks the rows that calibrate the rejection.
@@ -163,39 +233,42 @@ def identify(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     null text, or one without a letter, is "und" with score 0. If there is
     nothing to learn from, every text is "und". Rows of ``train_on`` with a
     null lang are left out. Ties go to the first language by name. Each row is
-    judged by itself, so repeated rows get equal results.
+    judged by itself, so repeated rows get equal results; very long texts are
+    judged whole. Other columns, whatever their names, are ignored. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = train_on.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = known.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs, models = train(counted.toPandas())  # bounded by the languages' trigrams
-    sent = spark.sparkContext.broadcast((langs, models))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs, models = sent.value
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            costs, sizes = cross_entropies(texts, models)
-            some = (sizes > 0) & bool(models)
-            best = costs.argmin(axis=1) if models else np.zeros(len(pdf), dtype=int)
-            low = costs.min(axis=1) if models else np.zeros(len(pdf))
-            share = 1 / np.exp(-SHARPNESS * (costs - low[:, None])).sum(axis=1) if models else low
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "lang_pred": [langs[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)],
-                    "score": np.where(some, share, 0.0),
-                    "cross_entropy": np.where(some, low, 0.0),
-                    "size": sizes,
-                    "learnt": (pdf["learnt"] == True).to_numpy(),  # noqa: E712
-                }
-            )
-
+    counted = materialize(counted, "language-counts")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())  # a row a language
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "learnt")
-    table = slim.mapInPandas(
-        scored, "doc_id long, lang_pred string, score double, cross_entropy double, size long, learnt boolean"
-    )
+    if not langs:
+        return slim.select(
+            "doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected")
+        )
+    if counted.count() <= model_rows:
+        sent = spark.sparkContext.broadcast(train(counted.toArrow().to_pandas())[1])
+
+        def costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found, sizes = cross_entropies([t if isinstance(t, str) else None for t in pdf["text"]], sent.value)
+                learnt = (pdf["learnt"] == True).to_numpy()  # noqa: E712
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "learnt": learnt, "size": sizes, "costs": list(found)})
+
+        table = slim.mapInPandas(costs, "doc_id long, learnt boolean, size long, costs array<double>")
+    else:
+        table = joined_costs(slim, counted, langs)
+    low = F.array_min("costs")
+    some = F.col("size") > 0
+    share = 1 / F.aggregate("costs", F.lit(0.0), lambda a, c: a + F.exp(-SHARPNESS * (c - F.col("cross_entropy"))))
+    table = table.withColumn("cross_entropy", F.when(some, low).otherwise(0.0))
+    best = F.get(F.array(*[F.lit(x) for x in langs]), F.array_position("costs", low).cast("int") - 1)
+    table = table.select(
+        "doc_id", "learnt", "size", "cross_entropy",
+        F.when(some, best).otherwise(UNDETERMINED).alias("lang_pred"), F.when(some, share).otherwise(0.0).alias("score"),
+    )
     table = materialize(table, "languages")
     usual = table.where("learnt AND size >= 20").groupBy("lang_pred").agg(
         (F.avg("cross_entropy") + REJECT * F.coalesce(F.stddev_pop("cross_entropy"), F.lit(0.0))).alias("limit")

@@ -133,7 +133,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Trained on the labelled rows with crc32(doc_id) mod 3 other than 1. Null
     and empty texts have zero statistics and are scored like others. Without
     labels of both classes the score is the class seen, else 0. Repeated rows
-    are scored alike; a null doc_id is scored and not held out.
+    are scored alike; a null doc_id is scored and not held out. Very long texts
+    count whole. Ties have no part in it. Other columns, whatever their names,
+    are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
