@@ -12,6 +12,7 @@ from ..operators import forecast as fc
 from ..operators import statistics as stats
 from ..operators.indicators import add_indicators
 from ..sources.bars import bars, clean_bars, hourly_bars, missing_report
+from ..sources.storage import shared_dir
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1049,7 +1050,7 @@ def _(spark, sf):
     """Daily bars written as files and read as a stream; decisions equal a batch run's."""
     from ..streaming import bars as streams
 
-    folder = f"{streams.shared_folder(spark)}/signal-{abs(hash(sf)) % 10**8}"
+    folder = f"{shared_dir(spark)}/signal-{abs(hash(sf)) % 10**8}"
     df = signal_bars(spark, sf).select("symbol", F.col("pos").alias("seq"), "close", "ev_after_cost")
     df.write.mode("overwrite").parquet(folder)
     stream = spark.readStream.schema(df.schema).parquet(folder)

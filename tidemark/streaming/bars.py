@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.positions import step
+from ..sources.storage import shared_dir
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -70,24 +71,12 @@ def streaming_positions(bars: DataFrame, horizon: int = 5, threshold: float = 0.
     return slim.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tidemark-stream-")
-
-
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there and return its rows as a Parquet table."""
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
         .outputMode("append").trigger(availableNow=True).start()
