@@ -1,5 +1,11 @@
 import pytest
 
+#: Names of columns that the operators use inside.
+INSIDE = """
+    id fp key rank file length score n leaky leaky_id _score label windows fold part x h w own to least mask component component_id node hi lo
+    _b _n _rn _file _row _text _spans _base _all _cut _new _marked _pieces _at c_text c_lang c0 c1 hash held width found_id found_key hot
+    shard slot fraction size key_ predicted held_out learnt row gram costs lang_pred piece start ids_crc32 sequence_id offset before inside
+""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -21,8 +27,7 @@ def odd(spark):
         (None, "One two THREE four five six seven.", "en", "b", 34),
         (9, "123 4.5 !!", "en", "b", 10),
     ]
-    wide = ", id long, fp long, key long, rank long, file string, length long, score double, n long"
-    return spark.createDataFrame([(*r, 1, 2, 3, 4, "f", 5, 0.5, 6) for r in rows], SCHEMA + wide)
+    return spark.createDataFrame([(*r, *[7] * len(INSIDE)) for r in rows], SCHEMA + "".join(f", `{c}` int" for c in INSIDE))
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,8 @@
 import corpus_pipeline
+import pytest
 from test_tokens import check_packing
 
-from tidemark.llm import pii, simhash, toxicity
+from tidemark.llm import common, pii, simhash, toxicity
 from tidemark.llm.decontamination import op1_decontamination
 
 
@@ -33,3 +34,35 @@ def test_stages_on_documents(spark, documents, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+@pytest.fixture
+def tables(spark, odd, nothing, tmp_path):
+    """Folders of odd and of empty tables with everything that the stages read."""
+    labels = [(i, i % 2, i % 2) for i in range(10)] + [(None, 1, 1), (4, None, None)]
+    items = [(1, "lorem ipsum dolor sit amet lorem ipsum"), (2, None), (None, "short")]
+    for name, docs, rows, own in (("odd", odd, labels, items), ("none", nothing, [], [])):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame(own, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    return tmp_path
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, nothing, tables):
+    for name, docs in (("odd", odd), ("none", nothing)):
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, str(tables / name))
+            assert after.columns == docs.columns, stage_name
+            if stage_name != "pii":
+                # Values of all columns, whatever they are called, come through.
+                assert after.exceptAll(docs).count() == 0, stage_name
+            assert name == "odd" or after.count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tables / name)).count() >= (name == "odd")
+
+
+def test_run_on_odd_and_empty_tables(spark, tables, monkeypatch):
+    assert corpus_pipeline.run(spark, str(tables / "none")).count() == 0
+    out = corpus_pipeline.run(spark, str(tables / "odd"))
+    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._MADE if "stage-" in p}
+    assert out.count() >= 0 and left <= {"stage-packing", "test-stage"}

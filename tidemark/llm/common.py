@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-_OWN: dict[str, str] = {}
+from ..sources.storage import remove, shared_dir
+
+#: Paths that this process has asked for, in order.
+_MADE: list[str] = []
 
 #: Rows handed to Python at once. Long documents make Spark's default of
 #: 10,000 rows hundreds of megabytes, so the operators lower it.
 ARROW_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; a temporary one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(_remove_local, _OWN[key])
-    return _OWN[key]
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -59,9 +41,27 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def made_so_far() -> int:
+    """A mark for :func:`discard_since`."""
+    return len(_MADE)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete what was written since ``mark``, but for the table ``keep``.
+
+    Only for results that have been written themselves: a DataFrame that is
+    still to be computed reads the intermediates.
+    """
+    kept = getattr(keep, "_tidemark_path", None)
+    for path in _MADE[mark:]:
+        if path != kept:
+            remove(spark, path)
+    _MADE[mark:] = [kept] if kept in _MADE[mark:] else []
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -362,7 +362,9 @@ def redact(docs: DataFrame) -> DataFrame:
     are treated one by one, columns of any name pass through, and an empty
     table stays empty."""
     columns = docs.columns
-    found = candidates(docs.withColumnsRenamed({c: f"c_{c}" for c in columns if c != "text"}))
+    # By position, so that no column is called like one used here.
+    inside = {c: c if c == "text" else f"c_{i}" for i, c in enumerate(columns)}
+    found = candidates(docs.toDF(*inside.values()))
     found = materialize(found, "pii-candidates")
     done = decided(found, train(vote_counts(found)))
     empty = F.slice("_all", 1, 0)
@@ -391,9 +393,9 @@ def redact(docs: DataFrame) -> DataFrame:
             named.append(F.coalesce("_new", "text").alias("text"))
         elif c == "n_chars":
             kind = docs.schema[c].dataType
-            named.append(F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("c_n_chars")).alias(c))
+            named.append(F.when(F.col("_new").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col(inside[c])).alias(c))
         else:
-            named.append(F.col(f"c_{c}").alias(c))
+            named.append(F.col(inside[c]).alias(c))
     return done.select(*named)
 
 

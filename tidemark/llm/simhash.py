@@ -348,7 +348,7 @@ def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return once
     named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.join(repeated, key == repeated["id"], "left_semi").withColumnsRenamed(named)
+    rows = docs.join(repeated, key == repeated["id"], "left_semi").toDF(*named.values())
     rows = rows.withColumn("own", F.col(named["doc_id"]).cast("long")).withColumn("h", F.xxhash64(named["text"]))
     first = rows.groupBy(F.col("own").alias("to")).agg(F.min("h").alias("least"))
     rows = rows.join(first, (F.col("own") == F.col("to")) & (F.col("h") == F.col("least"))).dropDuplicates(["own"])
