@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import html
 import json
 import math
@@ -11,7 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.constants import ALL_SYMBOLS, FIRST_SYMBOLS
 from .bars import clean_bars
+from .storage import exists, filesystem
 
 PROVIDERS: dict[str, Callable[..., list[dict]]] = {}
 
@@ -26,31 +29,48 @@ def provider(name: str):
     return keep
 
 
+# Under which names vendors wrap their rows, in order.
+WRAPPERS = ("historical", "data", "results")
+
+
 def records_from(payload) -> list[dict]:
-    """The rows of a vendor's JSON: a list, or the first of its usual wrappers."""
-    if isinstance(payload, list):
-        return payload
-    for key in ("historical", "data", "results"):
-        if isinstance(payload, dict) and isinstance(payload.get(key), list):
-            return payload[key]
-    raise ValueError("no records in the payload")
+    """The rows of a vendor's JSON: the payload itself, or what the first usable wrapper holds."""
+    places = [payload, *(payload.get(name) for name in WRAPPERS)] if isinstance(payload, dict) else [payload]
+    rows = next((x for x in places if isinstance(x, list)), None)
+    if rows is None:
+        raise ValueError("no records in the payload")
+    return rows
+
+
+def typed_bars(spark: SparkSession, rows: list[tuple[str, int, dict]]) -> DataFrame:
+    """(symbol, number, row dict) to typed vendor rows; what isn't a number becomes null."""
+    values = ("open", "high", "low", "close", "volume")
+    plain = []
+    for symbol, k, row in rows:
+        row = {name.lower(): v for name, v in row.items()}
+        plain.append((symbol, str(row["date"]), *[None if row.get(c) is None else str(row[c]) for c in values], k))
+    raw = spark.createDataFrame(plain, "symbol string, date string, open string, high string, low string, close string, volume string, ingest_seq long")
+    return raw.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in values}).withColumn("date", F.to_date("date"))
 
 
 def download(spark: SparkSession, symbols: str | list[str], start: str, end: str, source: str) -> DataFrame:
     """Bars of the symbols from a registered provider; later rows of a date win."""
+    from . import connectors  # noqa: F401  registers the built-in ones
+
     if source not in PROVIDERS:
         raise ValueError(f"unknown provider {source}")
     rows = []
     for symbol in [symbols] if isinstance(symbols, str) else symbols:
         name = symbol.strip().upper()
-        for k, r in enumerate(records_from(PROVIDERS[source](name, start, end))):
-            r = {k.lower(): v for k, v in r.items()}
-            rows.append((name, str(r["date"]), *[None if r.get(c) is None else str(r[c]) for c in ("open", "high", "low", "close", "volume")], k))
+        rows += [(name, k, r) for k, r in enumerate(records_from(PROVIDERS[source](name, start, end)))]
     if not rows:
         raise ValueError("the provider returned nothing")
-    raw = spark.createDataFrame(rows, "symbol string, date string, open string, high string, low string, close string, volume string, ingest_seq long")
-    typed = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}
-    return clean_bars(raw.withColumns(typed).withColumn("date", F.to_date("date")))
+    return clean_bars(typed_bars(spark, rows))
+
+
+def save_raw(df: DataFrame, path: str) -> None:
+    """CSV with a header, a folder for each symbol."""
+    df.write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)
 
 
 def save_bars(df: DataFrame, path: str, source: str) -> None:
@@ -67,6 +87,36 @@ def load_bars(spark: SparkSession, path: str, symbol: str | None = None, source:
     return df
 
 
+def load_first(spark: SparkSession, path: str, symbol: str, source: str | None = None) -> DataFrame:
+    """A symbol's bars from the provider's folder, else from the root without providers; an error names the places tried."""
+    name = symbol.strip().upper()
+    places = [f"{path}/provider={source.lower()}/symbol={name}"] if source else []
+    places.append(f"{path}/symbol={name}")
+    for place in places:
+        if exists(spark, place):
+            return spark.read.parquet(place).withColumn("symbol", F.lit(name))
+    raise FileNotFoundError(f"no bars of {name}; tried {', '.join(places)}")
+
+
+def symbols_in(spark: SparkSession, path: str) -> list[str]:
+    """The symbols that a folder of bars holds, in order, from its partitions."""
+    return [r["symbol"] for r in spark.read.parquet(path).select("symbol").distinct().orderBy("symbol").collect()]
+
+
+def chosen_symbols(asked: list[str] | None = None, everything: bool = False) -> list[str]:
+    """Those asked for, else the full list or the first experiment's."""
+    return list(asked) if asked else list(ALL_SYMBOLS if everything else FIRST_SYMBOLS)
+
+
+def newest(spark: SparkSession, pattern: str) -> str:
+    """The path that the glob ``pattern`` matches with the latest change; on a tie the first by name."""
+    target, fs = filesystem(spark, pattern)
+    found = sorted((-s.getModificationTime(), s.getPath().toString()) for s in fs.globStatus(target) or [])
+    if not found:
+        raise FileNotFoundError(pattern)
+    return found[0][1]
+
+
 def save_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; maps and arrays become JSON. ``single`` is for report-sized tables."""
     nested = [f.name for f in df.schema if f.dataType.typeName() in ("map", "array", "struct")]
@@ -76,8 +126,7 @@ def save_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: bool = True) -> DataFrame:
     """A CSV table; if it isn't there, an error, or the empty table where it is optional."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
@@ -87,8 +136,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: bool = True)
 def append_decisions(df: DataFrame, path: str, keys: tuple[str, ...] = ("symbol", "pos", "action")) -> None:
     """Append the rows whose keys aren't there yet, so that a repeated run adds nothing."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if exists(spark, path):
         df = df.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
     df.write.mode("append").parquet(path)
 
@@ -121,7 +169,7 @@ def load_json(path: str, version: int | None = None) -> dict | None:
 
 
 def slug(title: str) -> str:
-    found = re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-")
+    found = re.sub(r"[^a-z0-9_-]+", "-", title.strip().lower()).strip("-")
     if not found:
         raise ValueError("the title has no letters or digits")
     return found
@@ -131,10 +179,75 @@ def markdown(title: str, sections: dict[str, str]) -> str:
     return "\n".join([f"# {title}", *[f"\n## {name}\n\n{text or 'Not available.'}" for name, text in sections.items()], ""])
 
 
-def dashboard(tables: dict[str, DataFrame], title: str = "Market states", rows: int = 200) -> str:
-    """One HTML page with report-sized tables (each a top list of at most ``rows`` rows)."""
+# An experiment report's sections, in order, and what an empty one says.
+SECTIONS = (
+    "Question", "Hypothesis", "Data", "State Definitions", "Model Setup", "Backtest Rules", "Results", "Benchmark Comparison",
+    "What Worked", "What Failed", "Bias / Risk Checks", "Next Experiment",
+)
+NOT_EVALUATED = "Not evaluated in this run."
+
+
+def experiment_report(name: str, sections: dict[str, str], folder: str, day: str) -> str:
+    """Write the twelve sections of an experiment as Markdown; the path. Unknown sections are an error."""
+    unknown = set(sections) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
+    text = markdown(f"Experiment Report: {name}", {s: sections.get(s) or NOT_EVALUATED for s in SECTIONS})
+    title, rest = text.split("\n", 1)
+    path = os.path.join(folder, f"{slug(name)}.md")
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"{title}\n\n**Date:** {day}\n{rest}")
+    return path
+
+
+def ingestion_view(status: dict | None, spark: SparkSession) -> DataFrame | str:
+    """An ingestion run's rows for the dashboard, or what to say instead."""
+    if status is None:
+        return "No ingestion status captured yet."
+    if not isinstance(status, dict) or not isinstance(status.get("symbols"), list):
+        return "Could not load ingestion status: no list of symbols"
+    missing = [k for k in ("provider", "start", "end", "status", "started_at") if k not in status]
+    missing += [f"symbols[{i}].{k}" for i, s in enumerate(status["symbols"]) for k in ("symbol", "status") if k not in s]
+    if missing:
+        return f"Could not load ingestion status: missing {', '.join(missing)}"
+    rows = []
+    for s in status["symbols"]:
+        count = next((int(s[k]) for k in ("missing_count", "total_missing") if s.get(k) is not None), 0)
+        rows.append((s["symbol"], s["status"], s.get("rows"), s.get("first_date") or "n/a", s.get("last_date") or "n/a", count, s.get("error") or ""))
+    kinds = "symbol string, status string, rows long, first_date string, last_date string, missing_count long, error string"
+    return spark.createDataFrame(rows, kinds)
+
+
+def bars_chart(rows: list[tuple[str, float | None]], title: str, limit: int = 12) -> str:
+    """Horizontal bars either side of zero as SVG, of the first ``limit`` finite values."""
+    kept = [(str(n), float(v)) for n, v in rows if v is not None and math.isfinite(v)][:limit]
+    if not kept:
+        return "<p>No chart rows available.</p>"
+    top, parts = max(abs(v) for _, v in kept) or 1.0, []
+    for i, (name, v) in enumerate(kept):
+        width, y = 180 * abs(v) / top, 24 * i + 8
+        parts.append(f'<text x="0" y="{y + 12}">{html.escape(name[:18])}</text><rect x="{340 - (width if v < 0 else 0):.1f}" y="{y}" width="{width:.1f}" height="16"/>')
+        parts.append(f'<text x="{540}" y="{y + 12}">{v:.4g}</text>')
+    return f'<svg viewBox="0 0 620 {24 * len(kept) + 16}" role="img"><title>{html.escape(title)}</title>{"".join(parts)}</svg>'
+
+
+def dashboard(
+    tables: dict[str, DataFrame | str], title: str = "Market states", rows: int = 200, charts: dict[str, tuple[str, str]] | None = None
+) -> str:
+    """One HTML page with report-sized tables (each a top list of at most ``rows`` rows), in the order given.
+
+    A text in place of a table is shown as a note. ``charts`` names tables that
+    get a chart: (label column, value column).
+    """
     body = []
     for name, df in tables.items():
+        if isinstance(df, str):
+            body.append(f"<h2>{html.escape(name)}</h2><p>{html.escape(df)}</p>")
+            continue
+        if charts and name in charts:
+            label, value = charts[name]
+            body.append(bars_chart([(r[0], r[1]) for r in df.select(F.col(label).cast("string"), F.col(value).cast("double")).limit(rows).collect()], name))
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
         lines = ["<tr>" + "".join(f"<td>{html.escape('' if _safe(v) is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(rows).collect()]
         body.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{''.join(lines)}</table>")
@@ -143,7 +256,8 @@ def dashboard(tables: dict[str, DataFrame], title: str = "Market states", rows:
 
 def ingest(spark: SparkSession, symbols: list[str], start: str, end: str, source: str, path: str, enrich=None) -> dict:
     """Download, enrich and save each symbol; errors are kept per symbol, and the run is success, partial or failed."""
-    run: dict = {"provider": source, "start": start, "end": end, "symbols": []}
+    now = datetime.datetime.now(datetime.UTC)
+    run: dict = {"run_id": f"{source}-{now:%Y%m%dT%H%M%S}", "provider": source, "start": start, "end": end, "started_at": now.isoformat(), "symbols": []}
     for symbol in symbols:
         try:
             df = download(spark, symbol, start, end, source)
@@ -154,6 +268,7 @@ def ingest(spark: SparkSession, symbols: list[str], start: str, end: str, source
         except Exception as e:  # noqa: BLE001  one symbol's failure is a result
             run["symbols"].append({"symbol": symbol, "status": "failed", "rows": 0, "first_date": None, "last_date": None, "error": str(e)[:300]})
     good = sum(s["status"] == "success" for s in run["symbols"])
+    run["finished_at"] = datetime.datetime.now(datetime.UTC).isoformat()
     run["status"] = "success" if good == len(symbols) else "partial" if good else "failed"
     return run
 
