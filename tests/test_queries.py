@@ -11,8 +11,6 @@ import pytest
 
 from tidemark.plans import registry
 
-SLOW = {"sensitivity_summary", "hidden_regimes"}
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -40,7 +38,7 @@ def rows(df):
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, sf, name):
     got = registry.QUERIES[name](spark, sf).toPandas()
     if name in registry.ORACLE_SQL:

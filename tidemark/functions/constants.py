@@ -17,14 +17,18 @@ STATE_LABELS = {
     10: "CONTINUATION",
     11: "CHOP_OR_NO_EDGE",
 }
-VOL_LABELS = {0: "LOW", 1: "NORMAL", 2: "HIGH", 3: "COMPRESSION", 4: "EXPANSION"}
+VOL_LABELS = {0: "LOW_VOL", 1: "NORMAL_VOL", 2: "HIGH_VOL", 3: "VOL_COMPRESSION", 4: "VOL_EXPANSION"}
 MACRO_LABELS = {0: "RISK_ON", 1: "RISK_OFF", 2: "NEUTRAL"}
 N_STATES = 12
 HORIZONS = (1, 5, 10, 20)
 COST_BPS = 5.0
 LOOKBACK = 252
 ALPHA = 1e-6
-LIQUIDITY_COST_BPS = {"NORMAL": 5.0, "THIN": 12.0, "STRESSED": 30.0, "PANIC_LIQUIDITY": 80.0}
+LIQUIDITY_COST_BPS = {"NORMAL_LIQUIDITY": 5.0, "THIN_LIQUIDITY": 12.0, "STRESSED_LIQUIDITY": 30.0, "PANIC_LIQUIDITY": 80.0}
+# What hidden regimes are fitted on, and the symbol lists.
+EMISSION_COLUMNS = ("return_1d", "realized_vol_20", "atr_14", "volume_zscore_20", "dist_to_support_atr", "dist_to_resistance_atr")
+ALL_SYMBOLS = "SPY QQQ IWM DIA XLK SMH XLE XLF XLI XLU XLV GLD SLV TLT UUP".split()
+FIRST_SYMBOLS = "SPY QQQ IWM XLK SMH XLE XLF GLD TLT".split()
 # Event days of 2024 to 2026.
 EVENT_DATES = {
     # US consumer price index releases

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import COST_BPS
 from ..functions.windows import by_symbol, guarded, prior, trailing
+from ..sources.storage import stored
 from .expectancy import walkforward
 
 
 def non_overlapping(signals: Column, horizon: int) -> Column:
-    """Those of the sorted signal positions that come after the last trade's exit.
+    """Those of the signal positions that come after the last trade's exit.
 
-    The choice is sequential: a fold over one key's positions, the only part of
-    a backtest that is. It keeps no bars, only an array of integers.
+    The choice is sequential, the only part of a backtest that is: one pass over
+    the sorted positions of a key that looks up each trade's next signal. It
+    sees no bars, only an array of integers.
     """
-    start = F.struct(F.lit(-1).alias("exit"), F.array().cast("array<int>").alias("kept"))
 
-    def step(acc: Column, p: Column) -> Column:
-        taken = F.struct((p + 1 + horizon).alias("exit"), F.concat(acc["kept"], F.array(p)).alias("kept"))
-        return F.when(p > acc["exit"], taken).otherwise(acc)
+    @F.pandas_udf("array<int>")
+    def chosen(found: pd.Series) -> pd.Series:
+        out = []
+        for p in found:
+            p, kept, i = np.sort(np.asarray(p)), [], 0
+            after = np.searchsorted(p, p + horizon + 1, side="right")
+            while i < len(p):
+                kept.append(p[i])
+                i = after[i]
+            out.append(np.array(kept, dtype=np.int32))
+        return pd.Series(out)
 
-    return F.aggregate(F.array_sort(signals), start, step, lambda acc: acc["kept"])
+    return chosen(signals)
 
 
 def trades(bars: DataFrame, signal: Column, horizon: int, cost_bps: float, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -60,10 +71,9 @@ def trades(bars: DataFrame, signal: Column, horizon: int, cost_bps: float, keys:
 def equity_curve(bars: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Per bar: the compounded net returns of the trades that have exited by then, 1 before any."""
     exits = made.select(*keys, F.col("exit_pos").alias("pos"), "net_return")
-    growth = F.coalesce(F.ln(1 + F.col("net_return")), F.lit(0.0))
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     joined = bars.select(*keys, "date", "pos").join(exits, [*keys, "pos"], "left")
-    return joined.select(*keys, "date", "pos", F.exp(F.sum(growth).over(so_far)).alias("equity"))
+    return joined.select(*keys, "date", "pos", F.coalesce(F.product(1 + F.col("net_return")).over(so_far), F.lit(1.0)).alias("equity"))
 
 
 def performance(equity: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -144,7 +154,7 @@ def ma_crossover(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
         {"_long": F.coalesce(F.lag("_up").over(w), F.lit(0)), "_r": F.coalesce(close / F.lag("close").over(w) - 1, F.lit(0.0))}
     )
     return df.groupBy("symbol").agg(
-        (F.exp(F.sum(F.ln(1 + F.col("_long") * F.col("_r")))) - 1).alias("total_return"),
+        (F.product(1 + F.col("_long") * F.col("_r")) - 1).alias("total_return"),
         F.avg("_long").alias("exposure_time"),
     )
 
@@ -155,7 +165,7 @@ def breakout(bars: DataFrame, lookback: int = 126, horizon: int = 5, cost_bps: f
     top = guarded(F.max("close").over(frame), F.col("close"), frame, lookback)
     made = trades(bars.withColumn("_top", top), F.col("close") > F.col("_top"), horizon, cost_bps)
     won = made.groupBy("symbol").agg(
-        (F.exp(F.sum(F.ln(1 + F.col("net_return")))) - 1).alias("_r"),
+        (F.product(1 + F.col("net_return")) - 1).alias("_r"),
         F.count(F.lit(1)).alias("_n"),
         F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"),
     )
@@ -188,9 +198,13 @@ def random_label_backtest(labelled: DataFrame, seed: int = 7, **options) -> Data
 def compare_models(labelled: DataFrame, horizon: int = 5, cost_bps: float = COST_BPS, seed: int | None = None) -> DataFrame:
     """The strategy beside its baselines, with the excess over buy-and-hold."""
     own = walkforward_backtest(labelled, horizon=horizon, cost_bps=cost_bps)[2]
-    models = [("state_ev", own), ("buy_and_hold", buy_and_hold(labelled)), ("ma_crossover", ma_crossover(labelled)), ("breakout", breakout(labelled, horizon=horizon, cost_bps=cost_bps))]
+    models = [("state_ev_strategy", own), ("buy_and_hold", buy_and_hold(labelled)), ("ma_crossover", ma_crossover(labelled)), ("breakout", breakout(labelled, horizon=horizon, cost_bps=cost_bps))]
     if seed is not None:
-        models.append(("random_labels", random_label_backtest(labelled, seed, horizon=horizon, cost_bps=cost_bps)))
+        models.append(("random_label", random_label_backtest(labelled, seed, horizon=horizon, cost_bps=cost_bps)))
+    return excess_over_holding(models)
+
+
+def excess_over_holding(models: list[tuple[str, DataFrame]]) -> DataFrame:
     rows = None
     for name, df in models:
         part = df.select("symbol", F.lit(name).alias("model"), "total_return")
@@ -199,6 +213,16 @@ def compare_models(labelled: DataFrame, horizon: int = 5, cost_bps: float = COST
     return rows.withColumn("excess_vs_buy_hold", F.col("total_return") - base)
 
 
+def merge_models(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Comparison rows of two runs: the newer row of a (symbol, model) wins, and an
+    ``excess_vs_buy_hold`` that is missing is filled in from buy-and-hold's return."""
+    both = existing.withColumn("_run", F.lit(0)).unionByName(new.withColumn("_run", F.lit(1)), allowMissingColumns=True)
+    last = Window.partitionBy("symbol", "model").orderBy(F.col("_run").desc())
+    kept = both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_run")
+    held = F.max(F.when(F.col("model") == "buy_and_hold", F.col("total_return"))).over(Window.partitionBy("symbol"))
+    return kept.withColumn("excess_vs_buy_hold", F.coalesce("excess_vs_buy_hold", F.col("total_return") - held))
+
+
 def sensitivity_grid(
     labelled: DataFrame, horizons=(5, 10), lookbacks=(126, 252), costs=(5.0, 10.0), min_samples=(5, 10)
 ) -> DataFrame:
@@ -219,8 +243,8 @@ def sensitivity_grid(
         enough = (F.col("train_count") >= F.col("min_samples")) & (F.col("pos") >= h + F.col("min_samples"))
         part = trades(own, enough & (F.col("mean") - F.col("cost_bps") / 1e4 > 0), h, 0.0, keys)
         made = part if made is None else made.unionByName(part)
-    # The trades are few; equity and statistics of all combinations are one pass.
-    made = made.withColumn("net_return", F.col("gross_return") - F.col("cost_bps") / 1e4).persist()
+    # The trades are few and read twice; equity and statistics of all combinations are one pass.
+    made = stored(made.withColumn("net_return", F.col("gross_return") - F.col("cost_bps") / 1e4), "grid-trades")
     grid = [F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("lookback"), o.alias("o")) for h in horizons for k in lookbacks for o in options]
     every = base.select("symbol", "date", "pos").withColumn("g", F.explode(F.array(*grid)))
     every = every.select("symbol", "date", "pos", "g.horizon", "g.lookback", "g.o.*")

@@ -56,23 +56,25 @@ def compare_conditional(conditional: DataFrame, plain: DataFrame, regime: str, k
 
 
 def rolling_matrices(df: DataFrame, window: int, step: int = 1, n_states: int = N_STATES) -> DataFrame:
-    """Matrices of the last ``window`` known states at every ``step``-th bar.
+    """Matrices of the last ``window`` bars at every ``step``-th bar.
 
     Long and sparse: (symbol, anchor, src, dst, n, p) for the cells seen; a row
-    without observations has none (all zero). Anchors count known states.
+    without observations has none (all zero). Anchors count bars; bars without
+    a state take their place in a window, and pairs bridge them.
     """
     if window < 2 or step < 1:
         raise ValueError("window must be at least 2 and step at least 1")
     order = Window.partitionBy("symbol").orderBy("pos")
-    known = df.where("state IS NOT NULL").select("symbol", "state", (F.row_number().over(order) - 1).alias("k"))
+    every = df.select("symbol", "state", (F.row_number().over(order) - 1).alias("k"))
     on = Window.partitionBy("symbol").orderBy("k")
-    pairs = known.select("symbol", F.col("k").alias("at"), F.lag("state").over(on).alias("src"), F.col("state").alias("dst")).where("src IS NOT NULL")
+    known = every.where("state IS NOT NULL")
+    pairs = known.select("symbol", F.col("k").alias("at"), F.lag("k").over(on).alias("from"), F.lag("state").over(on).alias("src"), F.col("state").alias("dst"))
     pairs = pairs.where(F.col("src").between(0, n_states - 1) & F.col("dst").between(0, n_states - 1))
-    # The pair that ends at k is in the windows of the anchors k .. k + window - 2.
+    # The pair of j and k is in the windows of the anchors k .. j + window - 1.
     first = F.greatest(F.col("at"), F.lit(window - 1))
     first = first + F.pmod(F.lit(window - 1) - first, F.lit(step))
-    last = F.least(F.col("at") + window - 2, F.col("end"))
-    ends = known.groupBy("symbol").agg(F.max("k").alias("end"))
+    last = F.least(F.col("from") + window - 1, F.col("end"))
+    ends = every.groupBy("symbol").agg(F.max("k").alias("end"))
     spread = pairs.join(ends, "symbol").withColumn("anchor", F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(step))))
     spread = spread.withColumn("anchor", F.explode("anchor"))
     counts = spread.groupBy("symbol", "anchor", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -211,15 +213,15 @@ def walkforward_markov_value(df: DataFrame, horizon: int = 5, lookback: int = 25
 
 
 def _stationary(v: np.ndarray) -> list[float]:
+    """The p with p P = p and sum 1, by least squares; uniform where there is none."""
     n = int(round(len(v) ** 0.5))
-    values, vectors = np.linalg.eig(v.reshape(n, n).T)
-    found = np.real(vectors[:, np.argmin(np.abs(values - 1))])
-    found = np.maximum(found * np.sign(found.sum() or 1.0), 0)
+    equations = np.vstack([v.reshape(n, n).T - np.eye(n), np.ones((1, n))])
+    found = np.maximum(np.linalg.lstsq(equations, np.append(np.zeros(n), 1.0), rcond=None)[0], 0)
     return (found / found.sum() if found.sum() > 1e-12 else np.full(n, 1 / n)).tolist()
 
 
 def stationary(p: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Left eigenvector for the eigenvalue 1 of each matrix: (keys, dst, p)."""
+    """The stationary distribution of each matrix: (keys, dst, p)."""
     cells = F.array_sort(F.collect_list(F.struct("src", "dst", "p")))
     dense = p.groupBy(*keys).agg(F.transform(cells, lambda x: x["p"]).alias("m"))
 

@@ -35,6 +35,13 @@ def compare_sources(left: DataFrame, right: DataFrame, close_tol: float = 0.01,
     )
 
 
+def merge_summaries(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Two providers' summaries side by side, their columns with the providers' names; symbols of one alone too."""
+    one = left.withColumnsRenamed({c: f"{c}_{a}" for c in left.columns if c != "symbol"})
+    two = right.withColumnsRenamed({c: f"{c}_{b}" for c in right.columns if c != "symbol"})
+    return one.join(two, "symbol", "full_outer")
+
+
 def provider_pivot(metrics: DataFrame, base: str, other: str, names: list[str]) -> DataFrame:
     """Mean metrics (symbol, provider, names) of two providers and their differences."""
     wide = metrics.groupBy("symbol").pivot("provider", [base, other]).agg(*[F.avg(n).alias(n) for n in names])

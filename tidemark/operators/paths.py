@@ -77,6 +77,12 @@ def asset_features(bars: DataFrame) -> DataFrame:
     return base.join(turns, "symbol", "left")
 
 
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """The symbols of each cluster, in order, as one text."""
+    names = F.array_join(F.array_sort(F.collect_list("symbol")), ", ")
+    return clusters.groupBy("cluster").agg(names.alias("symbols"), F.count(F.lit(1)).alias("n"))
+
+
 def cluster_assets(features: DataFrame, k: int = 3) -> DataFrame:
     """Equal slices of the symbols by volatility, then reversal frequency."""
     if k < 1:

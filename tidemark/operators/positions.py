@@ -1,4 +1,4 @@
-"""Simulated positions: the daily step as a fold over each symbol's bars.
+"""Simulated positions: the daily step as a fold over each symbol's bars, and the table of positions.
 
 Nothing here places orders. A position opens at a close and is due a number of
 bars later; one symbol holds at most one at a time.
@@ -7,88 +7,197 @@ bars later; one symbol holds at most one at a time.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.constants import COST_BPS
+from ..sources.storage import exists
 
-DECISIONS = "symbol string, pos int, date date, action string, reason string, position_id string, price double, net_return double"
+DECISIONS = (
+    "symbol string, pos int, date date, action string, reason string, position_id string, price double, net_return double, "
+    "signal_date date, signal_ev double, state int"
+)
 POSITIONS = (
-    "position_id string, symbol string, entry_date date, entry_price double, horizon int, state int, signal_ev double, "
-    "target_pos int, exit_date date, exit_price double, net_return double, closed_reason string"
+    "position_id string, symbol string, signal_date date, entry_date date, entry_price double, horizon int, state int, "
+    "signal_ev double, target_exit_date date, exit_date date, exit_price double, net_return double, closed_reason string"
 )
+SCHEMA_VERSION = 1
+
+
+def _known(value) -> bool:
+    return value is not None and not pd.isna(value)
+
+
+def _flag(bar: dict, name: str) -> bool | None:
+    return bool(bar[name]) if _known(bar.get(name)) else None
 
 
 def step(position: dict | None, bar: dict, before: dict | None, options: dict) -> tuple[dict | None, list[dict]]:
     """One bar's decisions, in order: close what is due, then the gates, then open.
 
     ``before`` is the previous bar, whose state and expected value are the
-    signal; its absence, a missing value or one at most ``threshold``, drift,
-    a macro veto or an open position each skip the bar.
+    signal. Drift, a macro veto, an open position, no bar before, none with an
+    estimate, an estimate that is missing or at most the threshold, and an exit
+    beyond the data (``last_pos``, where it is known) each skip the entry.
     """
     made: list[dict] = []
 
-    def note(action, reason, held=None, **more):
-        made.append({"pos": bar["pos"], "date": bar["date"], "action": action, "reason": reason, "position_id": held and held["position_id"], "price": None, "net_return": None} | more)
+    def note(action, reason, **more):
+        made.append({"pos": bar["pos"], "date": bar["date"], "action": action, "reason": reason} | more)
 
     if position and bar["pos"] >= position["target_pos"]:
         net = bar["close"] / position["entry_price"] - 1 - options["cost_bps"] / 1e4
-        note("close", "horizon", position, price=bar["close"], net_return=net)
+        note("close", "horizon_reached", position_id=position["position_id"], price=bar["close"], net_return=net)
         position = None
     ev = before.get("ev_after_cost") if before else None
-    if bar.get("drift"):
-        note("skip", "drift")
-    elif bar.get("macro_ok") is False:
-        note("skip", "macro_filter")
+    last = options.get("last_pos")
+    if _flag(bar, "drift") is True:
+        note("skip_entry", "drift_alert")
+    elif _flag(bar, "macro_ok") is False:
+        note("skip_entry", "macro_filter")
     elif position:
-        note("skip", "already_open", position)
+        note("skip_entry", "already_open", position_id=position["position_id"])
     elif before is None:
-        note("skip", "no_signal_bar")
-    elif ev is None or pd.isna(ev):
-        note("skip", "no_expected_value")
-    elif ev <= options["threshold"]:
-        note("skip", "below_threshold")
+        note("skip_entry", "no_yesterday_bar")
+    elif _flag(before, "has_ev") is False:
+        note("skip_entry", "no_ev_for_signal_date")
+    elif not _known(ev) or ev <= options["threshold"]:
+        note("skip_entry", "ev_below_threshold", signal_ev=ev if _known(ev) else None)
+    elif last is not None and bar["pos"] + options["horizon"] > last:
+        note("skip_entry", "horizon_past_data")
     else:
         position = {
-            "position_id": f"{bar['symbol']}-{bar['pos']}", "symbol": bar["symbol"], "entry_date": bar["date"],
-            "entry_price": bar["close"], "target_pos": bar["pos"] + options["horizon"], "signal_ev": ev,
+            "position_id": f"{bar['symbol']}-{bar['pos']}", "entry_price": bar["close"], "target_pos": bar["pos"] + options["horizon"],
         }
-        note("open", "expected_value", position, price=bar["close"])
+        state = before.get("state")
+        note(
+            "open", None, position_id=position["position_id"], price=bar["close"], signal_ev=float(ev),
+            signal_date=before.get("date"), state=int(state) if _known(state) else None,
+        )
     return position, made
 
 
 def paper_trade(bars: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_bps: float = COST_BPS) -> DataFrame:
     """Decisions for every bar of (symbol, date, pos, close, ev_after_cost, and
-    optionally drift, macro_ok). The fold is sequential, one task a symbol."""
+    optionally state, has_ev, drift, macro_ok). The fold is sequential, one task a symbol."""
     options = {"horizon": horizon, "threshold": threshold, "cost_bps": cost_bps}
-    names = [c for c in ("symbol", "date", "pos", "close", "ev_after_cost", "drift", "macro_ok") if c in bars.columns]
+    wanted = ("symbol", "date", "pos", "close", "ev_after_cost", "state", "has_ev", "drift", "macro_ok")
+    names = [c for c in wanted if c in bars.columns]
+    columns = [c.split()[0] for c in DECISIONS.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        own = options | {"last_pos": int(pdf["pos"].iat[-1])}
         position, before, out = None, None, []
-        for bar in pdf.sort_values("pos").to_dict("records"):
-            position, made = step(position, bar, before, options)
+        for values in pdf.itertuples(index=False, name=None):
+            bar = dict(zip(names, values, strict=True))
+            position, made = step(position, bar, before, own)
             out += made
             before = bar
-        frame = pd.DataFrame(out)
-        frame.insert(0, "symbol", pdf["symbol"].iat[0])
-        return frame
+        symbol = pdf["symbol"].iat[0]
+        rows = [[symbol if c == "symbol" else made.get(c) for c in columns] for made in out]
+        return pd.DataFrame(rows, columns=columns, dtype=object)
 
     return bars.select(*names).groupBy("symbol").applyInPandas(run, DECISIONS)
 
 
-def positions_from(decisions: DataFrame) -> DataFrame:
-    """Positions with their entries and exits; an open one has no exit."""
-    d = decisions.where("action IN ('open', 'close')")
+def positions_from(decisions: DataFrame, bars: DataFrame, horizon: int = 5) -> DataFrame:
+    """The positions table of the decisions; an open position has no exit. ``bars`` (symbol, pos, date) date the targets."""
     opened, closed = F.col("action") == "open", F.col("action") == "close"
-    return d.groupBy("symbol", "position_id").agg(
-        F.max(F.when(opened, F.col("date"))).alias("entry_date"),
-        F.max(F.when(opened, F.col("price"))).alias("entry_price"),
-        F.max(F.when(closed, F.col("date"))).alias("exit_date"),
-        F.max(F.when(closed, F.col("price"))).alias("exit_price"),
-        F.max(F.when(closed, F.col("net_return"))).alias("net_return"),
+
+    def at(condition: Column, column: str) -> Column:
+        return F.max(F.when(condition, F.col(column)))
+
+    rows = decisions.where("action IN ('open', 'close')").groupBy("symbol", "position_id").agg(
+        at(opened, "signal_date").alias("signal_date"),
+        at(opened, "date").alias("entry_date"),
+        at(opened, "price").alias("entry_price"),
+        F.lit(horizon).alias("horizon"),
+        at(opened, "state").alias("state"),
+        at(opened, "signal_ev").alias("signal_ev"),
+        (at(opened, "pos") + horizon).alias("_target"),
+        at(closed, "date").alias("exit_date"),
+        at(closed, "price").alias("exit_price"),
+        at(closed, "net_return").alias("net_return"),
+        at(closed, "reason").alias("closed_reason"),
     )
+    dates = bars.select("symbol", F.col("pos").alias("_target"), F.col("date").alias("target_exit_date"))
+    return rows.join(dates, ["symbol", "_target"], "left").select(*[c.split()[0] for c in POSITIONS.split(", ")])
+
+
+def no_positions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], POSITIONS)
+
+
+def open_positions(positions: DataFrame, symbol: str | None = None) -> DataFrame:
+    found = positions.where("exit_date IS NULL")
+    return found if symbol is None else found.where(F.col("symbol") == symbol)
+
+
+def closed_positions(positions: DataFrame) -> DataFrame:
+    return positions.where("exit_date IS NOT NULL")
+
+
+def has_open_position(positions: DataFrame, symbol: str) -> bool:
+    return not open_positions(positions, symbol).isEmpty()
+
+
+def opened(positions: DataFrame, position: dict) -> DataFrame:
+    """The table with one more position; an id that is taken, or a symbol that holds one, is an error."""
+    if not positions.where(F.col("position_id") == position["position_id"]).isEmpty():
+        raise ValueError(f"position {position['position_id']} exists")
+    if has_open_position(positions, position["symbol"]):
+        raise ValueError(f"{position['symbol']} has an open position")
+    return positions.unionByName(positions.sparkSession.createDataFrame([position], POSITIONS))
+
+
+def closed(positions: DataFrame, position_id: str, exit_date, exit_price: float, reason: str, cost_bps: float = 0.0) -> DataFrame:
+    """The table with that position closed; an unknown id or a closed position is an error."""
+    own = F.col("position_id") == position_id
+    found = positions.where(own).select("exit_date").first()
+    if found is None:
+        raise KeyError(f"unknown position {position_id}")
+    if found["exit_date"] is not None:
+        raise ValueError(f"position {position_id} is closed already")
+    values = {
+        "exit_date": F.lit(exit_date).cast("date"),
+        "exit_price": F.lit(float(exit_price)),
+        "net_return": F.lit(float(exit_price)) / F.col("entry_price") - 1 - cost_bps / 1e4,
+        "closed_reason": F.lit(reason),
+    }
+    return positions.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def save_positions(positions: DataFrame, path: str) -> None:
+    """A snapshot of the table, each row with the schema's version; ``positions`` must not be read from ``path``."""
+    positions.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(path)
+
+
+def load_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The saved table, empty if there is none; another version is an error."""
+    if not exists(spark, path):
+        return no_positions(spark)
+    found = spark.read.parquet(path)
+    other = found.where(F.col("schema_version") != SCHEMA_VERSION).first()
+    if other is not None:
+        raise ValueError(f"schema version {other['schema_version']} instead of {SCHEMA_VERSION}")
+    return found.drop("schema_version")
+
+
+def as_of(positions: DataFrame, days: DataFrame) -> DataFrame:
+    """The table as it was at each symbol's ``day`` (symbol, day): later entries are gone, later exits open."""
+    known = positions.join(F.broadcast(days), "symbol").where(F.col("entry_date") <= F.col("day"))  # a row a symbol
+    exits = ("exit_date", "exit_price", "net_return", "closed_reason")
+    later = F.col("exit_date") > F.col("day")
+    return known.select(*[F.when(~F.coalesce(later, F.lit(False)), F.col(c)).alias(c) if c in exits else F.col(c) for c in positions.columns])
 
 
 def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Unrealised returns of open positions whose symbol has a price (symbol, price)."""
-    held = positions.where("exit_date IS NULL").join(prices, "symbol")
+    held = open_positions(positions).join(prices, "symbol")
     return held.select("position_id", "symbol", (F.col("price") / F.col("entry_price") - 1).alias("unrealized"))
+
+
+def latest_decisions(decisions: DataFrame) -> DataFrame:
+    """What each symbol's newest bar decided: the daily job's rows."""
+    newest = Window.partitionBy("symbol").orderBy(F.col("pos").desc())
+    return decisions.withColumn("_n", F.dense_rank().over(newest)).where("_n = 1").drop("_n")

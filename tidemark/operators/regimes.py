@@ -77,30 +77,30 @@ def regime_allowed(regime: Column, allowed: list[int]) -> Column:
     return F.coalesce(regime, F.lit(-1)).isin(allowed)
 
 
+def regime_signal(df: DataFrame, labels: DataFrame, allowed: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Append ``allowed``: whether the bar's ``regime`` has one of the allowed labels by ``labels``
+    (keys, regime, label); false for an unknown regime or one without a label."""
+    if not allowed:
+        raise ValueError("at least one label must be allowed")
+    named = labels.select(*keys, "regime", "label")
+    joined = df.join(F.broadcast(named), [*keys, "regime"], "left")  # a row a regime
+    return joined.withColumn("allowed", F.coalesce(F.col("label").isin(allowed), F.lit(False))).drop("label")
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
-def good_friday(year: int) -> datetime.date:
-    """Two days before Easter, by the golden number and the Gregorian corrections."""
-    century, golden = year // 100, year % 19
-    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
-    weekday = (32 + 2 * (century % 4) + 2 * (year % 100 // 4) - moon - year % 100 % 4) % 7
-    shift = moon + weekday - 7 * ((golden + 11 * moon + 22 * weekday) // 451)
-    return datetime.date(year, 3, 22) + datetime.timedelta(days=shift - 2)
-
-
 def holidays(first: int, last: int) -> list[datetime.date]:
     """US federal holidays as observed, Good Friday, and Juneteenth from 2021."""
-    from pandas.tseries.holiday import USFederalHolidayCalendar
-
-    found = {d.date() for d in USFederalHolidayCalendar().holidays(f"{first}-01-01", f"{last}-12-31")}
-    for year in range(first, last + 1):
-        found.add(good_friday(year))
-        if year >= 2021:
-            day = datetime.date(year, 6, 19)
-            found.add(day + datetime.timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0)))
+    from pandas.tseries.holiday import GoodFriday, USFederalHolidayCalendar
+
+    start, end = f"{first}-01-01", f"{last}-12-31"
+    found = {d.date() for d in USFederalHolidayCalendar().holidays(start, end)} | {d.date() for d in GoodFriday.dates(start, end)}
+    for year in range(max(first, 2021), last + 1):
+        day = datetime.date(year, 6, 19)
+        found.add(day + datetime.timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0)))
     return sorted(found)
 
 
@@ -108,8 +108,15 @@ def _days(texts: list[str], *shifts: int) -> list[datetime.date]:
     return sorted({datetime.date.fromisoformat(x) + datetime.timedelta(days=s) for x in texts for s in shifts})
 
 
-def calendar_state(day: Column, first_year: int = 1990, last_year: int = 2035) -> Column:
-    """The first that applies: FOMC_WINDOW (a day around), CPI_WINDOW (the day
+def with_calendar_state(df: DataFrame, day: str, out: str = "calendar_state") -> DataFrame:
+    """Append each day's state; holidays are made for the years that the column holds."""
+    years = df.agg(F.min(F.year(day)), F.max(F.year(day))).first()
+    first, last = (years[0], years[1]) if years[0] is not None else (2024, 2024)
+    return df.withColumn(out, calendar_state(F.col(day), first - 1, last + 1))
+
+
+def calendar_state(day: Column, first_year: int, last_year: int) -> Column:
+    """Of days in the given years, the first that applies: FOMC_WINDOW (a day around), CPI_WINDOW (the day
     or the one before), OPEX_WEEK (Monday to the third Friday), MONTH_END (the
     last three weekdays), HOLIDAY_LIQUIDITY (a weekday next to a holiday), NONE."""
     near = {d + datetime.timedelta(days=s) for d in holidays(first_year, last_year) for s in (-1, 1)}
@@ -129,7 +136,8 @@ def calendar_state(day: Column, first_year: int = 1990, last_year: int = 2035) -
     )
 
 
-#: Volume score, realized volatility and gap above which each state begins.
+# Volume score, realized volatility and gap above which each state begins (thin: below the score),
+# and the index, spread and dollar score above which each level of stress does.
 LIQUIDITY = {"panic": (4.0, 0.06, 0.05), "stressed": (2.5, 0.04, 0.03), "thin": (-1.0, 0.025)}
 STRESS = {"PANIC": (40.0, 8.0, 3.0), "STRESS": (28.0, 5.5, 2.0), "ELEVATED": (20.0, 4.0, 1.5)}
 
@@ -142,14 +150,14 @@ def _any(*conditions: Column) -> Column:
 
 
 def liquidity_state(volume_z: Column, vol: Column, gap: Column, limits: dict | None = None) -> Column:
-    """PANIC_LIQUIDITY, STRESSED, THIN or NORMAL; a null input decides nothing."""
+    """PANIC_LIQUIDITY, STRESSED_LIQUIDITY, THIN_LIQUIDITY or NORMAL_LIQUIDITY; a null input decides nothing."""
     at = limits or LIQUIDITY
     out = F  # F.when begins the chain
-    for name, key in (("PANIC_LIQUIDITY", "panic"), ("STRESSED", "stressed")):
+    for name, key in (("PANIC_LIQUIDITY", "panic"), ("STRESSED_LIQUIDITY", "stressed")):
         z, v, g = at[key]
         out = out.when(_any(volume_z > z, vol > v, F.abs(gap) > g), name)
     z, v = at["thin"]
-    return out.when(_any(volume_z < z, vol > v), "THIN").otherwise("NORMAL")
+    return out.when(_any(volume_z < z, vol > v), "THIN_LIQUIDITY").otherwise("NORMAL_LIQUIDITY")
 
 
 def cross_asset_stress(vix: Column, spread: Column, dollar_z: Column, limits: dict | None = None) -> Column:
@@ -163,6 +171,7 @@ def _known(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
+# Weights and scales of the two scores.
 def tail_risk(vol: Column, volume_z: Column, gap: Column, drawdown: Column) -> Column:
     score = (
         0.35 * clip01(_known(vol) / 0.6)
@@ -184,12 +193,12 @@ def reflexivity(change: Column, volume_z: Column, correlation: Column, kurtosis:
 
 
 def cost_bps(state: Column, side: Column | None = None, costs: dict[str, float] | None = None) -> Column:
-    """Round-trip cost in basis points by liquidity state (unknown: NORMAL); half of it for one side."""
+    """Round-trip cost in basis points by liquidity state (unknown: NORMAL_LIQUIDITY); half of it for one side."""
     table = LIQUIDITY_COST_BPS | (costs or {})
     out = F  # F.when begins the chain
     for name, value in table.items():
         out = out.when(state == name, value)
-    whole = out.otherwise(table["NORMAL"])
+    whole = out.otherwise(table["NORMAL_LIQUIDITY"])
     return whole if side is None else F.when(side.isin("entry", "exit"), whole / 2).otherwise(whole)
 
 

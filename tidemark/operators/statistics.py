@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.constants import EMISSION_COLUMNS
+
 # The statistics by name.
 STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
 #: Gain in log-likelihood below which a hidden Markov fit has converged.
@@ -23,10 +25,10 @@ def resamples(values: np.ndarray, n: int, block: int, rng: np.random.Generator)
     size = len(values)
     if block <= 1 or size == 1:
         return values[rng.integers(0, size, (n, size))]
-    block = min(block, size)
-    starts = rng.integers(0, size - block + 1, (n, -(-size // block)))
-    at = (starts[:, :, None] + np.arange(block)).reshape(n, -1)[:, :size]
-    return values[at]
+    # Rows of all windows of the block's length are views; a sample is a row of windows, cut to length.
+    windows = np.lib.stride_tricks.sliding_window_view(values, min(block, size))
+    drawn = windows[rng.integers(0, len(windows), (n, -(-size // windows.shape[1])))]
+    return drawn.reshape(n, -1)[:, :size]
 
 
 def trade_sharpe(x: np.ndarray, holding: float) -> np.ndarray:
@@ -158,9 +160,29 @@ def name_regimes(df: DataFrame, value: str = "return_1d", vol: str = "realized_v
     """Name regimes by their mean return and volatility against the medians of those means."""
     means = df.groupBy("symbol", "regime").agg(F.avg(value).alias("mean_return"), F.avg(vol).alias("mean_vol"))
     mid = means.groupBy("symbol").agg(F.median("mean_return").alias("_r"), F.median("mean_vol").alias("_v"))
-    side = F.when(F.col("mean_return") >= F.col("_r"), "bullish").otherwise("bearish")
-    size = F.when(F.col("mean_vol") >= F.col("_v"), "high_vol").otherwise("low_vol")
-    return means.join(mid, "symbol").select("symbol", "regime", "mean_return", "mean_vol", F.concat_ws("_", side, size).alias("label"))
+    up, wild = F.col("mean_return") >= F.col("_r"), F.col("mean_vol") >= F.col("_v")
+    label = (
+        F.when(up & ~wild, "RISK_ON_TREND").when(up, "RISK_ON_VOLATILE").when(wild, "RISK_OFF_VOLATILE").otherwise("RISK_OFF_QUIET")
+    )
+    return means.join(mid, "symbol").select("symbol", "regime", "mean_return", "mean_vol", label.alias("label"))
+
+
+def emissions(df: DataFrame, columns: tuple[str, ...] | None = None) -> list[str]:
+    """Those of the emission columns that the table has."""
+    wanted = EMISSION_COLUMNS if columns is None else columns
+    found = [c for c in wanted if c in df.columns]
+    if not found:
+        raise ValueError(f"none of the emission columns: {', '.join(wanted)}")
+    return found
+
+
+def regime_covariances(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol", "regime")) -> DataFrame:
+    """Covariances of the emissions in each regime, long (keys, a, b, covariance): zero off the
+    diagonal, as the fitted models have diagonal covariances."""
+    own = df.dropna(subset=[*keys, *columns])
+    spread = own.groupBy(*keys).agg(*[F.var_pop(c).alias(c) for c in columns])
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) if a == b else F.lit(0.0)).alias("v")) for a in columns for b in columns]
+    return spread.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.a", "c.b", F.col("c.v").alias("covariance"))
 
 
 def _ranked_gap(ordered: np.ndarray, rank: int) -> float:

@@ -126,14 +126,12 @@ wf0 AS (
 
 def selected(name: str, source: str, horizon: int = 5) -> str:
     """CTEs that pick non-overlapping signals (symbol, pos) of ``source`` one after another, as ``name``."""
-    gap = 1 + horizon
     return f"""
-{name}_s AS (SELECT symbol, pos FROM {source}),
-{name} AS (
+{name}_s AS (
+  SELECT symbol, pos, min(pos) OVER (PARTITION BY symbol ORDER BY pos RANGE BETWEEN {horizon + 2} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM {source}
+), {name} AS (
   SELECT symbol, min(pos) AS pos FROM {name}_s GROUP BY symbol
-  UNION ALL
-  SELECT p.symbol, (SELECT min(s.pos) FROM {name}_s s WHERE s.symbol = p.symbol AND s.pos > p.pos + {gap}) FROM {name} p
-  WHERE EXISTS (SELECT 1 FROM {name}_s s WHERE s.symbol = p.symbol AND s.pos > p.pos + {gap})
+  UNION ALL SELECT s.symbol, s.nxt FROM {name} p JOIN {name}_s s ON s.symbol = p.symbol AND s.pos = p.pos WHERE s.nxt IS NOT NULL
 )"""
 
 
@@ -141,7 +139,7 @@ def performance(prefix: str, source: str, trades: str, horizon: int = 5) -> str:
     """CTEs from ``trades`` (symbol, pos, net) and bars ``source``: {prefix}_eq and {prefix}_stats."""
     return f"""
 {prefix}_eq AS (
-  SELECT b.symbol, b.date, b.pos, exp(sum(coalesce(ln(1 + t.net), 0)) OVER (PARTITION BY b.symbol ORDER BY b.pos)) AS equity
+  SELECT b.symbol, b.date, b.pos, coalesce(product(1 + t.net) OVER (PARTITION BY b.symbol ORDER BY b.pos), 1.0) AS equity
   FROM {source} b LEFT JOIN {trades} t ON b.symbol = t.symbol AND b.pos = t.pos + {horizon + 1}
 ), {prefix}_r AS (
   SELECT *, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS r,
@@ -196,5 +194,57 @@ grid AS (
 )"""
 
 
+def grid_stats(horizons=(5, 10), lookbacks=(126, 252), costs=(5.0, 10.0), minima=(5, 10)) -> str:
+    """CTEs of the parameter grid's statistics, as ``grid_stats``: a backtest for each combination, whose
+    key ("symbol|horizon|lookback|cost|minimum") stands in for the symbol."""
+    parts, unions = [], []
+    for h in horizons:
+        values = [
+            f"""SELECT symbol || '|{h}|{k}|{c}|{m}' AS symbol, date, pos, close,
+                CASE WHEN pos >= {h + m} AND n{k} >= {m} THEN a{k} - {c / 1e4} END AS ev FROM gw{h}"""
+            for k in lookbacks for c in costs for m in minima
+        ]
+        windows = ", ".join(
+            f"count(r) OVER w{k} AS n{k}, avg(r) OVER w{k} AS a{k}" for k in lookbacks
+        )
+        frames = ", ".join(
+            f"w{k} AS (PARTITION BY symbol, state ORDER BY pos RANGE BETWEEN {h + k} PRECEDING AND {h + 1} PRECEDING)" for k in lookbacks
+        )
+        parts.append(
+            f"""gr{h} AS (SELECT symbol, date, pos, close, state, lead(close, {h}) OVER (PARTITION BY symbol ORDER BY pos) / close - 1 AS r FROM lab),
+            gw{h} AS (SELECT *, {windows} FROM gr{h} WINDOW {frames}),
+            gb{h} AS ({" UNION ALL ".join(values)}),
+            gx{h} AS (SELECT *, lead(close, 1) OVER (PARTITION BY symbol ORDER BY pos) AS a, lead(close, {h + 1}) OVER (PARTITION BY symbol ORDER BY pos) AS b FROM gb{h}),"""
+            + selected(f"gs{h}", f"(SELECT symbol, pos FROM gx{h} WHERE ev > 0 AND b IS NOT NULL)", h)
+            + f""", gt{h} AS (
+              SELECT s.symbol, s.pos, x.b / x.a - 1 - CAST(split_part(s.symbol, '|', 4) AS DOUBLE) / 1e4 AS net FROM gs{h} s JOIN gx{h} x ON x.symbol = s.symbol AND x.pos = s.pos),"""
+            + performance(f"gp{h}", f"gb{h}", f"gt{h}", h)
+        )
+        unions.append(f"SELECT * FROM gp{h}_stats")
+    parts.append(
+        f"""grid_stats AS (
+          SELECT split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS INTEGER) AS horizon, CAST(split_part(symbol, '|', 3) AS INTEGER) AS lookback,
+                 CAST(split_part(symbol, '|', 4) AS DOUBLE) AS cost_bps, CAST(split_part(symbol, '|', 5) AS INTEGER) AS min_samples, * EXCLUDE (symbol)
+          FROM ({" UNION ALL ".join(unions)}))"""
+    )
+    return ", ".join(parts)
+
+
+#: Transition probabilities of each anchor (symbol, k): m, from the pairs that end among the 252 bars before; unseen rows are the identity's.
+STEPS = """
+cells AS (
+  SELECT q.symbol, q.k, p.src, p.dst, count(*) AS n FROM asked q JOIN pairs p ON p.symbol = q.symbol AND p.k >= q.a AND p.k <= q.b - 2 GROUP BY ALL
+), seen AS (SELECT symbol, k, src, dst, n / sum(n) OVER (PARTITION BY symbol, k, src) AS p FROM cells),
+m AS (
+  SELECT * FROM seen
+  UNION ALL SELECT q.symbol, q.k, CAST(s.s AS INTEGER), CAST(s.s AS INTEGER), 1.0 FROM asked q, range(12) s(s)
+  WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.symbol = q.symbol AND c.k = q.k AND c.src = s.s)
+), steps AS (
+  SELECT symbol, k, 0 AS step, state AS dst, CAST(1 AS DOUBLE) AS p FROM asked
+  UNION ALL SELECT v.symbol, v.k, v.step + 1, m.dst, sum(v.p * m.p) FROM steps v JOIN m ON m.symbol = v.symbol AND m.k = v.k AND m.src = v.dst
+  WHERE v.step < {steps} GROUP BY v.symbol, v.k, v.step, m.dst
+)"""
+
+
 def query(body: str, *parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(parts)}\n{body}"

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.constants import STATE_LABELS
-from ..operators import backtest, expectancy, markov, monitoring, paths, regimes, states
+from ..functions.constants import N_STATES, STATE_LABELS, VOL_LABELS
+from ..functions.windows import by_symbol
+from ..operators import backtest, expectancy, markov, monitoring, paths, positions, regimes, states
 from ..operators import forecast as fc
 from ..operators import statistics as stats
 from ..operators.indicators import add_indicators
 from ..sources.bars import bars, clean_bars, hourly_bars, missing_report
-from ..sources.storage import shared_dir
+from ..sources.storage import stored
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,8 +320,10 @@ def _(spark, sf):
 
 
 def all_days(spark, sf):
+    """Days of orders and events, and those of orders moved to another century and another decade."""
     days = spark.read.parquet(f"{sf}/orders.parquet").select(F.to_date("o_orderdate").alias("day"))
-    return days.union(spark.read.parquet(f"{sf}/events.parquet").select(F.to_date("ts"))).distinct()
+    moved = days.select(F.explode(F.array(F.date_add("day", 36525), F.date_sub("day", 9000))))
+    return days.union(moved).union(spark.read.parquet(f"{sf}/events.parquet").select(F.to_date("ts"))).distinct()
 
 
 def _calendar_sql() -> str:
@@ -332,11 +335,12 @@ def _calendar_sql() -> str:
         return ", ".join(f"DATE '{d}'" for d in days)
 
     one = datetime.timedelta(days=1)
-    near = sorted({d + s * one for d in regimes.holidays(1990, 2035) for s in (-1, 1) if (d + s * one).weekday() < 5})
+    near = sorted({d + s * one for d in regimes.holidays(1969, 2101) for s in (-1, 1) if (d + s * one).weekday() < 5})
     return f"""
-    WITH days AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(ts AS DATE) FROM events),
+    WITH days AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(ts AS DATE) FROM events
+                  UNION SELECT CAST(o_orderdate AS DATE) + 36525 FROM orders UNION SELECT CAST(o_orderdate AS DATE) - 9000 FROM orders),
     cal AS (
-      SELECT date_trunc('month', x)::DATE AS month, x FROM (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2035-12-31', INTERVAL 1 DAY)) AS DATE) AS x)
+      SELECT date_trunc('month', x)::DATE AS month, x FROM (SELECT CAST(unnest(generate_series(DATE '1969-01-01', DATE '2101-12-31', INTERVAL 1 DAY)) AS DATE) AS x)
     ), opex AS (SELECT month, x AS friday FROM (SELECT month, x, row_number() OVER (PARTITION BY month ORDER BY x) AS k FROM cal WHERE isodow(x) = 5) WHERE k = 3),
     ends AS (SELECT x FROM (SELECT x, row_number() OVER (PARTITION BY month ORDER BY x DESC) AS k FROM cal WHERE isodow(x) < 6) WHERE k <= 3),
     fomc AS (SELECT unnest([{listed(EVENT_DATES["FOMC"])}]) AS x), cpi AS (SELECT unnest([{listed(EVENT_DATES["CPI"])}]) AS x)
@@ -349,13 +353,11 @@ def _calendar_sql() -> str:
 
 @register("calendar_states", _calendar_sql())
 def _(spark, sf):
-    return all_days(spark, sf).select("day", regimes.calendar_state(F.col("day")).alias("calendar_state"))
+    return regimes.with_calendar_state(all_days(spark, sf), "day")
 
 
 def risk_inputs(spark, sf):
     df = add_indicators(bars(spark, sf))
-    from ..functions.windows import by_symbol
-
     return df.withColumn("gap", F.col("open") / F.lag("close", 2).over(by_symbol()) - 1)
 
 
@@ -363,8 +365,8 @@ RISK = """
 risk AS (SELECT *, open / lag(close, 2) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS gap FROM ind),
 liq AS (
   SELECT *, CASE WHEN coalesce(volume_zscore_20 > 4, false) OR coalesce(realized_vol_20 > 0.06, false) OR coalesce(abs(gap) > 0.05, false) THEN 'PANIC_LIQUIDITY'
-    WHEN coalesce(volume_zscore_20 > 2.5, false) OR coalesce(realized_vol_20 > 0.04, false) OR coalesce(abs(gap) > 0.03, false) THEN 'STRESSED'
-    WHEN coalesce(volume_zscore_20 < -1, false) OR coalesce(realized_vol_20 > 0.025, false) THEN 'THIN' ELSE 'NORMAL' END AS liquidity_state
+    WHEN coalesce(volume_zscore_20 > 2.5, false) OR coalesce(realized_vol_20 > 0.04, false) OR coalesce(abs(gap) > 0.03, false) THEN 'STRESSED_LIQUIDITY'
+    WHEN coalesce(volume_zscore_20 < -1, false) OR coalesce(realized_vol_20 > 0.025, false) THEN 'THIN_LIQUIDITY' ELSE 'NORMAL_LIQUIDITY' END AS liquidity_state
   FROM risk
 )"""
 
@@ -372,10 +374,10 @@ liq AS (
 @register(
     "liquidity_and_costs",
     o.query(
-        """SELECT symbol, pos, liquidity_state, CASE liquidity_state WHEN 'NORMAL' THEN 5.0 WHEN 'THIN' THEN 12.0 WHEN 'STRESSED' THEN 30.0 ELSE 80.0 END AS round_trip_bps,
-        CASE liquidity_state WHEN 'NORMAL' THEN 2.5 WHEN 'THIN' THEN 6.0 WHEN 'STRESSED' THEN 15.0 ELSE 40.0 END AS entry_bps,
+        """SELECT symbol, pos, liquidity_state, CASE liquidity_state WHEN 'NORMAL_LIQUIDITY' THEN 5.0 WHEN 'THIN_LIQUIDITY' THEN 12.0 WHEN 'STRESSED_LIQUIDITY' THEN 30.0 ELSE 80.0 END AS round_trip_bps,
+        CASE liquidity_state WHEN 'NORMAL_LIQUIDITY' THEN 2.5 WHEN 'THIN_LIQUIDITY' THEN 6.0 WHEN 'STRESSED_LIQUIDITY' THEN 15.0 ELSE 40.0 END AS entry_bps,
         liquidity_state = 'PANIC_LIQUIDITY' AS blocked,
-        round(return_1d - CASE liquidity_state WHEN 'NORMAL' THEN 5.0 WHEN 'THIN' THEN 12.0 WHEN 'STRESSED' THEN 30.0 ELSE 80.0 END / 1e4, 6) AS net_return FROM liq""",
+        round(return_1d - CASE liquidity_state WHEN 'NORMAL_LIQUIDITY' THEN 5.0 WHEN 'THIN_LIQUIDITY' THEN 12.0 WHEN 'STRESSED_LIQUIDITY' THEN 30.0 ELSE 80.0 END / 1e4, 6) AS net_return FROM liq""",
         o.BARS, o.INDICATORS, RISK,
     ),
 )
@@ -580,11 +582,11 @@ def _(spark, sf):
 
 @register(
     "unstable_states",
-    o.query("SELECT symbol, src, round(avg(stability), 6) AS mean_stability FROM stab GROUP BY ALL HAVING avg(stability) < 0.7", *LAB, o.PAIRS, ROLLING, STABILITY),
+    o.query("SELECT symbol, src, round(avg(stability), 6) AS mean_stability FROM stab GROUP BY ALL HAVING avg(stability) < 0.97", *LAB, o.PAIRS, ROLLING, STABILITY),
 )
 def _(spark, sf):
     per = markov.stability(markov.rolling_matrices(labelled(spark, sf), 120, 40), 40)
-    return rounded(markov.unstable_states(per), "mean_stability")
+    return rounded(markov.unstable_states(per, 0.97), "mean_stability")
 
 
 @register(
@@ -603,15 +605,41 @@ def _(spark, sf):
     return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252, (1,)), "p")
 
 
-# The reference's four horizons; those of several steps have no SQL form, so that of one step is checked above.
-@register("walkforward_forecasts_steps")
+@register(
+    "walkforward_forecasts_steps",
+    o.query(
+        "SELECT s.symbol, q.pos, CAST(step AS INTEGER) AS horizon, dst, round(p, 6) AS p FROM steps s JOIN asked q ON q.symbol = s.symbol AND q.k = s.k WHERE step IN (1, 5, 10, 20) AND p > 0",
+        *LAB, o.PAIRS, "asked AS (SELECT symbol, pos, k, state, k - 252 AS a, k AS b FROM known WHERE k >= 252)", o.STEPS.replace("{steps}", "20"), recursive=True,
+    ),
+)
 def _(spark, sf):
     return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252), "p")
 
 
-@register("walkforward_markov_value")
+def _markov_value_sql(body: str, horizon: int) -> str:
+    return o.query(
+        body,
+        *LAB, o.PAIRS,
+        f"asked AS (SELECT symbol, pos, k, state, greatest(0, k - {horizon} - 252) AS a, k - {horizon} AS b FROM known WHERE k >= {horizon} + 5)",
+        o.STEPS.replace("{steps}", str(horizon)),
+        f"""payoff AS (
+          SELECT q.symbol, q.k, l.state AS dst, count(r) AS n, avg(r) - 0.0005 AS ev FROM asked q
+          JOIN (SELECT symbol, pos, state, lead(close, {horizon}) OVER (PARTITION BY symbol ORDER BY pos) / close - 1 AS r FROM lab) l
+          ON l.symbol = q.symbol AND l.pos >= q.a AND l.pos < q.b GROUP BY ALL HAVING count(r) >= 5
+        ), valued AS (
+          SELECT s.symbol, s.k, sum(s.p * f.ev) AS markov_ev, sum(s.p) AS coverage, sum(s.p * f.n) AS weighted_samples FROM steps s
+          JOIN payoff f ON f.symbol = s.symbol AND f.k = s.k AND f.dst = s.dst WHERE step = {horizon} GROUP BY ALL
+        ), markov_values AS (
+          SELECT q.symbol, q.pos, q.state, CASE WHEN any_f THEN coalesce(markov_ev, 0) END AS markov_ev, coalesce(coverage, 0) AS coverage, coalesce(weighted_samples, 0) AS weighted_samples
+          FROM asked q LEFT JOIN valued v ON v.symbol = q.symbol AND v.k = q.k LEFT JOIN (SELECT DISTINCT symbol, k, true AS any_f FROM payoff) f ON f.symbol = q.symbol AND f.k = q.k
+        )""",
+        recursive=True,
+    )
+
+
+@register("walkforward_markov_value", _markov_value_sql("SELECT symbol, pos, state, round(markov_ev, 9) AS markov_ev, round(coverage, 9) AS coverage, round(weighted_samples, 9) AS weighted_samples FROM markov_values", 5))
 def _(spark, sf):
-    return rounded(markov.walkforward_markov_value(labelled(spark, sf)), "markov_ev", "coverage", "weighted_samples")
+    return rounded(markov.walkforward_markov_value(labelled(spark, sf)), "markov_ev", "coverage", "weighted_samples", places=9)
 
 
 @register("stationary_distribution")
@@ -686,7 +714,7 @@ up AS (
          coalesce(close / lag(close) OVER (PARTITION BY symbol ORDER BY pos) - 1, 0) AS r
   FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY pos ROWS 49 PRECEDING), b AS (PARTITION BY symbol ORDER BY pos ROWS 199 PRECEDING)
 ), crossed AS (
-  SELECT symbol, exp(sum(ln(1 + l * r))) - 1 AS total_return, avg(l) AS exposure_time FROM (
+  SELECT symbol, product(1 + l * r) - 1 AS total_return, avg(l) AS exposure_time FROM (
     SELECT *, coalesce(lag(u::INT) OVER (PARTITION BY symbol ORDER BY pos), 0) AS l FROM up) GROUP BY symbol
 )"""
 
@@ -705,7 +733,7 @@ topped AS (
 ), """
     + o.selected("bsel", "(SELECT symbol, pos FROM topped WHERE close > top AND b IS NOT NULL)").strip()
     + """, broke AS (
-  SELECT n.symbol, coalesce(exp(sum(ln(1 + net))) - 1, 0) AS total_return, count(net) AS trade_count,
+  SELECT n.symbol, coalesce(product(1 + net) - 1, 0) AS total_return, count(net) AS trade_count,
          avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (net IS NOT NULL) AS win_rate, 5 * count(net) / any_value(n.bars) AS exposure_time
   FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) n
   LEFT JOIN (SELECT t.symbol, t.b / t.a - 1 - 0.0005 AS net FROM bsel s JOIN topped t ON s.symbol = t.symbol AND s.pos = t.pos) x ON x.symbol = n.symbol GROUP BY n.symbol
@@ -722,7 +750,7 @@ def _(spark, sf):
     "model_comparison",
     o.query(
         """SELECT m.symbol, model, round(m.total_return, 6) AS total_return, round(m.total_return - h.total_return, 6) AS excess_vs_buy_hold FROM (
-          SELECT symbol, 'state_ev' AS model, total_return FROM bt_b UNION ALL SELECT symbol, 'buy_and_hold', total_return FROM hold
+          SELECT symbol, 'state_ev_strategy' AS model, total_return FROM bt_b UNION ALL SELECT symbol, 'buy_and_hold', total_return FROM hold
           UNION ALL SELECT symbol, 'ma_crossover', total_return FROM crossed UNION ALL SELECT symbol, 'breakout', total_return FROM broke) m JOIN hold h ON m.symbol = h.symbol""",
         *WF, o.TRADED, PERF, HOLD, CROSS, BREAKOUT, recursive=True,
     ),
@@ -747,15 +775,54 @@ def _(spark, sf):
     return rounded(backtest.random_label_backtest(labelled(spark, sf)), *PERF_COLUMNS)
 
 
-@register("sensitivity_grid")
+GRID = o.grid_stats()
+
+
+@register("sensitivity_grid", o.query("SELECT * FROM grid_stats", *LAB, GRID, recursive=True))
 def _(spark, sf):
     return rounded(backtest.sensitivity_grid(labelled(spark, sf)), *PERF_COLUMNS)
 
 
-@register("sensitivity_summary")
+SPREAD_SQL = """SELECT symbol, count(sharpe) AS n, round(median(sharpe), 5) AS median, round(stddev_samp(sharpe), 5) AS spread,
+  round(quantile_cont(sharpe, 0.75) - quantile_cont(sharpe, 0.25), 5) AS iqr, round(min(sharpe), 5) AS lowest, round(max(sharpe), 5) AS highest,
+  round(avg(CASE WHEN sharpe < 0 THEN 1.0 ELSE 0.0 END) FILTER (sharpe IS NOT NULL), 5) AS share_negative FROM grid_stats GROUP BY symbol"""
+SPREAD_COLUMNS = ("median", "spread", "iqr", "lowest", "highest", "share_negative")
+
+
+def sensitivity_spread(spark, sf):
+    grid = rounded(backtest.sensitivity_grid(labelled(spark, sf)), "sharpe")
+    return rounded(expectancy.sensitivity_summary(grid), *SPREAD_COLUMNS, places=5)
+
+
+@register("sensitivity_summary", o.query(SPREAD_SQL, *LAB, GRID, recursive=True))
+def _(spark, sf):
+    return sensitivity_spread(spark, sf)
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """Report rows with their place; a report has few rows, so one task numbers them."""
+    from pyspark.sql import Window
+
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@register("stability_ranked", o.query(f"SELECT *, CAST(row_number() OVER (ORDER BY median DESC NULLS LAST, symbol) AS INTEGER) AS place FROM ({SPREAD_SQL})", *LAB, GRID, recursive=True))
+def _(spark, sf):
+    return ranked(sensitivity_spread(spark, sf), F.col("median").desc_nulls_last(), "symbol")
+
+
+@register(
+    "sensitivity_top",
+    o.query(
+        """SELECT symbol, horizon, lookback, cost_bps, min_samples, total_return, sharpe, trade_count,
+        CAST(row_number() OVER (ORDER BY sharpe DESC NULLS LAST, symbol, horizon, lookback, cost_bps, min_samples) AS INTEGER) AS place FROM grid_stats QUALIFY place <= 24""",
+        *LAB, GRID, recursive=True,
+    ),
+)
 def _(spark, sf):
-    cols = ("median", "spread", "iqr", "lowest", "highest", "share_negative")
-    return rounded(expectancy.sensitivity_summary(backtest.sensitivity_grid(labelled(spark, sf))), *cols)
+    keys = ("symbol", "horizon", "lookback", "cost_bps", "min_samples")
+    grid = rounded(backtest.sensitivity_grid(labelled(spark, sf)), "total_return", "sharpe").select(*keys, "total_return", "sharpe", "trade_count")
+    return ranked(grid.orderBy(F.col("sharpe").desc_nulls_last(), *keys).limit(24), F.col("sharpe").desc_nulls_last(), *keys)
 
 
 def _lift_sql() -> str:
@@ -779,6 +846,20 @@ def _(spark, sf):
 # Drift and conditional forecasts
 
 
+def drift_sql(recent: int = 60, threshold: float = 0.1) -> str:
+    return f"""part AS (SELECT symbol, state, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) <= {recent} AS recent FROM lab),
+    drifted AS (
+      SELECT t.symbol, t.n AS n_states_seen, CASE WHEN t.n > {recent} THEN kl END AS kl, t.n > {recent} AND kl >= {threshold} AS alert,
+        CASE WHEN t.n > {recent} THEN 'ok' ELSE 'insufficient_history' END AS status
+        FROM (SELECT symbol, count(*) AS n FROM lab GROUP BY symbol) t
+        JOIN (SELECT symbol, sum(greatest(p, 1e-12) * (ln(greatest(p, 1e-12)) - ln(greatest(q, 1e-12)))) AS kl FROM (
+          SELECT symbol, state, max(s) FILTER (recent) AS p, max(s) FILTER (NOT recent) AS q FROM (
+            SELECT g.symbol, g.recent, g.state, (coalesce(n, 0) + 1e-6) / sum(coalesce(n, 0) + 1e-6) OVER (PARTITION BY g.symbol, g.recent) AS s
+            FROM (SELECT DISTINCT symbol, recent, CAST(a.a AS INTEGER) AS state FROM part, range(12) a(a)) g
+            LEFT JOIN (SELECT symbol, recent, state, count(*) AS n FROM part GROUP BY ALL) c ON c.symbol = g.symbol AND c.recent = g.recent AND c.state = g.state)
+          GROUP BY ALL) GROUP BY symbol) k ON t.symbol = k.symbol)"""
+
+
 @register(
     "state_distribution",
     o.query(
@@ -792,22 +873,7 @@ def _(spark, sf):
     return rounded(monitoring.state_distribution(labelled(spark, sf), ["symbol"]), "p")
 
 
-@register(
-    "drift_monitor",
-    o.query(
-        """SELECT t.symbol, t.n AS n_states_seen, round(CASE WHEN t.n > 60 THEN kl END, 6) AS kl, t.n > 60 AND kl >= 0.1 AS alert,
-        CASE WHEN t.n > 60 THEN 'ok' ELSE 'insufficient_history' END AS status
-        FROM (SELECT symbol, count(*) AS n FROM lab GROUP BY symbol) t
-        JOIN (SELECT symbol, sum(greatest(p, 1e-12) * (ln(greatest(p, 1e-12)) - ln(greatest(q, 1e-12)))) AS kl FROM (
-          SELECT symbol, state, max(s) FILTER (recent) AS p, max(s) FILTER (NOT recent) AS q FROM (
-            SELECT g.symbol, g.recent, g.state, (coalesce(n, 0) + 1e-6) / sum(coalesce(n, 0) + 1e-6) OVER (PARTITION BY g.symbol, g.recent) AS s
-            FROM (SELECT DISTINCT symbol, recent, CAST(a.a AS INTEGER) AS state FROM part, range(12) a(a)) g
-            LEFT JOIN (SELECT symbol, recent, state, count(*) AS n FROM part GROUP BY ALL) c ON c.symbol = g.symbol AND c.recent = g.recent AND c.state = g.state)
-          GROUP BY ALL) GROUP BY symbol) k ON t.symbol = k.symbol""",
-        *LAB,
-        "part AS (SELECT symbol, state, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) <= 60 AS recent FROM lab)",
-    ),
-)
+@register("drift_monitor", o.query("SELECT symbol, n_states_seen, round(kl, 6) AS kl, alert, status FROM drifted", *LAB, drift_sql()))
 def _(spark, sf):
     return rounded(monitoring.drift_monitor(labelled(spark, sf)), "kl")
 
@@ -816,7 +882,7 @@ def records(spark, sf):
     """Labelled bars as composite records; some modifiers are unknown."""
     df = regimes.volatility_state(labelled(spark, sf))
     label = states.state_names(df, out="base_state")
-    vol = F.when(F.col("vol_rank").isNotNull(), F.get(F.array(*[F.lit(x) for x in ("LOW", "NORMAL", "HIGH", "COMPRESSION", "EXPANSION")]), F.col("vol_state")))
+    vol = F.when(F.col("vol_rank").isNotNull(), F.get(F.array(*[F.lit(x) for x in VOL_LABELS.values()]), F.col("vol_state")))
     trend = F.when(F.col("close") > F.col("sma_50"), "UP").when(F.col("close") <= F.col("sma_50"), "DOWN")
     return label.select(
         "symbol", "pos", "base_state", vol.alias("volatility_state"), trend.alias("macro_state"),
@@ -826,7 +892,7 @@ def records(spark, sf):
 
 RECORDS = f"""
 rec AS (
-  SELECT symbol, pos, {LABEL_CASE} AS b, coalesce(CASE WHEN vol_rank IS NOT NULL THEN (['LOW', 'NORMAL', 'HIGH', 'COMPRESSION', 'EXPANSION'])[vol_state + 1] END, '*') AS v,
+  SELECT symbol, pos, {LABEL_CASE} AS b, coalesce(CASE WHEN vol_rank IS NOT NULL THEN (['LOW_VOL', 'NORMAL_VOL', 'HIGH_VOL', 'VOL_COMPRESSION', 'VOL_EXPANSION'])[vol_state + 1] END, '*') AS v,
          coalesce(CASE WHEN close > sma_50 THEN 'UP' WHEN close <= sma_50 THEN 'DOWN' END, '*') AS m,
          CASE WHEN isodow(date) = 5 THEN 'FRIDAY' ELSE '*' END AS c
   FROM vol
@@ -897,12 +963,30 @@ def _(spark, sf):
     )
 
 
-@register("forecast_rows")
+@register(
+    "forecast_rows",
+    o.query(
+        """SELECT symbol, CAST(NULL AS VARCHAR) AS date, base_state, conditions_requested, conditions_used, fallback_level, sample_count,
+        CASE WHEN risk >= 0.9 THEN p * 0 ELSE p END AS probability, CAST(NULL AS VARCHAR) AS expected_value_after_cost, CAST(NULL AS VARCHAR) AS cost_model_used,
+        CASE WHEN risk >= 0.9 THEN 'low' WHEN risk >= 0.75 THEN CASE WHEN c = 'high' THEN 'medium' ELSE 'low' END ELSE c END AS confidence,
+        CAST(NULL AS VARCHAR) AS historical_stability, CAST(NULL AS VARCHAR) AS invalidation_trigger,
+        concat_ws(',', CASE WHEN fallback_level < 4 THEN 'fallback_used' END, CASE WHEN sample_count < 30 THEN 'low_sample' END, CASE WHEN bare THEN 'no_transitions' END,
+          'cross_asset_' || lower(stress), CASE WHEN risk >= 0.7 THEN 'reflexivity_elevated' END) AS warnings
+        FROM (SELECT *, CASE WHEN stress = 'PANIC' THEN 'low' WHEN stress = 'STRESS' AND c0 = 'high' THEN 'medium' ELSE c0 END AS c FROM (
+          SELECT f.symbol, r.b AS base_state, k.key AS conditions_requested, f.used_key AS conditions_used, CAST(f.fallback_level AS INTEGER) AS fallback_level, f.sample_count, round(t.p, 6) AS p, bare,
+                 (f.pos % 11) / 11 AS risk, CASE f.pos % 3 WHEN 0 THEN 'PANIC' WHEN 1 THEN 'STRESS' ELSE 'CALM' END AS stress,
+                 CASE WHEN f.sample_count >= 50 THEN 'high' WHEN f.sample_count >= 30 THEN 'medium' ELSE 'low' END AS c0
+          FROM fcs f JOIN rec r ON r.symbol = f.symbol AND r.pos = f.pos JOIN keyed k ON k.symbol = f.symbol AND k.pos = f.pos AND k.level = 4
+          LEFT JOIN (SELECT symbol, level, key, count(*) FILTER (next_key = key) / nullif(count(next_key), 0) AS p, count(*) FILTER (next_key = key) AS c FROM seq GROUP BY ALL) t
+          ON t.symbol = f.symbol AND t.level = f.fallback_level AND t.key = f.used_key AND t.c > 0))""",
+        *REC, FORECAST,
+    ),
+)
 def _(spark, sf):
     df = forecasts(spark, sf).withColumn("stress", F.when(F.col("pos") % 3 == 0, "PANIC").when(F.col("pos") % 3 == 1, "STRESS").otherwise("CALM"))
     df = fc.with_tail_risk(fc.with_stress(df, "stress").withColumn("risk", (F.col("pos") % 11) / 11), "risk")
     df = fc.with_warning(df, F.col("risk") >= 0.7, "reflexivity_elevated")
-    return fc.forecast_rows(df, "used_key")
+    return rounded(fc.forecast_rows(df, "used_key"), "probability").withColumn("warnings", F.array_join("warnings", ","))
 
 
 @register(
@@ -982,54 +1066,82 @@ def _(spark, sf):
 
 
 def signal_bars(spark, sf):
+    """Bars with the estimate of their state, the symbol's drift alert and the day's macro veto."""
     df = labelled(spark, sf).select("symbol", "date", "pos", "close", "state")
-    values = expectancy.walkforward(df).select("symbol", "pos", "ev_after_cost")
-    return df.join(values, ["symbol", "pos"], "left").withColumns({"drift": F.col("pos") % 97 == 0, "macro_ok": F.col("pos") % 31 != 0})
+    values = expectancy.walkforward(df, min_samples=10).select("symbol", "pos", "ev_after_cost", F.lit(True).alias("has_ev"))
+    drift = monitoring.drift_monitor(df, recent=250, threshold=0.45).select("symbol", F.col("alert").alias("drift"))
+    veto = macro(spark, sf).select("date", regimes.regime_allowed(F.col("macro_regime"), [-1, 0, 2]).alias("macro_ok"))
+    joined = df.join(values, ["symbol", "pos"], "left").join(drift, "symbol", "left").join(veto, "date", "left")
+    return joined.withColumns({"drift": F.coalesce("drift", F.lit(False)), "has_ev": F.coalesce("has_ev", F.lit(False))})
+
+
+# A position opened at p is due at p + 5, when the next one may open: greedy choice with a gap of 5.
+POSITIONS_SQL = (
+    *LAB, MACRO, o.WALKFORWARD.replace("train_count >= 5", "train_count >= 10").replace("pos >= 10", "pos >= 15"), drift_sql(250, 0.45),
+    """sig AS (
+      SELECT l.symbol, l.date, l.pos, l.close, l.state, wf.ev_after_cost, wf.symbol IS NOT NULL AS has_ev, lag(wf.ev_after_cost) OVER w AS ev,
+             lag(l.date) OVER w AS signal_date, lag(l.state) OVER w AS signal_state, lag(wf.symbol IS NOT NULL) OVER w AS had_ev,
+             coalesce(d.alert, false) AS drift, coalesce(coalesce(m.macro_regime, -1) IN (-1, 0, 2), true) AS macro_ok, max(l.pos) OVER (PARTITION BY l.symbol) AS last
+      FROM lab l LEFT JOIN wf ON l.symbol = wf.symbol AND l.pos = wf.pos LEFT JOIN drifted d ON d.symbol = l.symbol LEFT JOIN macro m ON m.date = l.date
+      WINDOW w AS (PARTITION BY l.symbol ORDER BY l.pos))""",
+    o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND NOT drift AND macro_ok AND pos + 5 <= last)", 3),
+    """taken AS (
+      SELECT e.symbol, e.pos, e.symbol || '-' || e.pos AS position_id, e.signal_date, e.date AS entry_date, e.close AS entry_price, 5 AS horizon,
+             e.signal_state AS state, round(e.ev, 6) AS signal_ev, x.date AS target_exit_date, x.date AS exit_date, x.close AS exit_price,
+             round(x.close / e.close - 1 - 0.0005, 6) AS net_return, 'horizon_reached' AS closed_reason
+      FROM psel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos JOIN sig x ON x.symbol = e.symbol AND x.pos = e.pos + 5)""",
+)
+DECISIONS_SQL = """SELECT t.symbol, x.pos, x.date, 'close' AS action, 'horizon_reached' AS reason, position_id, exit_price AS price, net_return,
+      CAST(NULL AS DATE) AS signal_date, CAST(NULL AS DOUBLE) AS signal_ev, CAST(NULL AS INTEGER) AS state FROM taken t JOIN sig x ON x.symbol = t.symbol AND x.pos = t.pos + 5
+    UNION ALL SELECT g.symbol, g.pos, g.date, CASE WHEN e.symbol IS NOT NULL THEN 'open' ELSE 'skip_entry' END,
+      CASE WHEN drift THEN 'drift_alert' WHEN NOT macro_ok THEN 'macro_filter' WHEN held.symbol IS NOT NULL THEN 'already_open' WHEN g.pos = 0 THEN 'no_yesterday_bar'
+           WHEN NOT had_ev THEN 'no_ev_for_signal_date' WHEN coalesce(ev <= 0, true) THEN 'ev_below_threshold' WHEN e.symbol IS NULL THEN 'horizon_past_data' END,
+      CASE WHEN e.symbol IS NOT NULL THEN e.position_id WHEN NOT drift AND macro_ok THEN held.position_id END, e.entry_price, NULL, e.signal_date,
+      CASE WHEN NOT drift AND macro_ok AND held.symbol IS NULL AND g.pos > 0 AND had_ev AND (e.symbol IS NOT NULL OR ev <= 0) THEN round(ev, 6) END, e.state
+    FROM sig g LEFT JOIN taken e ON e.symbol = g.symbol AND e.pos = g.pos
+    LEFT JOIN taken held ON held.symbol = g.symbol AND g.pos > held.pos AND g.pos < held.pos + 5"""
 
 
-@register("paper_trading")
-def _(spark, sf):
-    from ..operators import positions
+def decisions(spark, sf):
+    return positions.paper_trade(signal_bars(spark, sf))
 
-    return rounded(positions.paper_trade(signal_bars(spark, sf)), "net_return")
 
+def paper_positions(spark, sf):
+    return positions.positions_from(decisions(spark, sf), labelled(spark, sf).select("symbol", "pos", "date"))
 
-@register(
-    "paper_positions",
-    # A position opened at p is due at p + 5, when the next one may open: greedy choice with a gap of 5.
-    o.query(
-        """SELECT e.symbol, e.symbol || '-' || e.pos AS position_id, e.date AS entry_date, e.close AS entry_price, x.date AS exit_date, x.close AS exit_price,
-        round(x.close / e.close - 1 - 0.0005, 6) AS net_return FROM psel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos
-        LEFT JOIN sig x ON x.symbol = e.symbol AND x.pos = e.pos + 5""",
-        *LAB, o.WALKFORWARD, o.WF_ALL,
-        "sig AS (SELECT *, lag(ev_after_cost) OVER (PARTITION BY symbol ORDER BY pos) AS ev FROM wf_all)",
-        o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND pos % 97 <> 0 AND pos % 31 <> 0)", 3),
-        recursive=True,
-    ),
-)
+
+@register("paper_trading", o.query(DECISIONS_SQL, *POSITIONS_SQL, recursive=True))
+def _(spark, sf):
+    return rounded(decisions(spark, sf), "net_return", "signal_ev")
+
+
+@register("latest_decisions", o.query(f"SELECT * FROM ({DECISIONS_SQL}) QUALIFY dense_rank() OVER (PARTITION BY symbol ORDER BY pos DESC) = 1", *POSITIONS_SQL, recursive=True))
 def _(spark, sf):
-    from ..operators import positions
+    return rounded(positions.latest_decisions(decisions(spark, sf)), "net_return", "signal_ev")
 
-    return rounded(positions.positions_from(positions.paper_trade(signal_bars(spark, sf))), "net_return")
+
+@register("paper_positions", o.query("SELECT * EXCLUDE (pos) FROM taken", *POSITIONS_SQL, recursive=True))
+def _(spark, sf):
+    return rounded(paper_positions(spark, sf), "net_return", "signal_ev")
 
 
 @register(
     "open_position_marks",
     o.query(
-        """SELECT e.symbol || '-' || e.pos AS position_id, e.symbol, round(l.close / e.close - 1, 6) AS unrealized FROM psel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos
-        JOIN (SELECT symbol, max_by(close, pos) AS close, max(pos) AS pos FROM sig GROUP BY symbol) l ON l.symbol = e.symbol WHERE e.pos + 5 > l.pos""",
-        *LAB, o.WALKFORWARD, o.WF_ALL,
-        "sig AS (SELECT *, lag(ev_after_cost) OVER (PARTITION BY symbol ORDER BY pos) AS ev FROM wf_all)",
-        o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND pos % 97 <> 0 AND pos % 31 <> 0)", 3),
+        """SELECT t.position_id, t.symbol, round(l.close / t.entry_price - 1, 6) AS unrealized FROM taken t JOIN days l ON l.symbol = t.symbol
+        WHERE t.entry_date <= l.day AND t.exit_date > l.day""",
+        *POSITIONS_SQL, "days AS (SELECT s.symbol, s.date AS day, s.close FROM sig s JOIN (SELECT symbol, max(pos) + 2 AS pos FROM taken GROUP BY symbol) n ON n.symbol = s.symbol AND n.pos = s.pos)",
         recursive=True,
     ),
 )
 def _(spark, sf):
-    from ..operators import positions
-
-    df = signal_bars(spark, sf)
-    prices = df.groupBy("symbol").agg(F.max_by("close", "pos").alias("price"))
-    return rounded(positions.mark_to_market(positions.positions_from(positions.paper_trade(df)), prices), "unrealized")
+    """Open positions two bars after each symbol's last entry, at that bar's close."""
+    table, df = stored(paper_positions(spark, sf), "positions"), labelled(spark, sf)
+    entries = table.groupBy("symbol").agg(F.max("entry_date").alias("entry_date"))
+    bars_ = df.select("symbol", "date", "close", F.lead("date", 2).over(by_symbol()).alias("day"), F.lead("close", 2).over(by_symbol()).alias("price"))
+    days = bars_.join(entries, "symbol").where("date = entry_date").select("symbol", "day", "price")
+    held = positions.as_of(table, days.select("symbol", "day"))
+    return rounded(positions.mark_to_market(held, days.select("symbol", "price")), "unrealized")
 
 
 @register(
@@ -1045,15 +1157,22 @@ def _(spark, sf):
     return bars_.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@register("streaming_positions")
+@register(
+    "streaming_positions",
+    o.query(
+        """SELECT symbol, pos, 'open' AS action, CAST(NULL AS VARCHAR) AS reason, symbol || '-' || pos AS position_id, close AS price, CAST(NULL AS DOUBLE) AS net_return
+        FROM sig JOIN ssel USING (symbol, pos)
+        UNION ALL SELECT x.symbol, x.pos, 'close', 'horizon_reached', e.symbol || '-' || e.pos, x.close, round(x.close / e.close - 1 - 0.0005, 6)
+        FROM ssel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos JOIN sig x ON x.symbol = e.symbol AND x.pos = e.pos + 5""",
+        *POSITIONS_SQL, o.selected("ssel", "(SELECT symbol, pos FROM sig WHERE ev > 0)", 3), recursive=True,
+    ),
+)
 def _(spark, sf):
-    """Daily bars written as files and read as a stream; decisions equal a batch run's."""
+    """Daily bars written as files and read as a stream; decisions equal a batch run's, but for the end of the data."""
     from ..streaming import bars as streams
 
-    folder = f"{shared_dir(spark)}/signal-{abs(hash(sf)) % 10**8}"
-    df = signal_bars(spark, sf).select("symbol", F.col("pos").alias("seq"), "close", "ev_after_cost")
-    df.write.mode("overwrite").parquet(folder)
-    stream = spark.readStream.schema(df.schema).parquet(folder)
+    signals = stored(signal_bars(spark, sf).select("symbol", F.col("pos").alias("seq"), "close", "ev_after_cost"), "signals")
+    stream = spark.readStream.schema(signals.schema).parquet(signals.inputFiles()[0].rsplit("/", 1)[0])
     return rounded(streams.drained(streams.streaming_positions(stream), "positions"), "net_return")
 
 
@@ -1094,3 +1213,174 @@ def _(spark, sf):
     df = bars(spark, sf).withColumn("provider", F.when(F.col("pos") % 2 == 0, "a").otherwise("b"))
     out = monitoring.provider_pivot(df, "a", "b", ["close", "volume"])
     return rounded(out, *[c for c in out.columns if c != "symbol"])
+
+
+# Regimes by name, merged reports and dashboard views
+
+
+def named_regimes(spark, sf):
+    """Volatility states as regimes, with the returns and volatility that name them."""
+    df = regimes.volatility_state(labelled(spark, sf)).withColumn("return_1d", F.col("close") / F.lag("close").over(by_symbol()) - 1)
+    df = df.where("return_1d IS NOT NULL AND realized_vol_20 IS NOT NULL").withColumnRenamed("vol_state", "regime")
+    return df, stats.name_regimes(df)
+
+
+NAMED = """
+rg AS (SELECT * FROM (SELECT symbol, pos, vol_state AS regime, realized_vol_20, close / lag(close) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS r FROM vol) WHERE r IS NOT NULL AND realized_vol_20 IS NOT NULL),
+rm AS (SELECT symbol, regime, avg(r) AS mean_return, avg(realized_vol_20) AS mean_vol FROM rg GROUP BY ALL),
+named AS (
+  SELECT *, CASE WHEN mean_return >= median(mean_return) OVER (PARTITION BY symbol) THEN CASE WHEN mean_vol >= median(mean_vol) OVER (PARTITION BY symbol) THEN 'RISK_ON_VOLATILE' ELSE 'RISK_ON_TREND' END
+            WHEN mean_vol >= median(mean_vol) OVER (PARTITION BY symbol) THEN 'RISK_OFF_VOLATILE' ELSE 'RISK_OFF_QUIET' END AS label FROM rm
+)"""
+
+
+@register("regime_names", o.query("SELECT symbol, regime, round(mean_return, 6) AS mean_return, round(mean_vol, 6) AS mean_vol, label FROM named", *LAB, o.VOL, NAMED))
+def _(spark, sf):
+    return rounded(named_regimes(spark, sf)[1], "mean_return", "mean_vol")
+
+
+@register(
+    "regime_signal",
+    o.query("SELECT g.symbol, g.pos, g.regime, n.label IN ('RISK_ON_TREND', 'RISK_ON_VOLATILE') AS allowed FROM rg g JOIN named n ON n.symbol = g.symbol AND n.regime = g.regime", *LAB, o.VOL, NAMED),
+)
+def _(spark, sf):
+    df, names = named_regimes(spark, sf)
+    return regimes.regime_signal(df.select("symbol", "pos", "regime"), names, ["RISK_ON_TREND", "RISK_ON_VOLATILE"])
+
+
+@register(
+    "regime_covariances",
+    o.query(
+        """SELECT symbol, regime, x.a AS a, y.b AS b, round(CASE WHEN x.a <> y.b THEN 0.0 WHEN x.a = 'return_1d' THEN vr ELSE vv END, 9) AS covariance
+        FROM (SELECT symbol, regime, var_pop(r) AS vr, var_pop(realized_vol_20) AS vv FROM rg GROUP BY ALL), (VALUES ('return_1d'), ('realized_vol_20')) x(a), (VALUES ('return_1d'), ('realized_vol_20')) y(b)""",
+        *LAB, o.VOL, NAMED,
+    ),
+)
+def _(spark, sf):
+    df = named_regimes(spark, sf)[0]
+    return rounded(stats.regime_covariances(df, stats.emissions(df, ("return_1d", "realized_vol_20", "not_there"))), "covariance", places=9)
+
+
+@register(
+    "merged_comparison",
+    o.query(
+        """SELECT m.symbol, model, round(m.total_return, 6) AS total_return, round(coalesce(excess, m.total_return - h.total_return), 6) AS excess_vs_buy_hold FROM (
+          SELECT symbol, 'buy_and_hold' AS model, total_return, 0.0 AS excess FROM hold
+          UNION ALL SELECT symbol, 'ma_crossover', total_return + 1, NULL FROM crossed UNION ALL SELECT symbol, 'breakout', total_return, NULL FROM broke) m JOIN hold h ON h.symbol = m.symbol""",
+        o.BARS, HOLD, CROSS, BREAKOUT, recursive=True,
+    ),
+)
+def _(spark, sf):
+    df = bars(spark, sf)
+    crossed = backtest.ma_crossover(df)
+    existing = backtest.excess_over_holding([("buy_and_hold", backtest.buy_and_hold(df)), ("ma_crossover", crossed)])
+    again = crossed.select("symbol", F.lit("ma_crossover").alias("model"), (F.col("total_return") + 1).alias("total_return"))
+    new = again.unionByName(backtest.breakout(df).select("symbol", F.lit("breakout").alias("model"), "total_return"))
+    return rounded(backtest.merge_models(existing, new), "total_return", "excess_vs_buy_hold")
+
+
+@register(
+    "source_summary_merged",
+    o.query(
+        """SELECT coalesce(a.symbol, b.symbol) AS symbol, a.n AS n_rows_left, b.n AS n_rows_right, a.lo AS first_date_left, b.lo AS first_date_right, a.hi AS last_date_left, b.hi AS last_date_right,
+        CAST(0 AS BIGINT) + a.miss AS missing_close_left, b.miss AS missing_close_right
+        FROM (SELECT symbol, count(*) AS n, min(date) AS lo, max(date) AS hi, count(*) - count(close) AS miss FROM bars WHERE symbol <> '5-LOW' GROUP BY 1) a
+        FULL OUTER JOIN (SELECT symbol, count(*) AS n, min(date) AS lo, max(date) AS hi, count(*) - count(close) AS miss FROM bars WHERE symbol <> '2-HIGH' GROUP BY 1) b ON a.symbol = b.symbol""",
+        o.BARS,
+    ),
+)
+def _(spark, sf):
+    df = bars(spark, sf)
+    left = monitoring.summarize_source(df.where("symbol <> '5-LOW'"), ["close"])
+    right = monitoring.summarize_source(df.where("symbol <> '2-HIGH'"), ["close"])
+    return monitoring.merge_summaries(left, right, "left", "right")
+
+
+@register(
+    "performance_ranked",
+    o.query(
+        """SELECT symbol, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, trade_count, round(total_return, 6) AS total_return,
+        CAST(row_number() OVER (ORDER BY round(total_return, 6) DESC NULLS LAST, symbol) AS INTEGER) AS place FROM bt_stats""",
+        *WF, o.TRADED, PERF, recursive=True,
+    ),
+)
+def _(spark, sf):
+    made = rounded(backtest.walkforward_backtest(labelled(spark, sf))[2], *PERF_COLUMNS)
+    return ranked(made.select("symbol", "sharpe", "max_drawdown", "trade_count", "total_return"), F.col("total_return").desc_nulls_last(), "symbol")
+
+
+@register(
+    "cluster_top_values",
+    o.query(
+        """SELECT cluster, state, n, ev_after_cost, CAST(row_number() OVER (ORDER BY ev_after_cost DESC, cluster, state) AS INTEGER) AS place FROM (
+          SELECT cluster, state, count(r) AS n, round(avg(r) - 0.0005, 6) AS ev_after_cost FROM fwd f JOIN clus c ON f.symbol = c.symbol WHERE horizon = 5 GROUP BY ALL) QUALIFY place <= 16""",
+        *LAB, o.FORWARD, FEATURES_SQL,
+    ),
+)
+def _(spark, sf):
+    clusters = paths.cluster_assets(paths.asset_features(bars(spark, sf))).select("symbol", "cluster")
+    table = expectancy.expectancy(labelled(spark, sf).join(clusters, "symbol"), ["cluster", "state"], (5,))
+    table = rounded(table.select("cluster", "state", "n", "ev_after_cost"), "ev_after_cost")
+    order = (F.col("ev_after_cost").desc(), "cluster", "state")
+    return ranked(table.orderBy(*order).limit(16), *order)
+
+
+@register(
+    "markov_top_values",
+    _markov_value_sql(
+        """SELECT symbol, pos, state, markov_ev, CAST(row_number() OVER (ORDER BY abs(markov_ev) DESC, symbol, pos) AS INTEGER) AS place
+        FROM (SELECT symbol, pos, state, round(markov_ev, 6) AS markov_ev FROM markov_values WHERE markov_ev IS NOT NULL) QUALIFY place <= 20""",
+        5,
+    ),
+)
+def _(spark, sf):
+    found = rounded(markov.walkforward_markov_value(labelled(spark, sf)), "markov_ev").where("markov_ev IS NOT NULL")
+    order = (F.abs("markov_ev").desc(), "symbol", "pos")
+    return ranked(found.select("symbol", "pos", "state", "markov_ev").orderBy(*order).limit(20), *order)
+
+
+@register("sharpe_intervals_ranked")
+def _(spark, sf):
+    """Bootstrap intervals, the highest ratio first; the draws have no SQL form."""
+    made = backtest.walkforward_backtest(labelled(spark, sf))[0].withColumnRenamed("signal_pos", "pos")
+    found = rounded(stats.bootstrap(made, "net_return", holding=5.0), "estimate", "low", "high")
+    return ranked(found, F.col("estimate").desc_nulls_last(), "symbol")
+
+
+@register("cluster_members", o.query("SELECT cluster, string_agg(symbol, ', ' ORDER BY symbol) AS symbols, count(*) AS n FROM clus GROUP BY cluster", o.BARS, FEATURES_SQL))
+def _(spark, sf):
+    return paths.cluster_members(paths.cluster_assets(paths.asset_features(bars(spark, sf))))
+
+
+@register(
+    "volatility_bars",
+    o.query(
+        f"""SELECT symbol || ' V' || vol_state || ' S' || state AS key, n, ev_after_cost, CAST(row_number() OVER (ORDER BY abs(ev_after_cost) DESC, symbol, vol_state, state) AS INTEGER) AS place FROM (
+          SELECT f.symbol, vol_state, f.state, count(r) AS n, round(avg(r) - 0.0005, 6) AS ev_after_cost FROM fwd f JOIN vol v ON f.symbol = v.symbol AND f.pos = v.pos WHERE horizon = 5 GROUP BY ALL)
+        WHERE n >= 10 AND isfinite(ev_after_cost) QUALIFY place <= 10""",
+        *LAB, o.VOL, o.FORWARD,
+    ),
+)
+def _(spark, sf):
+    df = regimes.volatility_state(labelled(spark, sf))
+    table = rounded(expectancy.expectancy(df, ["symbol", "vol_state", "state"], (5,)), "ev_after_cost").where("n >= 10 AND NOT isnan(ev_after_cost)")
+    order = (F.abs("ev_after_cost").desc(), "symbol", "vol_state", "state")
+    top = ranked(table.orderBy(*order).limit(10), *order)
+    return top.select(F.concat("symbol", F.lit(" V"), "vol_state", F.lit(" S"), "state").alias("key"), "n", "ev_after_cost", "place")
+
+
+@register(
+    "fallback_ranked",
+    o.query(
+        """SELECT CAST(fallback_level AS INTEGER) AS fallback_level, n, round(n / sum(n) OVER (), 6) AS share, CAST(row_number() OVER (ORDER BY fallback_level) AS INTEGER) AS place
+        FROM (SELECT fallback_level, count(*) AS n FROM fcs GROUP BY 1)""",
+        *REC, FORECAST,
+    ),
+)
+def _(spark, sf):
+    return ranked(rounded(fc.fallback_usage(forecasts(spark, sf)), "share"), "fallback_level")
+
+
+@register("dashboard_clusters", o.query("SELECT cluster, count(*) AS n FROM clus GROUP BY cluster", o.BARS, FEATURES_SQL))
+def _(spark, sf):
+    return paths.cluster_assets(paths.asset_features(bars(spark, sf))).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

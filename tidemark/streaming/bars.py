@@ -44,7 +44,8 @@ def streaming_positions(bars: DataFrame, horizon: int = 5, threshold: float = 0.
 
     The exit is set when a position opens, so the newest bar can open one; a
     batch's bars are taken in the order of ``seq``. (symbol, pos, action) is an
-    idempotent key for the sink.
+    idempotent key for the sink. Other columns that :func:`step` knows (state,
+    drift, macro_ok) are not part of the stream.
     """
     options = {"horizon": horizon, "threshold": threshold, "cost_bps": cost_bps}
 
@@ -56,16 +57,15 @@ def streaming_positions(bars: DataFrame, horizon: int = 5, threshold: float = 0.
         for bar in pd.concat(list(parts)).sort_values("seq").to_dict("records"):
             bar |= {"symbol": key[0], "pos": n, "date": None}
             position, made = step(position, bar, before, options)
-            rows += [m for m in made if m["action"] != "skip"]
+            rows += [m for m in made if m["action"] != "skip_entry"]
             before = bar
             n += 1
         last = before.get("ev_after_cost") if before else None
         p = position or {}
         state.update((n, p.get("position_id"), p.get("entry_price"), p.get("target_pos"), None if last is None or pd.isna(last) else float(last), before is not None))
         if rows:
-            out = pd.DataFrame(rows).drop(columns="date")
-            out.insert(0, "symbol", key[0])
-            yield out
+            names = ["symbol", *[c.split()[0] for c in OUT.split(", ")[1:]]]
+            yield pd.DataFrame([[key[0] if c == "symbol" else m.get(c) for c in names] for m in rows], columns=names, dtype=object)
 
     slim = bars.select("symbol", "seq", "close", "ev_after_cost")
     return slim.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
