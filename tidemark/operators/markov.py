@@ -122,6 +122,25 @@ def row_forecast(p: np.ndarray, state: int, steps: int) -> np.ndarray:
     return v / v.sum() if v.sum() > 0 else np.full(len(p), 1 / len(p))
 
 
+def _between(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[low:high]`` for many ranges at once, from running sums."""
+    running = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
+    return running[high] - running[low]
+
+
+def _pair_counts(s: np.ndarray, low: np.ndarray, high: np.ndarray, n_states: int) -> np.ndarray:
+    """Counts (ranges, n, n) of the neighbouring pairs within ``s[low:high]``, for many ranges."""
+    one = np.zeros((max(len(s) - 1, 0), n_states * n_states))
+    one[np.arange(len(one)), s[:-1] * n_states + s[1:]] = 1
+    return _between(one, low, np.maximum(high - 1, low)).reshape(-1, n_states, n_states)
+
+
+def _chains(counts: np.ndarray) -> np.ndarray:
+    """Row-normalised counts of many windows; a row without any becomes the identity's."""
+    total = counts.sum(axis=2, keepdims=True)
+    return np.where(total > 0, counts / np.where(total > 0, total, 1), np.eye(counts.shape[1]))
+
+
 def _blocks(df: DataFrame, block: int, overlap: int) -> DataFrame:
     """Cut each symbol into blocks of rows with the ``overlap`` rows before, so
     that a long history is many tasks' work. ``k`` numbers the rows; ``own``
@@ -134,8 +153,9 @@ def _blocks(df: DataFrame, block: int, overlap: int) -> DataFrame:
 def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[int, ...] = (1, 5, 10, 20), n_states: int = N_STATES, block: int = 5000) -> DataFrame:
     """Per bar: state probabilities from the ``lookback`` known states before it.
 
-    Returns (symbol, pos, horizon, dst, p) for the states with p > 0. The
-    counts slide along the bars of a block; the matrix is never raised to a power.
+    Returns (symbol, pos, horizon, dst, p) for the states with p > 0. Counts are
+    differences of running counts, for all bars of a block at once; the matrix is
+    never raised to a power.
     """
     if lookback < 2:
         raise ValueError("lookback must be at least 2")
@@ -145,19 +165,16 @@ def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[in
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         s, pos, own, k = (pdf[c].to_numpy() for c in ("state", "pos", "own", "k"))
-        counts, rows = np.zeros((n_states, n_states)), []
-        for i in range(len(s)):
-            # Pairs (j, j + 1) of the rows i - lookback .. i - 1.
-            if i >= 2:
-                counts[s[i - 2], s[i - 1]] += 1
-            if i > lookback:
-                counts[s[i - lookback - 1], s[i - lookback]] -= 1
-            if own[i] and k[i] >= lookback:
-                p = counts_to_matrix(counts)
-                for h in horizons:
-                    v = row_forecast(p, s[i], h)
-                    rows += [(pos[i], h, d, v[d]) for d in np.flatnonzero(v > 0)]
-        out = pd.DataFrame(rows, columns=["pos", "horizon", "dst", "p"])
+        at = np.flatnonzero(own & (k >= lookback))
+        p = _chains(_pair_counts(s, at - lookback, at, n_states))
+        v, parts = np.eye(n_states)[s[at]], []
+        for h in range(1, max(horizons) + 1):
+            v = np.einsum("ai,aij->aj", v, p)
+            if h in horizons:
+                i, d = np.nonzero(v > 0)
+                share = v[i, d] / v[i].sum(axis=1)
+                parts.append(pd.DataFrame({"pos": pos[at[i]], "horizon": h, "dst": d, "p": share}))
+        out = pd.concat(parts, ignore_index=True)
         out.insert(0, "symbol", pdf["symbol"].iat[0])
         return out
 
@@ -182,27 +199,22 @@ def walkforward_markov_value(df: DataFrame, horizon: int = 5, lookback: int = 25
         r = np.full(len(pdf), np.nan)
         if len(pdf) > horizon:
             r[:-horizon] = close[horizon:] / close[:-horizon] - 1
-        rows = []
-        for i in np.flatnonzero(own):
-            if pos[i] < horizon + min_samples or s[i] < 0:
-                continue
-            b = i - horizon
-            a = max(0, b - lookback)
-            past = s[a:b]
-            known = past[past >= 0]
-            value, coverage, weight = None, 0.0, 0.0
-            if len(known) >= 2:
-                counts = np.zeros((n_states, n_states))
-                np.add.at(counts, (known[:-1], known[1:]), 1)
-                p = row_forecast(counts_to_matrix(counts), s[i], horizon)
-                n = np.bincount(known, minlength=n_states)
-                sums = np.bincount(known, weights=r[a:b][past >= 0], minlength=n_states)
-                use = n >= max(1, min_samples)
-                if use.any():
-                    value = float((p[use] * (sums[use] / n[use] - cost_bps / 1e4)).sum())
-                    coverage, weight = float(p[use].sum()), float((p[use] * n[use]).sum())
-            rows.append((pos[i], s[i], value, coverage, weight))
-        out = pd.DataFrame(rows, columns=["pos", "state", "markov_ev", "coverage", "weighted_samples"])
+        known = np.flatnonzero(s >= 0)
+        at = np.flatnonzero(own & (pos >= horizon + min_samples) & (s >= 0))
+        # The training bars of each asked bar, as a range of the known ones.
+        low, high = (np.searchsorted(known, x) for x in (np.maximum(0, at - horizon - lookback), np.maximum(0, at - horizon)))
+        one = np.eye(n_states)[s[known]]
+        numbers = _between(one, low, high)
+        sums = _between(one * np.nan_to_num(r[known])[:, None], low, high)
+        p = _chains(_pair_counts(s[known], low, high, n_states))
+        v = np.eye(n_states)[s[at]]
+        for _ in range(horizon):
+            v = np.einsum("ai,aij->aj", v, p)
+        use = (numbers >= max(1, min_samples)) & (high - low >= 2)[:, None]
+        payoff = np.where(use, sums / np.maximum(numbers, 1) - cost_bps / 1e4, 0.0)
+        value = np.where(use.any(axis=1), (v * payoff).sum(axis=1), np.nan)
+        out = pd.DataFrame({"pos": pos[at], "state": s[at], "markov_ev": value, "coverage": (v * use).sum(axis=1), "weighted_samples": (v * use * numbers).sum(axis=1)})
+        out["markov_ev"] = out["markov_ev"].astype(object).where(out["markov_ev"].notna(), None)
         out.insert(0, "symbol", pdf["symbol"].iat[0])
         return out
 

@@ -47,6 +47,13 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _LABELLED[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop what :func:`labelled` keeps."""
+    for df in _LABELLED.values():
+        df.unpersist()
+    _LABELLED.clear()
+
+
 LAB = (o.BARS, o.INDICATORS, o.LABELLED)
 
 
