@@ -24,8 +24,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-#: Text bytes (and a row's overhead) of a file at most; of a few tasks' work at least, while there are cores for it.
-FILE_BYTES, LEAST_BYTES, ROW_BYTES = 128 << 20, 8 << 20, 64
+#: Text bytes of a file, and what a row counts beside its text.
+FILE_BYTES, ROW_BYTES = 16 << 20, 64
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -42,21 +42,21 @@ def _encode(tokenizer: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, file_bytes: int | None = None) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) and write the files.
 
     A null or empty text is the end id alone. Rows with a null doc_id come
     first; repeated doc_ids stay as rows, in the order of a hash of their texts,
     and may go on in the next file. Files are contiguous ranges in that order,
-    sized by bytes; one document's ids, however many, are never split over
+    of some ``file_bytes`` of text each (FILE_BYTES unless given; a task writes a
+    file row by row, so that larger ones cost no memory); one document's ids, however many, are never split over
     files. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weight = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
-    least = min(math.ceil(weight / LEAST_BYTES), 2 * spark.sparkContext.defaultParallelism)
-    files = max(1, math.ceil(weight / FILE_BYTES), least)
+    files = max(1, math.ceil(weight / (file_bytes or FILE_BYTES)))
     slim = slim.withColumn("h", F.xxhash64("text"))
     dealt = slim.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     (
