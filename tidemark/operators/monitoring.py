@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import ALPHA, N_STATES
+from ..functions.scans import BLOCK, blocked, numbered, running
 
 
 def summarize_source(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,3 +90,32 @@ def drift_monitor(df: DataFrame, recent: int = 60, threshold: float = 0.10, n_st
         (enough & (F.col("kl") >= threshold)).alias("alert"),
         F.when(enough, "ok").otherwise("insufficient_history").alias("status"),
     )
+
+
+def rolling_drift(df: DataFrame, recent: int = 60, threshold: float = 0.10, n_states: int = N_STATES, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+    """Drift as each bar knows it: (symbol, pos, n_seen, kl, alert).
+
+    At a bar, the last ``recent`` known states, its own included, are compared
+    with all known ones before them; later bars have no part in it. With too
+    few for both sides kl is null and there is no alert. Histograms are arrays
+    of running counts, of which two bars ``recent`` apart are subtracted; a
+    symbol is cut into blocks, which take over the counts of those before.
+    """
+    if recent < 1 or n_states < 2 or alpha < 0:
+        raise ValueError("bad drift options")
+    known = numbered(df.where("state IS NOT NULL").select("symbol", "pos", F.col("state").cast("int").alias("state")), ["symbol"], "pos", "k", block)
+    counted = {f"_c{s}": ("sum", F.when(F.col("state") == s, 1).otherwise(0)) for s in range(n_states)}
+    so_far = running(known, ["symbol"], "k", counted, block).select("symbol", "pos", "k", F.array(*counted).alias("_now"))
+    # The counts ``recent`` bars ago: an equal distance, so a window over a block and the rows before it.
+    cut = blocked(so_far, "k", max(block, recent), recent)
+    order = Window.partitionBy("symbol", "block").orderBy("k")
+    both = cut.withColumn("_past", F.lag("_now", recent).over(order)).where("own")
+
+    def shares(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) + alpha * n_states
+        return F.transform(counts, lambda x: F.greatest((x + alpha) / F.nullif(total, F.lit(0.0)), F.lit(1e-12)))
+
+    now, past = shares(F.transform(F.arrays_zip("_now", "_past"), lambda x: x["_now"] - x["_past"])), shares(F.col("_past"))
+    divergence = F.aggregate(F.zip_with(now, past, lambda p, q: p * (F.ln(p) - F.ln(q))), F.lit(0.0), lambda a, x: a + x)
+    out = both.withColumn("kl", F.when(F.col("_past").isNotNull(), divergence))
+    return out.select("symbol", "pos", (F.col("k") + 1).alias("n_seen"), "kl", F.coalesce(F.col("kl") >= threshold, F.lit(False)).alias("alert"))

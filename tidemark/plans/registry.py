@@ -615,12 +615,13 @@ def _(spark, sf):
 @register(
     "walkforward_forecasts_steps",
     o.query(
-        "SELECT s.symbol, q.pos, CAST(step AS INTEGER) AS horizon, dst, round(p, 6) AS p FROM steps s JOIN asked q ON q.symbol = s.symbol AND q.k = s.k WHERE step IN (1, 5, 10, 20) AND p > 0",
+        "SELECT s.symbol, q.pos, CAST(step AS INTEGER) AS horizon, dst, round(p + 1e-10, 6) AS p FROM steps s JOIN asked q ON q.symbol = s.symbol AND q.k = s.k WHERE step IN (1, 5, 10, 20) AND p > 0",
         *LAB, o.PAIRS, "asked AS (SELECT symbol, pos, k, state, k - 252 AS a, k AS b FROM known WHERE k >= 252)", o.STEPS.replace("{steps}", "20"), recursive=True,
     ),
 )
 def _(spark, sf):
-    return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252), "p")
+    # Products of small fractions lie on ties of the sixth digit; the nudge, far below it, rounds them alike everywhere.
+    return rounded(markov.walkforward_forecasts(labelled(spark, sf), 252).withColumn("p", F.col("p") + 1e-10), "p")
 
 
 def _markov_value_sql(body: str, horizon: int) -> str:
@@ -885,6 +886,27 @@ def _(spark, sf):
     return rounded(monitoring.drift_monitor(labelled(spark, sf)), "kl")
 
 
+# Counts up to each bar less those up to 60 bars before it.
+ROLLING_DRIFT = """
+tallies AS MATERIALIZED (
+  SELECT symbol, pos, row_number() OVER w AS n_seen, list(state) OVER (PARTITION BY symbol ORDER BY pos ROWS 59 PRECEDING) AS lately,
+         list(state) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 60 PRECEDING) AS earlier
+  FROM lab WHERE state IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY pos)
+), drifting AS (
+  SELECT symbol, pos, n_seen, CASE WHEN n_seen > 60 THEN list_sum(list_transform(range(12), lambda s:
+      greatest((len(list_filter(lately, lambda x: x = s)) + 1e-6) / (len(lately) + 12e-6), 1e-12)
+      * (ln(greatest((len(list_filter(lately, lambda x: x = s)) + 1e-6) / (len(lately) + 12e-6), 1e-12))
+         - ln(greatest((len(list_filter(earlier, lambda x: x = s)) + 1e-6) / (len(earlier) + 12e-6), 1e-12))))) END AS kl FROM tallies
+)"""
+#: The reference's alert is at 0.10; on these bars most days diverge by more, since 60 of a random walk's bars see few of its states.
+DRIFT_ALERT = 0.10
+
+
+@register("rolling_drift", o.query(f"SELECT symbol, pos, CAST(n_seen AS INTEGER) AS n_seen, round(kl, 6) AS kl, coalesce(kl >= {DRIFT_ALERT}, false) AS alert FROM drifting", *LAB, ROLLING_DRIFT))
+def _(spark, sf):
+    return rounded(monitoring.rolling_drift(labelled(spark, sf), threshold=DRIFT_ALERT), "kl").withColumn("n_seen", F.col("n_seen").cast("int"))
+
+
 def records(spark, sf):
     """Labelled bars as composite records; some modifiers are unknown."""
     df = regimes.volatility_state(labelled(spark, sf))
@@ -1073,23 +1095,23 @@ def _(spark, sf):
 
 
 def signal_bars(spark, sf):
-    """Bars with the estimate of their state, the symbol's drift alert and the day's macro veto."""
+    """Bars with the estimate of their state, the drift alert as of the day and the day's macro veto."""
     df = labelled(spark, sf).select("symbol", "date", "pos", "close", "state")
     values = expectancy.walkforward(df, min_samples=10).select("symbol", "pos", "ev_after_cost", F.lit(True).alias("has_ev"))
-    drift = monitoring.drift_monitor(df, recent=250, threshold=0.45).select("symbol", F.col("alert").alias("drift"))
+    drift = monitoring.rolling_drift(df, threshold=DRIFT_ALERT).select("symbol", "pos", F.col("alert").alias("drift"))
     veto = macro(spark, sf).select("date", regimes.regime_allowed(F.col("macro_regime"), [-1, 0, 2]).alias("macro_ok"))
-    joined = df.join(values, ["symbol", "pos"], "left").join(drift, "symbol", "left").join(veto, "date", "left")
+    joined = df.join(values, ["symbol", "pos"], "left").join(drift, ["symbol", "pos"], "left").join(veto, "date", "left")
     return joined.withColumns({"drift": F.coalesce("drift", F.lit(False)), "has_ev": F.coalesce("has_ev", F.lit(False))})
 
 
 # A position opened at p is due at p + 5, when the next one may open: greedy choice with a gap of 5.
 POSITIONS_SQL = (
-    *LAB, MACRO, o.WALKFORWARD.replace("train_count >= 5", "train_count >= 10").replace("pos >= 10", "pos >= 15"), drift_sql(250, 0.45),
-    """sig AS (
+    *LAB, MACRO, o.WALKFORWARD.replace("train_count >= 5", "train_count >= 10").replace("pos >= 10", "pos >= 15"), ROLLING_DRIFT,
+    f"""sig AS (
       SELECT l.symbol, l.date, l.pos, l.close, l.state, wf.ev_after_cost, wf.symbol IS NOT NULL AS has_ev, lag(wf.ev_after_cost) OVER w AS ev,
              lag(l.date) OVER w AS signal_date, lag(l.state) OVER w AS signal_state, lag(wf.symbol IS NOT NULL) OVER w AS had_ev,
-             coalesce(d.alert, false) AS drift, coalesce(coalesce(m.macro_regime, -1) IN (-1, 0, 2), true) AS macro_ok, max(l.pos) OVER (PARTITION BY l.symbol) AS last
-      FROM lab l LEFT JOIN wf ON l.symbol = wf.symbol AND l.pos = wf.pos LEFT JOIN drifted d ON d.symbol = l.symbol LEFT JOIN macro m ON m.date = l.date
+             coalesce(d.kl >= {DRIFT_ALERT}, false) AS drift, coalesce(coalesce(m.macro_regime, -1) IN (-1, 0, 2), true) AS macro_ok, max(l.pos) OVER (PARTITION BY l.symbol) AS last
+      FROM lab l LEFT JOIN wf ON l.symbol = wf.symbol AND l.pos = wf.pos LEFT JOIN drifting d ON d.symbol = l.symbol AND d.pos = l.pos LEFT JOIN macro m ON m.date = l.date
       WINDOW w AS (PARTITION BY l.symbol ORDER BY l.pos))""",
     o.selected("psel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND NOT drift AND macro_ok AND pos + 5 <= last)", 3),
     """taken AS (

@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: The folder of the innermost :func:`scratch` of this thread.
+_FOLDER: ContextVar[str | None] = ContextVar("tidemark-folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +48,31 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for an intermediate table: in the folder of the surrounding :func:`scratch`, else in the application's."""
+    base = _FOLDER.get() or f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[str]:
+    """A folder of one's own for the intermediates that are written inside, removed at the end.
+
+    Results that are still to be computed read them, so they must be written
+    elsewhere before. Work outside, in other threads too, has other folders.
+    """
+    folder = new_path(spark, name)
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, folder)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
