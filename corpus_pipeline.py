@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import discard, discard_since, made_so_far, materialize
+from tidemark.llm.common import discard, materialize, new_path, scratch
 from tidemark.llm.decontamination import decontamination_stage
 from tidemark.llm.packing import packing_stage
 from tidemark.llm.pii import pii_stage
@@ -31,12 +31,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed corpus made from ``sf_dir``'s documents.
 
-    A stage's intermediates, and the table before it, go once its own is written.
+    A stage's intermediates, in a folder of its own, and the table before it go
+    once its result is written.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "pipeline")
     for name, stage in STAGES:
-        mark, before = made_so_far(), docs
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard_since(spark, mark, docs)
+        before = docs
+        with scratch(spark, name):
+            docs = materialize(stage(spark, before, sf_dir), name, f"{home}/{name}")
         discard(before)
     return docs

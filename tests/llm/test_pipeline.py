@@ -3,6 +3,7 @@ import pytest
 from test_tokens import check_packing
 
 from tidemark.llm import common, pii, simhash, toxicity
+from tidemark.sources.storage import exists
 from tidemark.llm.decontamination import op1_decontamination
 
 
@@ -60,9 +61,50 @@ def test_stages_on_odd_and_empty_tables(spark, odd, nothing, tables):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tables / name)).count() >= (name == "odd")
 
 
-def test_run_on_odd_and_empty_tables(spark, tables, monkeypatch):
+def test_run_on_odd_and_empty_tables(spark, tables):
     assert corpus_pipeline.run(spark, str(tables / "none")).count() == 0
     out = corpus_pipeline.run(spark, str(tables / "odd"))
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
-    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._MADE if "stage-" in p}
-    assert out.count() >= 0 and left <= {"stage-packing", "test-stage"}
+    assert out.count() >= 0
+
+
+def test_runs_beside_each_other_keep_their_tables(spark, tables, monkeypatch):
+    """Tables of other work, and those of a second run inside the first, outlive a stage's clean-up."""
+    made = []
+
+    def first(spark, docs, sf_dir):
+        inner = common.materialize(docs.limit(3), "inner")
+        made.append(inner._tidemark_path)
+        if len(made) == 1:
+            monkeypatch.setattr(corpus_pipeline, "STAGES", [("second", first), ("third", lambda s, d, f: d)])
+            made.append(corpus_pipeline.run(spark, sf_dir))
+        return inner
+
+    other = common.materialize(spark.range(5), "other")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", first), ("copy", lambda s, d, f: d)])
+    outer = corpus_pipeline.run(spark, str(tables / "odd"))
+    assert outer.count() == 3 and other.count() == 5
+    assert not any(exists(spark, p) for p in made if isinstance(p, str))
+
+
+def test_scratch_folders_by_thread(spark):
+    import threading
+
+    kept = {}
+
+    def work(name):
+        with common.scratch(spark, name):
+            kept[name] = common.materialize(spark.range(4), "table")
+            barrier.wait(60)
+            barrier.wait(60)
+            kept[name + "-rows"] = kept[name].count() if name == "slow" else 4
+            if name == "slow":
+                return
+
+    barrier = threading.Barrier(2)
+    slow = threading.Thread(target=work, args=("slow",))
+    slow.start()
+    work("fast")
+    slow.join()
+    assert kept["slow-rows"] == 4
+    assert not exists(spark, kept["slow"]._tidemark_path) and not exists(spark, kept["fast"]._tidemark_path)

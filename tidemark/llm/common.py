@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.storage import remove, shared_dir
-
-#: Paths that this process has asked for, in order.
-_MADE: list[str] = []
+from ..sources.storage import new_path, remove, scratch, shared_dir  # noqa: F401
 
 #: Rows handed to Python at once. Long documents make Spark's default of
 #: 10,000 rows hundreds of megabytes, so the operators lower it.
 ARROW_ROWS = 500
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _MADE.append(path)
-    return path
-
-
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -42,26 +32,6 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_tidemark_path", None)
     if path:
         remove(df.sparkSession, path)
-        if path in _MADE:
-            _MADE.remove(path)
-
-
-def made_so_far() -> int:
-    """A mark for :func:`discard_since`."""
-    return len(_MADE)
-
-
-def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
-    """Delete what was written since ``mark``, but for the table ``keep``.
-
-    Only for results that have been written themselves: a DataFrame that is
-    still to be computed reads the intermediates.
-    """
-    kept = getattr(keep, "_tidemark_path", None)
-    for path in _MADE[mark:]:
-        if path != kept:
-            remove(spark, path)
-    _MADE[mark:] = [kept] if kept in _MADE[mark:] else []
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
