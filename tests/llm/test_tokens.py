@@ -106,6 +106,18 @@ def test_packing_odd_rows(odd, nothing):
     assert pack_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("name,value", [("spark.sql.files.maxRecordsPerFile", "10"), ("spark.sql.files.maxPartitionBytes", "20000"), ("spark.sql.adaptive.enabled", "false")])
+def test_starts_under_session_settings(spark, documents, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        path = new_path(spark, "limited")
+        write_tokens(documents, path, file_bytes=20_000)
+        check_files(token_index(spark, path).collect(), [(r.doc_id, r.text) for r in documents.collect()])
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_special_strings_in_both_outputs(spark):
     rows = [(i, t) for i, t in enumerate(["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|endoftext|>" * 3, None, "plain"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -62,6 +62,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     (
         dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("compression", "zstd")
+        # The session may limit the rows of a file; here a range is a file.
+        .option("maxRecordsPerFile", 0)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
@@ -105,8 +107,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         rows.mapInArrow(_checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "token-index"
     )
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # One row a file: files are numbered in the order of their ranges.
-    number = F.regexp_extract("file", "part-([0-9]+)-[^/]*$", 1).cast("long")
+    # One row a file: files are numbered in the order of their ranges, and of the parts a range was cut into.
+    number = F.struct(*[F.regexp_extract("file", "part-([0-9]+)-[^/]*?(?:-c([0-9]+))?[.][^/]*$", i).try_cast("long") for i in (1, 2)])
     earlier = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
