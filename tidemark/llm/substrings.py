@@ -15,12 +15,14 @@ a passage of a third of all documents costs each of them its own words only.
 Whole copies (equal word sequences) are merged before the index is made. Which
 rows are worth a shuffle is asked of broadcast filters of a bounded number of
 bits, which hold every key there is; beyond their size they let more through,
-and the joins behind them decide alone.
+and the joins behind them decide alone. Of the extended windows, short codes
+go round first, and whole keys only of those that two documents may have.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
@@ -35,6 +37,8 @@ WINDOW = 50
 KEY_BITS, MOST_BITS = 16, 1 << 28
 #: Words whose digests a worker keeps.
 KEPT_WORDS = 1 << 19
+#: Keys that a task holds before it sends them, and the most that a bucket of them is meant to get.
+HELD_KEYS, BUCKET_KEYS = 1 << 21, 1 << 22
 #: An odd number and its inverse modulo 2^64, for each of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 TEXT = "doc_id long, sig long"
@@ -181,26 +185,91 @@ def _probe(window: int, known):
     return run
 
 
-def _extend(window: int, known):
-    """The windows of every document that contain an anchor which the filter may hold."""
+def _candidates(rolling: Rolling, batch: pa.RecordBatch, window: int, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that contain an anchor which the filter may hold: where they
+    start among all words, their documents, the documents' edges, and the words' hashes."""
     block = window // 2
+    _, edges, hashes = rolling.words(batch.column("text").to_pylist())
+    at, starts = _inside(edges, block), _inside(edges, window)
+    if len(starts):
+        anchors = at[held(known.value, rolling.runs(hashes, block)[at])]
+        # A window holds the anchors that begin at most window - block words after it does.
+        starts = starts[np.searchsorted(anchors, starts) < np.searchsorted(anchors, starts + (window - block), side="right")]
+    return starts, np.searchsorted(edges, starts, side="right") - 1, edges, hashes
+
+
+def short_codes(k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (the first ``bits`` bits) and 39 further bits of each key."""
+    bucket = k >> np.uint64(64 - bits) if bits else np.zeros(len(k), dtype=np.uint64)
+    return bucket, k & np.uint64((1 << 39) - 1)
+
+
+def code_hash(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    mixed = (low * np.uint64(BASES[0])) ^ (bucket * np.uint64(BASES[1]))
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _sightings(window: int, known, bits: int):
+    """Short codes of the candidate windows, five bytes each, by bucket: a task
+    sends a code once for many documents, with a mark if there was more than one."""
+
+    def packed(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        several = np.add.reduceat(np.concatenate([[False], (keys[1:] == keys[:-1]) & (docs[1:] != docs[:-1])]), np.flatnonzero(new)) > 0
+        bucket, low = short_codes(keys[new], bits)
+        five = (low | (several.astype(np.uint64) << np.uint64(39))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
+        blobs = [five[5 * a : 5 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, waiting, n, number = Rolling(), [], 0, 0
+        for batch in batches:
+            starts, owner, _, hashes = _candidates(rolling, batch, window, known)
+            if len(starts):
+                waiting.append((rolling.runs(hashes, window)[starts], owner + number))
+                n += len(starts)
+            number += batch.num_rows
+            if n >= HELD_KEYS:
+                yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, n = [], 0
+        if waiting:
+            yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+
+    return run
+
+
+def _met_again(table: pa.Table) -> pa.Table:
+    """The codes of one bucket that more than one document has, hashed for a filter."""
+    flat = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(flat), 8), dtype=np.uint8)
+    wide[:, :5] = flat
+    codes = np.sort(wide.view("<u8")[:, 0] & np.uint64((1 << 39) - 1))
+    marked = wide.view("<u8")[:, 0]
+    marked = marked[marked >> np.uint64(39) == 1] & np.uint64((1 << 39) - 1)
+    found = np.unique(np.concatenate([codes[1:][codes[1:] == codes[:-1]], marked]))
+    bucket = np.full(len(found), table.column("bucket")[0].as_py(), dtype=np.uint64)
+    return pa.table({"h": code_hash(bucket, found).view(np.int64)})
+
+
+def _extend(window: int, known, seen, bits: int):
+    """The candidate windows whose codes more than one document may have, with whole keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            _, edges, hashes = rolling.words(batch.column("text").to_pylist())
-            at, starts = _inside(edges, block), _inside(edges, window)
+            starts, owner, edges, hashes = _candidates(rolling, batch, window, known)
             if not len(starts):
                 continue
-            anchors = at[held(known.value, rolling.runs(hashes, block)[at])]
-            # A window holds the anchors that begin at most window - block words after it does.
-            first = np.searchsorted(anchors, starts)
-            starts = starts[first < np.searchsorted(anchors, starts + (window - block), side="right")]
-            owner = np.searchsorted(edges, starts, side="right") - 1
+            k = rolling.runs(hashes, window)[starts]
+            again = held(seen.value, code_hash(*short_codes(k, bits)))
+            starts, owner, k = starts[again], owner[again], k[again]
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(rolling.runs(hashes, window, k)[starts].view(np.int64)) for k in (0, 1)),
+                    pa.array(k.view(np.int64)), pa.array(rolling.runs(hashes, window, 1)[starts].view(np.int64)),
                     batch.column("doc_id").take(rows), batch.column("sig").take(rows), pa.array((starts - edges[owner]).astype(np.int32)),
                 ],
                 ["k0", "k1", "doc_id", "sig", "at"],
@@ -278,11 +347,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = slim.where(F.col("doc_id").isNotNull())
     known = key_filter(spark, index, index.count())
     probes = texts.mapInArrow(_probe(window, known), f"h long, {TEXT}")
-    hits = probes.join(index, "h").where(F.col("first") < F.col("doc_id"))
-    hits = hits.join(first.select(*pair), pair, "left_semi").select("h").distinct()
+    hits = probes.join(first.select(*pair), pair, "left_semi").groupBy("h").agg(F.max("doc_id").alias("last"))
+    hits = hits.join(index, "h").where("first < last").select("h")
     hits = materialize(hits, "substring-hits")
     anchors = key_filter(spark, hits, hits.count())
-    windows = materialize(texts.mapInArrow(_extend(window, anchors), f"k0 long, k1 long, {TEXT}, at int"), "substring-windows")
+    words = marks.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(words / BUCKET_KEYS))) if words else 4
+    sent = texts.mapInArrow(_sightings(window, anchors, bits), "bucket long, codes binary")
+    again = materialize(sent.groupBy("bucket").applyInArrow(_met_again, "h long"), "substring-again")
+    seen = key_filter(spark, again, again.count())
+    windows = materialize(texts.mapInArrow(_extend(window, anchors, seen, bits), f"k0 long, k1 long, {TEXT}, at int"), "substring-windows")
     owners = windows.groupBy("k0", "k1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     owners = materialize(owners.drop("last"), "substring-owners")
     covered = windows.join(owners, ["k0", "k1"]).where(F.col("doc_id") > F.col("first"))
