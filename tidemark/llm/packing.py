@@ -6,8 +6,8 @@ a configuration programme over those few sizes is solved by column generation
 and rounded down, and actual lengths take the rounded ones' places. What
 rounding leaves is grouped and solved again while that helps; the rest, and the
 small lengths, go longest first to the fullest sequence that has room (best
-fit). Where plain best fit alone needs fewer sequences, as it can on lengths
-with many small ones, its plan is taken.
+fit). From which length on pieces count as large is tried for a few shares of
+the capacity.
 All of this works on counts of equal sequences, so its cost does not depend
 on the number of documents. The resulting plan, a bounded table of (length,
 rank) intervals, gives each piece its sequence and offset in parallel.
@@ -29,9 +29,9 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Equal-cardinality groups of large lengths, and what counts as large.
+#: Equal-cardinality groups of large lengths, and the shares of the capacity beyond which a length may count as large.
 GROUPS = 96
-SMALL_SHARE = 0.2
+SMALL_SHARES = (0.2, 0.3, 0.4, 0.5)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -189,23 +189,25 @@ def linear_grouping(counts: dict[int, int], capacity: int, groups: int) -> tuple
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths in order, how many such) that hold exactly ``counts`` (length to number).
 
-    Linear grouping and plain best fit are both tried on the counts; the plan
-    with fewer sequences is taken, the grouping's on a tie.
+    Linear grouping is done with each of the cut-offs between small and large
+    lengths; the plan with the fewest sequences is taken, on a tie the one that
+    groups the most lengths.
     """
     left = {s: n for s, n in counts.items() if n}
-    large = {s: n for s, n in left.items() if SMALL_SHARE * capacity < s < capacity}
     plans = []
-    for parts in (groups, 0) if len(large) > 1 else (0,):
+    for share in SMALL_SHARES:
         plan, rest = Plan(capacity), dict(left)
         if capacity in rest:
             plan.add((capacity,), rest.pop(capacity))
-        own, before = dict(large), math.inf
-        while parts and len(own) > 1 and sum(own.values()) < before / 2:
+        own, before = {s: n for s, n in rest.items() if s > share * capacity}, math.inf
+        for s in own:
+            del rest[s]
+        while len(own) > 1 and sum(own.values()) < before / 2:
             before = sum(own.values())
-            made, own = linear_grouping(own, capacity, parts)
+            made, own = linear_grouping(own, capacity, groups)
             for content, n in made:
                 plan.add(content, n)
-        rest |= {s: own.get(s, 0) for s in large} if parts else {}
+        rest |= own
         for s in sorted(rest, reverse=True):
             plan.place(s, rest[s])
         plans.append(plan.sequences())
