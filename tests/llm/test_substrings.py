@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import substrings
@@ -102,7 +103,6 @@ def test_shared_and_null_ids(spark):
 def test_full_filters_lose_nothing(spark, monkeypatch):
     # One bit set for most keys: the joins alone decide.
     monkeypatch.setattr(substrings, "MOST_BITS", 1 << 15)
-    monkeypatch.setattr(substrings, "KEPT_WORDS", 50)
     rows = texts(7)
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
@@ -114,3 +114,26 @@ def test_filter_holds_its_keys(spark):
     other = np.random.default_rng(2).integers(0, 2**63 - 1, 5000).astype(np.uint64)
     assert substrings.held(known, other).mean() < 0.05
     assert not substrings.held(substrings.key_filter(spark, spark.createDataFrame([], "h long"), 0).value, other).any()
+
+
+def test_words_and_their_hashes():
+    texts = [b" one  two\tthree\x0b", None, b"", b"two", b"o" * 64 + b" " + b"o" * 65, b"\x1cone \xc2\xa0x", b"\r\n", b"x" * 300]
+    column = pa.array([b"skipped", *texts], pa.binary()).slice(1)
+    data, starts, stops, edges = substrings.word_places(column)
+    found = [bytes(data[a:b]) for a, b in zip(starts, stops, strict=True)]
+    split = [(t or b"").split() for t in texts]
+    assert found == [w for own in split for w in own]
+    assert edges.tolist() == np.cumsum([0, *map(len, split)]).tolist()
+    h = substrings.word_hashes(data, starts, stops)
+    keys = {}
+    for w, x in zip(found, h.tolist(), strict=True):
+        assert keys.setdefault(w, x) == x
+    assert len({tuple(x) for x in keys.values()}) == len(keys) and len({x[0] for x in keys.values()}) == len(keys)
+
+
+def test_word_hashes_keep_words_apart():
+    r = random.Random(5)
+    words = list({bytes(r.choice(b"ab") for _ in range(r.randrange(1, 30))) for _ in range(60_000)})
+    data, starts, stops, _ = substrings.word_places(pa.array([b" ".join(words)], pa.binary()))
+    h = substrings.word_hashes(data, starts, stops)
+    assert all(len(np.unique(h[:, k])) == len(words) for k in (0, 1))

@@ -35,41 +35,76 @@ from .common import materialize, small_batches
 WINDOW = 50
 #: Bits of a filter for each of its keys, and its most bits (32 MB).
 KEY_BITS, MOST_BITS = 16, 1 << 28
-#: Words whose digests a worker keeps.
-KEPT_WORDS = 1 << 19
+#: Bytes of a word from which it is hashed by itself.
+LONG_WORD = 64
 #: Keys that a task holds before it sends them, and the most that a bucket of them is meant to get.
 HELD_KEYS, BUCKET_KEYS = 1 << 21, 1 << 22
 #: An odd number and its inverse modulo 2^64, for each of the two hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 TEXT = "doc_id long, sig long"
-
-
-class _Digests(dict):
-    """128-bit digests by word."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        from xxhash import xxh3_128_digest
-
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxh3_128_digest(word)
-        return found
+#: Numbers for the bytes, by rule.
+BYTES = [(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) ** np.uint64(3) for b in BASES]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads each bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, where words start and stop among them, and the numbers of words before each text."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    edges = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    # A word also ends with its text.
+    turn = np.zeros(len(data) + 1, dtype=bool)
+    turn[edges] = True
+    before = np.concatenate([[False], solid])[: len(data)] & ~turn[:-1]
+    after = np.concatenate([solid[1:], [False]])[: len(data)] & ~turn[1:]
+    starts = np.flatnonzero(solid & ~before)
+    return data, starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, edges)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of every word: a column at a time over the words' bytes, longest words first."""
+    from xxhash import xxh3_128_digest
+
+    sizes = stops - starts
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    long = np.flatnonzero(sizes > LONG_WORD)
+    for i in long.tolist():
+        out[i] = np.frombuffer(xxh3_128_digest(data[starts[i] : stops[i]].tobytes()), dtype="<u8")
+    short = np.flatnonzero(sizes <= LONG_WORD)
+    short = short[np.argsort(-sizes[short].astype(np.int16), kind="stable")]
+    at, ends = starts[short], np.searchsorted(-sizes[short], -np.arange(LONG_WORD + 1))
+    h = [mixed(sizes[short].astype(np.uint64) + np.uint64(k)) for k in (1, 2)]
+    for j in range(LONG_WORD):
+        m = int(ends[j])
+        if not m:
+            break
+        byte = data[at[:m] + j]
+        for k in (0, 1):
+            h[k][:m] *= np.uint64(BASES[k])
+            h[k][:m] += BYTES[k][byte]
+    for k in (0, 1):
+        out[short, k] = mixed(h[k])
+    return out
 
 
 class Rolling:
     """Polynomial hashes modulo 2^64 of all runs of words of a batch of documents."""
 
     def __init__(self):
-        self.digests = _Digests()
         self.powers: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def words(self, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """Each text's words; where each text's words begin and end among all; and two hashes of every word."""
-        split = [(t or b"").split() for t in texts]
-        edges = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-        get = self.digests.__getitem__
-        hashes = np.frombuffer(b"".join([b"".join(map(get, w)) for w in split]), dtype="<u8").reshape(-1, 2)
-        return split, edges, hashes
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's words begin and end among all, and two hashes of every word."""
+        data, starts, stops, edges = word_places(column)
+        return edges, word_hashes(data, starts, stops)
 
     def _powers(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.powers) <= which:
@@ -145,14 +180,14 @@ def _index(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            split, edges, hashes = rolling.words(batch.column("text").to_pylist())
+            edges, hashes = rolling.words(batch.column("text"))
             runs = rolling.runs(hashes, block).view(np.int64)
             blocks = [runs[a : b - block + 1 : block] if b - a >= window else runs[:0] for a, b in zip(edges[:-1], edges[1:], strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("sig"), pa.array(np.diff(edges)),
-                    pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split]),
+                    pa.array([hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in batch.column("text").to_pylist()], pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([runs[:0], *blocks]))),
                 ],
                 ["doc_id", "sig", "n_words", "sha", "blocks"],
@@ -168,7 +203,7 @@ def _probe(window: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            _, edges, hashes = rolling.words(batch.column("text").to_pylist())
+            edges, hashes = rolling.words(batch.column("text"))
             at = _inside(edges, block)
             owner = np.searchsorted(edges, at, side="right") - 1
             long_enough = np.diff(edges)[owner] >= window
@@ -189,7 +224,7 @@ def _candidates(rolling: Rolling, batch: pa.RecordBatch, window: int, known) ->
     """The windows that contain an anchor which the filter may hold: where they
     start among all words, their documents, the documents' edges, and the words' hashes."""
     block = window // 2
-    _, edges, hashes = rolling.words(batch.column("text").to_pylist())
+    edges, hashes = rolling.words(batch.column("text"))
     at, starts = _inside(edges, block), _inside(edges, window)
     if len(starts):
         anchors = at[held(known.value, rolling.runs(hashes, block)[at])]
