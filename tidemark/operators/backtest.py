@@ -2,37 +2,87 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import COST_BPS
+from ..functions.scans import BLOCK, running
 from ..functions.windows import by_symbol, guarded, prior, trailing
 from ..sources.storage import stored
 from .expectancy import walkforward
 
 
-def non_overlapping(signals: Column, horizon: int) -> Column:
-    """Those of the signal positions that come after the last trade's exit.
+#: Positions of a block, and blocks that are composed at a time, in the choice of trades.
+SIGNAL_BLOCK, FAN = 2048, 256
 
-    The choice is sequential, the only part of a backtest that is: one pass over
-    the sorted positions of a key that looks up each trade's next signal. It
-    sees no bars, only an array of integers.
-    """
 
-    @F.pandas_udf("array<int>")
-    def chosen(found: pd.Series) -> pd.Series:
-        out = []
-        for p in found:
-            p, kept, i = np.sort(np.asarray(p)), [], 0
-            after = np.searchsorted(p, p + horizon + 1, side="right")
-            while i < len(p):
-                kept.append(p[i])
-                i = after[i]
-            out.append(np.array(kept, dtype=np.int32))
-        return pd.Series(out)
+def _through(signals: Column, start: Column, gap: int) -> Column:
+    """What a block of sorted signals does to the first position that is free: an
+    array whose item i is the one behind the block, given start + i before it."""
+    before = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda i: start + i)
+    return F.aggregate(signals, before, lambda free, p: F.transform(free, lambda a: F.when(p >= a, p + gap).otherwise(a)))
+
+
+def _after(step: Column, free: Column) -> Column:
+    """The free position behind a block ``step`` (start, out), given the one before it."""
+    return F.element_at(step["out"], (F.greatest(free - step["start"], F.lit(0)) + 1).cast("int"))
+
 
-    return chosen(signals)
+def non_overlapping(signals: DataFrame, keys: tuple[str, ...], horizon: int, block: int = SIGNAL_BLOCK, fan: int = FAN) -> DataFrame:
+    """Those rows of ``signals`` (keys, pos, others) that come after the last trade's exit.
+
+    A trade keeps the next horizon + 1 positions from signals. The choice is
+    sequential, but a block of positions matters to the next one only by the
+    first position that it leaves free, of which there are horizon + 2. So each
+    block becomes a small table of where every such entry leads; tables are
+    composed block by block, ``fan`` at a time and level by level, and then give
+    each block its own entry. No array holds more than a block's rows or
+    ``fan`` tables, and all of it stays in Spark's expressions.
+    """
+    gap = horizon + 2
+    block = max(block, gap)
+    names = [c for c in signals.columns if c not in keys]
+    row = F.struct(F.col("pos").alias("_at"), *names)
+    held = signals.where("pos IS NOT NULL").withColumn("_block", F.floor(F.col("pos") / block).cast("long"))
+    held = held.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = (F.col("_block") * block).cast("long")
+    tables = held.withColumns({"start": start, "out": _through(F.transform("_rows", lambda r: r["pos"].cast("long")), start, gap)})
+    tables = stored(tables, "signal-blocks")
+    most = tables.agg(F.max("_block")).first()[0] or 0
+    levels = [tables.select(*keys, F.col("_block").alias("b"), "start", "out")]
+    while most >= fan:
+        most //= fan
+        up = levels[-1].groupBy(*keys, F.floor(F.col("b") / fan).alias("b")).agg(F.array_sort(F.collect_list(F.struct("start", "out"))).alias("s"))
+        up = up.withColumn("start", F.get("s", F.lit(0))["start"])
+        every = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda i: F.col("start") + i)
+        out = F.aggregate("s", every, lambda free, step: F.transform(free, lambda a: _after(step, a)))
+        levels.append(up.select(*keys, "b", "start", out.alias("out")))
+    # Downwards: the free position before each group, then before each of its members.
+    free = None
+    for level in reversed(levels):
+        own = level.withColumn("up", F.floor(F.col("b") / fan))
+        grouped = own.groupBy(*keys, "up").agg(F.array_sort(F.collect_list(F.struct("start", "out", "b"))).alias("s"))
+        if free is None:
+            grouped = grouped.withColumn("free", F.lit(0).cast("long"))
+        else:
+            grouped = grouped.join(free.withColumnRenamed("b", "up"), [*keys, "up"])
+        zero = F.struct(F.col("free").alias("now"), F.expr("CAST(array() AS array<struct<b:bigint,free:bigint>>)").alias("seen"))
+        walked = F.aggregate(
+            "s", zero,
+            lambda acc, step: F.struct(
+                _after(step, acc["now"]).alias("now"),
+                F.concat(acc["seen"], F.array(F.struct(step["b"].alias("b"), acc["now"].alias("free")))).alias("seen"),
+            ),
+            lambda acc: acc["seen"],
+        )
+        free = grouped.select(*keys, F.explode(walked).alias("w")).select(*keys, "w.b", "w.free")
+    entered = tables.join(free.withColumnRenamed("b", "_block"), [*keys, "_block"])
+    empty = F.struct(F.col("free").alias("now"), F.slice("_rows", 1, 0).alias("kept"))
+    chosen = F.aggregate(
+        "_rows", empty,
+        lambda acc, r: F.when(r["pos"] >= acc["now"], F.struct((r["pos"] + gap).cast("long").alias("now"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc),
+        lambda acc: acc["kept"],
+    )
+    return entered.select(*keys, F.explode(chosen).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in names])
 
 
 def trades(bars: DataFrame, signal: Column, horizon: int, cost_bps: float, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -41,22 +91,22 @@ def trades(bars: DataFrame, signal: Column, horizon: int, cost_bps: float, keys:
     own = Window.partitionBy(*keys).orderBy("pos")
     # A signal counts only if its exit bar exists.
     last = F.lead("close", horizon + 1).over(own)
-    df = bars.withColumns(
-        {
-            "_signal": F.coalesce(signal, F.lit(False)),
-            "entry_date": F.lead("date", 1).over(own),
-            "entry_price": F.lead("close", 1).over(own),
-            "exit_date": F.lead("date", horizon + 1).over(own),
-            "exit_price": last,
-        }
+    df = bars.select(
+        *keys,
+        "pos",
+        F.coalesce(signal, F.lit(False)).alias("_signal"),
+        F.col("date").alias("signal_date"),
+        F.lead("date", 1).over(own).alias("entry_date"),
+        F.lead("date", horizon + 1).over(own).alias("exit_date"),
+        F.lead("close", 1).over(own).alias("entry_price"),
+        last.alias("exit_price"),
     ).where("_signal AND exit_price IS NOT NULL")
-    chosen = df.groupBy(*keys).agg(non_overlapping(F.collect_list("pos"), horizon).alias("kept"))
-    chosen = chosen.select(*keys, F.explode("kept").alias("pos"))
+    chosen = non_overlapping(df.drop("_signal"), keys, horizon)
     gross = F.col("exit_price") / F.col("entry_price") - 1
-    return df.join(chosen, [*keys, "pos"]).select(
+    return chosen.select(
         *keys,
         F.col("pos").alias("signal_pos"),
-        F.col("date").alias("signal_date"),
+        "signal_date",
         "entry_date",
         "exit_date",
         (F.col("pos") + 1 + horizon).alias("exit_pos"),
@@ -68,48 +118,59 @@ def trades(bars: DataFrame, signal: Column, horizon: int, cost_bps: float, keys:
     )
 
 
-def equity_curve(bars: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Per bar: the compounded net returns of the trades that have exited by then, 1 before any."""
+def equity_curve(bars: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("symbol",), block: int = BLOCK) -> DataFrame:
+    """Per bar: the compounded net returns of the trades that have exited by then, 1 before any; by blocks."""
     exits = made.select(*keys, F.col("exit_pos").alias("pos"), "net_return")
-    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     joined = bars.select(*keys, "date", "pos").join(exits, [*keys, "pos"], "left")
-    return joined.select(*keys, "date", "pos", F.coalesce(F.product(1 + F.col("net_return")).over(so_far), F.lit(1.0)).alias("equity"))
+    found = running(joined, list(keys), "pos", {"equity": ("product", 1 + F.col("net_return"))}, block)
+    return found.select(*keys, "date", "pos", "equity")
 
 
-def performance(equity: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Return, drawdown, Sharpe ratio, trade counts, wins and exposure per key."""
-    own = Window.partitionBy(*keys).orderBy("pos")
-    peak = F.max("equity").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    df = equity.withColumns({"_r": F.col("equity") / F.lag("equity").over(own) - 1, "_d": F.col("equity") / peak - 1})
-    spread = F.stddev_pop("_r")
-    bars = df.groupBy(*keys).agg(
-        (F.max_by("equity", "pos") - 1).alias("total_return"),
-        F.min("_d").alias("max_drawdown"),
-        F.when(spread > 1e-8, F.avg("_r") / F.nullif(spread, F.lit(0.0)) * 252**0.5).alias("sharpe"),
-        F.count(F.lit(1)).alias("_bars"),
-    )
+def performance(made: DataFrame, lengths: DataFrame, keys: tuple[str, ...] = ("symbol",), block: int = BLOCK) -> DataFrame:
+    """Return, drawdown, Sharpe ratio, trade counts, wins and exposure per key of
+    ``lengths`` (keys, bars), from its trades.
+
+    Equity changes at exits only, by the trade's net return, so the bars
+    themselves aren't needed: their returns are those of the exits and zeros,
+    and the deepest fall ends at an exit. ``made`` is read several times.
+    """
+    own = list(keys)
+    exits = made.select(*own, F.col("exit_pos").alias("_at"), "net_return", "holding")
+    grown = running(exits, own, "_at", {"_equity": ("product", 1 + F.col("net_return"))}, block)
+    peaks = running(grown, own, "_at", {"_peak": ("max", F.col("_equity"))}, block)
     r = F.col("net_return")
-    own_trades = made.groupBy(*keys).agg(
+    sums = peaks.groupBy(*own).agg(
+        (F.product(1 + r) - 1).alias("total_return"),
+        F.min(F.col("_equity") / F.greatest("_peak", F.lit(1.0)) - 1).alias("max_drawdown"),
+        F.sum(r).alias("_s"),
+        F.sum(r * r).alias("_q"),
         F.count(F.lit(1)).alias("_n"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
         F.avg(F.when(r > 0, r)).alias("avg_win"),
         F.avg(F.when(r < 0, r)).alias("avg_loss"),
         F.sum("holding").alias("_held"),
     )
-    joined = bars.join(own_trades, list(keys), "left")
+    joined = lengths.join(sums, own, "left")
+    moves = F.nullif(F.col("bars") - 1, F.lit(0))
+    mean = F.coalesce("_s", F.lit(0.0)) / moves
+    spread = F.sqrt(F.greatest(F.coalesce("_q", F.lit(0.0)) / moves - mean * mean, F.lit(0.0)))
     return joined.select(
-        *keys,
-        "total_return",
-        "max_drawdown",
-        "sharpe",
+        *own,
+        F.coalesce("total_return", F.lit(0.0)).alias("total_return"),
+        F.when(moves.isNotNull(), F.least(F.coalesce("max_drawdown", F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("max_drawdown"),
+        F.when(spread > 1e-8, mean / F.nullif(spread, F.lit(0.0)) * 252**0.5).alias("sharpe"),
         F.coalesce("_n", F.lit(0)).cast("long").alias("trade_count"),
         "win_rate",
         "avg_win",
         "avg_loss",
-        (F.coalesce("_held", F.lit(0)) / F.col("_bars")).alias("exposure_time"),
+        (F.coalesce("_held", F.lit(0)) / F.col("bars")).alias("exposure_time"),
     )
 
 
+def lengths_of(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+
+
 def walkforward_backtest(
     labelled: DataFrame, horizon: int = 5, lookback: int = 252, min_samples: int = 5, cost_bps: float = COST_BPS,
     threshold: float = 0.0, mask: str | None = None,
@@ -121,9 +182,8 @@ def walkforward_backtest(
     signal = F.col("ev_after_cost") > threshold
     if mask:
         signal = signal & F.coalesce(F.col(mask), F.lit(False))
-    made = trades(joined, signal, horizon, cost_bps)
-    equity = equity_curve(base, made)
-    return made, equity, performance(equity, made)
+    made = stored(trades(joined, signal, horizon, cost_bps), "trades")
+    return made, equity_curve(base, made), performance(made, lengths_of(base))
 
 
 def table_backtest(labelled: DataFrame, table: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_bps: float = COST_BPS):
@@ -131,9 +191,8 @@ def table_backtest(labelled: DataFrame, table: DataFrame, horizon: int = 5, thre
     on the same bars looks ahead; this is for comparison only."""
     base = labelled.select("symbol", "date", "pos", "close", "state")
     joined = base.join(table.select("symbol", "state", "ev_after_cost"), ["symbol", "state"], "left")
-    made = trades(joined, F.col("ev_after_cost") > threshold, horizon, cost_bps)
-    equity = equity_curve(base, made)
-    return made, equity, performance(equity, made)
+    made = stored(trades(joined, F.col("ev_after_cost") > threshold, horizon, cost_bps), "trades")
+    return made, equity_curve(base, made), performance(made, lengths_of(base))
 
 
 def buy_and_hold(bars: DataFrame) -> DataFrame:
@@ -243,12 +302,11 @@ def sensitivity_grid(
         enough = (F.col("train_count") >= F.col("min_samples")) & (F.col("pos") >= h + F.col("min_samples"))
         part = trades(own, enough & (F.col("mean") - F.col("cost_bps") / 1e4 > 0), h, 0.0, keys)
         made = part if made is None else made.unionByName(part)
-    # The trades are few and read twice; equity and statistics of all combinations are one pass.
+    # The trades are few and read several times; no combination needs the bars again.
     made = stored(made.withColumn("net_return", F.col("gross_return") - F.col("cost_bps") / 1e4), "grid-trades")
     grid = [F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("lookback"), o.alias("o")) for h in horizons for k in lookbacks for o in options]
-    every = base.select("symbol", "date", "pos").withColumn("g", F.explode(F.array(*grid)))
-    every = every.select("symbol", "date", "pos", "g.horizon", "g.lookback", "g.o.*")
-    return performance(equity_curve(every, made, keys), made, keys)
+    every = lengths_of(base).withColumn("g", F.explode(F.array(*grid)))
+    return performance(made, every.select("symbol", "g.horizon", "g.lookback", "g.o.*", "bars"), keys)
 
 
 def sharpe_lift(labelled: DataFrame, mask: str, required: float = 0.2, **options) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import N_STATES
+from ..functions.scans import BLOCK, blocked, numbered, running
+from ..sources.storage import stored
 
 
 def transitions(df: DataFrame, keys: tuple[str, ...] = ("symbol",), state: str = "state") -> DataFrame:
@@ -55,7 +57,7 @@ def compare_conditional(conditional: DataFrame, plain: DataFrame, regime: str, k
     return rows.groupBy(*keys, regime).agg(F.sum("_d").alias("total_l1"), F.max("_d").alias("max_row_l1"))
 
 
-def rolling_matrices(df: DataFrame, window: int, step: int = 1, n_states: int = N_STATES) -> DataFrame:
+def rolling_matrices(df: DataFrame, window: int, step: int = 1, n_states: int = N_STATES, block: int = BLOCK) -> DataFrame:
     """Matrices of the last ``window`` bars at every ``step``-th bar.
 
     Long and sparse: (symbol, anchor, src, dst, n, p) for the cells seen; a row
@@ -64,20 +66,25 @@ def rolling_matrices(df: DataFrame, window: int, step: int = 1, n_states: int =
     """
     if window < 2 or step < 1:
         raise ValueError("window must be at least 2 and step at least 1")
-    order = Window.partitionBy("symbol").orderBy("pos")
-    every = df.select("symbol", "state", (F.row_number().over(order) - 1).alias("k"))
+    every = numbered(df.select("symbol", "pos", "state"), ["symbol"], "pos", "k", block)
     on = Window.partitionBy("symbol").orderBy("k")
     known = every.where("state IS NOT NULL")
     pairs = known.select("symbol", F.col("k").alias("at"), F.lag("k").over(on).alias("from"), F.lag("state").over(on).alias("src"), F.col("state").alias("dst"))
     pairs = pairs.where(F.col("src").between(0, n_states - 1) & F.col("dst").between(0, n_states - 1))
-    # The pair of j and k is in the windows of the anchors k .. j + window - 1.
-    first = F.greatest(F.col("at"), F.lit(window - 1))
-    first = first + F.pmod(F.lit(window - 1) - first, F.lit(step))
-    last = F.least(F.col("from") + window - 1, F.col("end"))
+    # The pair of j and k comes into the windows at the anchor k and leaves at j + window: counts
+    # change at these places only, and between two of them a cell's rows are written once.
+    cell = ["symbol", "src", "dst"]
+    events = pairs.select(*cell, F.explode(F.array(F.struct(F.col("at").alias("p"), F.lit(1).alias("d")), F.struct((F.col("from") + window).alias("p"), F.lit(-1).alias("d")))).alias("e"))
+    events = events.groupBy(*cell, F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+    counts = running(events, cell, "p", {"n": ("sum", F.col("d"))}, block)
+    following = F.lead("p").over(Window.partitionBy(*cell).orderBy("p"))
     ends = every.groupBy("symbol").agg(F.max("k").alias("end"))
-    spread = pairs.join(ends, "symbol").withColumn("anchor", F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(step))))
-    spread = spread.withColumn("anchor", F.explode("anchor"))
-    counts = spread.groupBy("symbol", "anchor", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    spans = counts.withColumn("until", following).where("n > 0").join(ends, "symbol")
+    first = F.greatest(F.col("p"), F.lit(window - 1))
+    first = first + F.pmod(F.lit(window - 1) - first, F.lit(step))
+    last = F.least(F.coalesce(F.col("until") - 1, F.col("end")), F.col("end"))
+    counts = spans.withColumn("anchor", F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(step))))
+    counts = counts.select(*cell, F.col("n").cast("long").alias("n"), F.explode("anchor").alias("anchor")).select("symbol", "anchor", "src", "dst", "n")
     total = F.sum("n").over(Window.partitionBy("symbol", "anchor", "src"))
     return counts.withColumn("p", F.col("n") / total)
 
@@ -85,6 +92,7 @@ def rolling_matrices(df: DataFrame, window: int, step: int = 1, n_states: int =
 def stability(rolling: DataFrame, step: int, n_states: int = N_STATES) -> DataFrame:
     """Per symbol, anchor and state: 1 less half the L1 change of its row since the
     anchor before (rows without observations are zero, and stable while they stay so)."""
+    rolling = stored(rolling, "rolling-matrices")  # read four times
     now = rolling.select("symbol", "anchor", "src", "dst", F.col("p").alias("a"))
     before = rolling.select("symbol", (F.col("anchor") + step).alias("anchor"), "src", "dst", F.col("p").alias("b"))
     last = rolling.groupBy("symbol").agg(F.min("anchor").alias("_lo"), F.max("anchor").alias("_hi"))
@@ -141,15 +149,6 @@ def _chains(counts: np.ndarray) -> np.ndarray:
     return np.where(total > 0, counts / np.where(total > 0, total, 1), np.eye(counts.shape[1]))
 
 
-def _blocks(df: DataFrame, block: int, overlap: int) -> DataFrame:
-    """Cut each symbol into blocks of rows with the ``overlap`` rows before, so
-    that a long history is many tasks' work. ``k`` numbers the rows; ``own``
-    marks those a block answers for."""
-    own = F.floor(F.col("k") / block)
-    reach = F.sequence(own, F.floor((F.col("k") + overlap) / block))
-    return df.withColumn("block", F.explode(reach)).withColumn("own", F.col("block") == own)
-
-
 def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[int, ...] = (1, 5, 10, 20), n_states: int = N_STATES, block: int = 5000) -> DataFrame:
     """Per bar: state probabilities from the ``lookback`` known states before it.
 
@@ -178,7 +177,7 @@ def walkforward_forecasts(df: DataFrame, lookback: int = 252, horizons: tuple[in
         out.insert(0, "symbol", pdf["symbol"].iat[0])
         return out
 
-    cut = _blocks(known, block, lookback)
+    cut = blocked(known, "k", block, lookback)
     return cut.groupBy("symbol", "block").applyInPandas(run, "symbol string, pos int, horizon int, dst int, p double")
 
 
@@ -218,7 +217,7 @@ def walkforward_markov_value(df: DataFrame, horizon: int = 5, lookback: int = 25
         out.insert(0, "symbol", pdf["symbol"].iat[0])
         return out
 
-    cut = _blocks(base, block, reach)
+    cut = blocked(base, "k", block, reach)
     return cut.groupBy("symbol", "block").applyInPandas(
         run, "symbol string, pos int, state int, markov_ev double, coverage double, weighted_samples double"
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scans import BLOCK, running
 from ..functions.windows import by_symbol, prior
 
 
-def path_features(df: DataFrame, path: int = 3, velocity: int = 5, memory: int = 20) -> DataFrame:
+def path_features(df: DataFrame, path: int = 3, velocity: int = 5, memory: int = 20, block: int = BLOCK) -> DataFrame:
     """state_age, prior_state, prior_path, entry_velocity and failed_breakouts of (symbol, pos, close, state).
 
     The velocity is measured where a run of a state begins and then carried
@@ -17,7 +18,7 @@ def path_features(df: DataFrame, path: int = 3, velocity: int = 5, memory: int =
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     begins = F.coalesce(~c("state").eqNullSafe(F.lag("state").over(w)), F.lit(True)) | (F.lag("pos").over(w).isNull())
     df = df.withColumn("_begins", begins.cast("int"))
-    df = df.withColumn("_run", F.sum("_begins").over(so_far))
+    df = running(df, ["symbol"], "pos", {"_run": ("sum", F.col("_begins"))}, block)
     past = F.lag("close", velocity).over(w)
     moved = F.when(c("_begins") == 1, F.abs(c("close") - past) / F.nullif(past, F.lit(0.0)))
     prior_path = F.concat_ws(">", *[F.lag("state", k).over(w).cast("string") for k in range(path, 0, -1)])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.scans import numbered
+
 BAR_COLUMNS = ("symbol", "date", "pos", "open", "high", "low", "close", "volume")
 
 
@@ -14,10 +16,14 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def with_pos(df: DataFrame) -> DataFrame:
-    """Add the bar's 0-based position in its symbol; horizons and lookbacks count bars."""
-    order = Window.partitionBy("symbol").orderBy("date")
-    return df.withColumn("pos", F.row_number().over(order) - 1)
+#: Days of a block, by which a symbol's bars are numbered.
+BLOCK_DAYS = 4096
+
+
+def with_pos(df: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+    """Add the bar's 0-based position in its symbol; horizons and lookbacks count
+    bars. Symbols are numbered by ranges of dates, so that a long one is many tasks."""
+    return numbered(df, ["symbol"], "date", "pos", bucket=F.floor(F.unix_date(F.to_date("date")) / days))
 
 
 def bars_from_orders(orders: DataFrame) -> DataFrame:
