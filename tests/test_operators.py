@@ -414,19 +414,6 @@ def test_equity_after_a_total_loss(spark):
     assert abs(backtest.equity_curve(df, made).orderBy(F.col("pos").desc()).first().equity + 1.1 * 0.0005) < 1e-12
 
 
-def test_chosen_trades_are_the_greedy_ones(spark):
-    rng = np.random.default_rng(2)
-    for horizon in (1, 5, 20):
-        found = sorted(set(rng.integers(0, 300, 120).tolist()))
-        want, exit_ = [], -1
-        for p in found:
-            if p > exit_:
-                want.append(p)
-                exit_ = p + 1 + horizon
-        df = spark.createDataFrame([(list(rng.permutation(found).tolist()),), ([],)], "p array<int>")
-        assert [r[0] for r in df.select(backtest.non_overlapping(F.col("p"), horizon)).collect()] == [want, []]
-
-
 def test_rolling_windows_count_bars_without_a_state(spark):
     """Against windows cut bar by bar, with unknown states inside."""
     rng = np.random.default_rng(7)

@@ -1,4 +1,4 @@
-"""Resampling, hidden Markov regimes and change-points: per-symbol numeric fits."""
+"""Resampling, regimes by name and change-points."""
 
 from __future__ import annotations
 
@@ -6,159 +6,128 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import EMISSION_COLUMNS
+from ..functions.scans import numbered
+from .hidden import fit_hmm, hidden_models, hidden_regimes, model_covariances  # noqa: F401
 
 # The statistics by name.
-STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
-#: Gain in log-likelihood below which a hidden Markov fit has converged.
-GAIN = 1e-2
+STATISTICS = ("mean", "median", "std")
 
 
-def _rng(seed: int, name: str) -> np.random.Generator:
-    return np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{name}".encode()).digest()[:8], "big"))
+def _rng(*name) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, name)).encode()).digest()[:8], "big"))
 
 
-def resamples(values: np.ndarray, n: int, block: int, rng: np.random.Generator) -> np.ndarray:
-    """``n`` bootstrap samples as rows: single values, or overlapping blocks cut to length."""
-    size = len(values)
-    if block <= 1 or size == 1:
-        return values[rng.integers(0, size, (n, size))]
-    # Rows of all windows of the block's length are views; a sample is a row of windows, cut to length.
-    windows = np.lib.stride_tricks.sliding_window_view(values, min(block, size))
-    drawn = windows[rng.integers(0, len(windows), (n, -(-size // windows.shape[1])))]
-    return drawn.reshape(n, -1)[:, :size]
+def share_of(name: tuple, draws: np.ndarray, weights_before, chunk: int, chunks: int) -> np.ndarray:
+    """How many of each replicate's ``draws`` fall to a chunk: halves of the
+    chunks share them binomially, each half by a generator of its own name, so
+    that all chunks agree and none draws for the others. ``weights_before(c)``
+    is the number of starts before chunk c."""
+    low, high = 0, chunks
+    while high - low > 1:
+        mid = (low + high) // 2
+        whole, left = weights_before(high) - weights_before(low), weights_before(mid) - weights_before(low)
+        taken = _rng(*name, low, high).binomial(draws, left / whole if whole else 0.0)
+        draws, low, high = (taken, low, mid) if chunk < mid else (draws - taken, mid, high)
+    return draws
 
 
-def trade_sharpe(x: np.ndarray, holding: float) -> np.ndarray:
-    spread = x.std(axis=-1, ddof=1)
-    good = spread > 1e-12
-    return np.where(good, x.mean(axis=-1) / np.where(good, spread, 1), 0.0) * np.sqrt(252 / holding)
+def drawn_sums(x: np.ndarray, size: int, block: int, chunk: int, chunk_rows: int, n: int, batch: int, name: tuple) -> np.ndarray:
+    """Sums and sums of squares (n, 2) of the blocks that replicates draw from one chunk.
 
-
-def bootstrap(df: DataFrame, value: str, key: str = "symbol", statistic: str = "mean", n: int = 2000, block: int = 5, level: float = 0.95, seed: int = 7, holding: float | None = None) -> DataFrame:
+    ``x`` holds the values from the chunk's first start on, as far as its last
+    block reaches. A sample of ``size`` values is a row of blocks whose last one is cut.
+    """
+    running = np.concatenate([np.zeros((1, 2)), np.cumsum(np.stack([x, x * x], axis=1), axis=0)])
+    starts = size - block + 1
+    chunks, before = -(-starts // chunk_rows), lambda c: min(c * chunk_rows, starts)
+    number = -(-size // block)
+    own, out = before(chunk + 1) - before(chunk), np.zeros((n, 2))
+    for q, first in enumerate(range(0, n, batch)):
+        for kind, many, length in (("whole", number - 1, block), ("last", 1, size - (number - 1) * block)):
+            counts = share_of((*name, q, kind), np.full(min(batch, n - first), many), before, chunk, chunks)
+            at = _rng(*name, q, kind, "of", chunk).integers(0, own, int(counts.sum())) if own else np.empty(0, dtype=int)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            for j in (0, 1):
+                out[first : first + len(counts), j] += np.bincount(owner, running[at + length, j] - running[at, j], len(counts))
+    return out
+
+
+def trade_sharpe(mean: Column, spread: Column, holding: float) -> Column:
+    return F.when(spread > 1e-12, mean / F.nullif(spread, F.lit(0.0))).otherwise(0.0) * (252 / holding) ** 0.5
+
+
+def bootstrap(
+    df: DataFrame, value: str, key: str = "symbol", statistic: str = "mean", n: int = 2000, block: int = 5, level: float = 0.95, seed: int = 7,
+    holding: float | None = None, chunk_rows: int = 65_536, batch: int = 250,
+) -> DataFrame:
     """Percentile interval of a statistic per key; with ``holding``, of the
-    annualised Sharpe ratio of trades. Rows are taken in the order of ``pos``.
-    Seeds are derived from the key, so results don't depend on partitions."""
+    annualised Sharpe ratio of trades. Rows are taken in the order of ``pos``,
+    and samples are rows of overlapping blocks, cut to length.
+
+    A long key is many tasks: each draws, for all replicates, the blocks that
+    start in its chunk of the values, and sends their sums, from which means
+    and deviations follow. (Medians need the values: replicates are then dealt
+    out over tasks that each see a key's values.) Generators are named by key,
+    replicates and chunk, so results don't depend on partitions.
+    """
     if statistic not in STATISTICS:
         raise ValueError(f"unknown statistic {statistic}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["value"].dropna().to_numpy()
-        row = {"key": pdf["key"].iat[0], "n": len(x), "estimate": None, "low": None, "high": None}
-        if len(x) >= (2 if holding else 1):
-            rng, found = _rng(seed, str(row["key"])), []
-            for a in range(0, n, 250):
-                drawn = resamples(x, min(250, n - a), block, rng)
-                found.append(trade_sharpe(drawn, holding) if holding else STATISTICS[statistic](drawn, axis=1))
-            all_ = np.concatenate(found)
-            own = trade_sharpe(x[None, :], holding)[0] if holding else STATISTICS[statistic](x)
-            low, high = np.quantile(all_, [(1 - level) / 2, (1 + level) / 2])
-            row |= {"estimate": float(own), "low": float(low), "high": float(high)}
-        return pd.DataFrame([row])
-
-    slim = df.select(F.col(key).alias("key"), "pos", F.col(value).cast("double").alias("value"))
-    out = slim.groupBy("key").applyInPandas(run, "key string, n long, estimate double, low double, high double")
+    if not 0 < level < 1 or n < 1:
+        raise ValueError("bad bootstrap options")
+    keyed = df.select(F.col(key).alias("key"), "pos", F.col(value).cast("double").alias("value"))
+    known = numbered(keyed.where("value IS NOT NULL AND NOT isnan(value)"), ["key"], "pos", "i")
+    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s0"), F.stddev_samp("value").alias("s1"), F.expr("median(value)").alias("mid"))
+    rows = known.join(sizes.select("key", "n", "m"), "key").where(F.col("n") >= (2 if holding else 1))
+    width = F.least(F.lit(max(block, 1)), F.col("n")).cast("int")
+
+    if statistic == "median" and not holding:
+
+        def medians(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, q, own = pdf.sort_values("i")["value"].to_numpy(), int(pdf["q"].iat[0]), int(pdf["width"].iat[0])
+            many, rng = min(batch, n - q * batch), _rng(seed, pdf["key"].iat[0], q)
+            reach, out = np.arange(own), []
+            for _ in range(many):
+                at = rng.integers(0, len(x) - own + 1, -(-len(x) // own))
+                out.append(float(np.median(x[(at[:, None] + reach).ravel()[: len(x)]])))
+            return pd.DataFrame({"key": pdf["key"].iat[0], "found": out})
+
+        dealt = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // batch)))).withColumn("width", width)
+        found = dealt.groupBy("key", "q").applyInPandas(medians, "key string, found double")
+        point = F.col("mid")
+    else:
+
+        def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("i")
+            row = pdf.iloc[0]
+            made = drawn_sums((pdf["value"] - row["m"]).to_numpy(), int(row["n"]), int(row["width"]), int(row["chunk"]), chunk_rows, n, batch, (seed, row["key"]))
+            return pd.DataFrame({"key": row["key"], "replicate": np.arange(n), "a": made[:, 0], "b": made[:, 1]})
+
+        first = F.greatest(F.floor((F.col("i") - width + 1) / chunk_rows), F.lit(0))
+        last = F.least(F.floor(F.col("i") / chunk_rows), F.floor((F.col("n") - width) / chunk_rows))
+        dealt = rows.withColumns({"width": width, "chunk": F.explode(F.sequence(first, F.greatest(first, last)))})
+        parts = dealt.groupBy("key", "chunk").applyInPandas(sums, "key string, replicate int, a double, b double")
+        total = parts.groupBy("key", "replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(sizes.select("key", "n", "m"), "key")
+        mean = F.col("m") + F.col("a") / F.col("n")
+        squares = F.greatest(F.col("b") - F.col("a") * F.col("a") / F.col("n"), F.lit(0.0))
+        if holding:
+            found, point = trade_sharpe(mean, F.sqrt(squares / F.nullif(F.col("n") - 1, F.lit(0))), holding), trade_sharpe(F.col("m"), F.col("s1"), holding)
+        else:
+            found, point = (mean, F.col("m")) if statistic == "mean" else (F.sqrt(squares / F.col("n")), F.col("s0"))
+        found = total.select("key", found.alias("found"))
+    ends = found.groupBy("key").agg(F.percentile("found", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("e"))
+    out = keyed.select("key").distinct().join(sizes, "key", "left").join(ends, "key", "left")
+    estimate = F.when(F.col("e").isNotNull(), point)
+    out = out.select("key", F.coalesce("n", F.lit(0)).alias("n"), estimate.alias("estimate"), F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
     return out.withColumnRenamed("key", key)
 
 
-def _log_gauss(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(axis=2)
-
-
-def _forward_backward(e: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """State probabilities (starts, bars, k), expected moves (starts, k, k) and
-    log-likelihoods of several models at once, by scaled recursions.
-
-    ``e`` holds log densities (starts, bars, k), ``pi`` (starts, k), ``a`` (starts, k, k).
-    """
-    top = e.max(axis=2, keepdims=True)
-    # Bars first: each step then works on one block of memory.
-    p = np.ascontiguousarray(np.exp(e - top).swapaxes(0, 1))
-    n = len(p)
-    f, b, scale = np.empty_like(p), np.ones_like(p), np.empty((n, len(pi), 1))
-    now = (pi * p[0])[:, None, :]
-    for t in range(n):
-        if t:
-            now = (now @ a) * p[t][:, None, :]
-        total = now.sum(axis=2, keepdims=True) + 1e-300
-        now = now / total
-        f[t], scale[t] = now[:, 0], total[:, 0]
-    later = np.ones((len(pi), a.shape[1], 1))
-    for t in range(n - 2, -1, -1):
-        later = a @ (later * (p[t + 1] / scale[t + 1])[:, :, None])
-        b[t] = later[:, :, 0]
-    g = f * b
-    g /= g.sum(axis=2, keepdims=True) + 1e-300
-    moves = a * np.einsum("tsi,tsj->sij", f[:-1], b[1:] * p[1:] / scale[1:], optimize=True)
-    return g.swapaxes(0, 1), moves, np.log(scale[:, :, 0]).sum(axis=0) + top[:, :, 0].sum(axis=1)
-
-
-def fit_hmm(x: np.ndarray, k: int = 3, starts: int = 10, rounds: int = 200, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Gaussian hidden Markov model with diagonal variances: the best of several
-    Baum-Welch fits, and its Viterbi path. A fit ends when a round gains less
-    than ``GAIN`` in log-likelihood; all starts are fitted side by side."""
-    if len(x) < 2 * k:
-        raise ValueError("too few observations for the number of regimes")
-    floor = 1e-3 * x.var(axis=0) + 1e-12
-    mean = np.stack([x[np.random.default_rng(seed + s).choice(len(x), k, replace=False)] for s in range(starts)])
-    var = np.tile(x.var(axis=0) + floor, (starts, k, 1))
-    pi, a = np.full((starts, k), 1 / k), np.full((starts, k, k), 0.1 / max(1, k - 1))
-    a[:, np.arange(k), np.arange(k)] = 0.9
-    a /= a.sum(axis=2, keepdims=True)
-    before, open_ = np.full(starts, -np.inf), np.arange(starts)
-    for _ in range(rounds):
-        e = np.stack([_log_gauss(x, mean[s], var[s]) for s in open_])
-        g, moves, total = _forward_backward(e, pi[open_], a[open_])
-        w = g.sum(axis=1)[:, :, None] + 1e-12
-        pi[open_] = g[:, 0]
-        a[open_] = (moves + 1e-12) / (moves + 1e-12).sum(axis=2, keepdims=True)
-        mean[open_] = g.swapaxes(1, 2) @ x / w
-        for q, s in enumerate(open_):
-            var[s] = np.stack([g[q, :, j] @ (x - mean[s, j]) ** 2 / w[q, j] for j in range(k)]) + floor
-        done = total - before[open_] < GAIN
-        before[open_] = total
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    # Compared by the likelihoods of the models as they ended.
-    e = np.stack([_log_gauss(x, mean[s], var[s]) for s in range(starts)])
-    total = _forward_backward(e, pi, a)[2]
-    s = int(total.argmax())
-    pi, a, mean, var, best = pi[s], a[s], mean[s], var[s], float(total[s])
-    e, la = _log_gauss(x, mean, var), np.log(a + 1e-300)
-    score, back = np.log(pi + 1e-300) + e[0], np.zeros((len(x), k), dtype=int)
-    for t in range(1, len(x)):
-        move = score[:, None] + la
-        back[t] = move.argmax(axis=0)
-        score = move.max(axis=0) + e[t]
-    path = np.empty(len(x), dtype=np.int32)
-    path[-1] = score.argmax()
-    for t in range(len(x) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path, best
-
-
-def hidden_regimes(df: DataFrame, columns: list[str], k: int = 3, starts: int = 10, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """Regime of every bar with known emissions: (symbol, pos, regime); a symbol with too few gets none."""
-    slim = df.select("symbol", "pos", *columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.sort_values("pos").dropna(subset=columns)
-        out = pd.DataFrame({"symbol": known["symbol"], "pos": known["pos"]})
-        if len(known) < 2 * k:
-            return out.assign(regime=0).iloc[:0]
-        x = known[columns].to_numpy(dtype=float)
-        x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-12)
-        return out.assign(regime=fit_hmm(x, k, starts, rounds, seed)[0])
-
-    return slim.groupBy("symbol").applyInPandas(run, "symbol string, pos int, regime int")
-
-
 def name_regimes(df: DataFrame, value: str = "return_1d", vol: str = "realized_vol_20") -> DataFrame:
-    """Name regimes by their mean return and volatility against the medians of those means."""
-    means = df.groupBy("symbol", "regime").agg(F.avg(value).alias("mean_return"), F.avg(vol).alias("mean_vol"))
+    """Name regimes by their mean return and volatility against the medians of
+    those means; bars that lack either value have no part in them."""
+    means = df.dropna(subset=["symbol", "regime", value, vol]).groupBy("symbol", "regime").agg(F.avg(value).alias("mean_return"), F.avg(vol).alias("mean_vol"))
     mid = means.groupBy("symbol").agg(F.median("mean_return").alias("_r"), F.median("mean_vol").alias("_v"))
     up, wild = F.col("mean_return") >= F.col("_r"), F.col("mean_vol") >= F.col("_v")
     label = (
@@ -177,8 +146,8 @@ def emissions(df: DataFrame, columns: tuple[str, ...] | None = None) -> list[str
 
 
 def regime_covariances(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol", "regime")) -> DataFrame:
-    """Covariances of the emissions in each regime, long (keys, a, b, covariance): zero off the
-    diagonal, as the fitted models have diagonal covariances."""
+    """Spread of the emissions in given regimes, long (keys, a, b, covariance) and zero off the
+    diagonal. A fitted model's own covariances are :func:`hidden.model_covariances`."""
     own = df.dropna(subset=[*keys, *columns])
     spread = own.groupBy(*keys).agg(*[F.var_pop(c).alias(c) for c in columns])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) if a == b else F.lit(0.0)).alias("v")) for a in columns for b in columns]

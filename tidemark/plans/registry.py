@@ -1085,6 +1085,14 @@ def _(spark, sf):
     return stats.name_regimes(df.join(found, ["symbol", "pos"]))
 
 
+@register("hidden_covariances")
+def _(spark, sf):
+    """Full covariances of the fitted models themselves."""
+    columns = ["return_1d", "realized_vol_20"]
+    models = stats.hidden_models(add_indicators(bars(spark, sf)), columns, covariance="full")[0]
+    return rounded(stats.model_covariances(models, columns), "covariance", places=9)
+
+
 @register("change_points")
 def _(spark, sf):
     df = add_indicators(bars(spark, sf)).select("symbol", "pos", "return_1d")
