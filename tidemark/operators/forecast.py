@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.storage import stored
+from ..sources.store import save_csv
+
 MODIFIERS = ("volatility_state", "macro_state", "calendar_state", "liquidity_state")
 HIGH, LOW = 50, 30
 LEVELS = tuple(range(len(MODIFIERS) + 1))
@@ -28,6 +31,14 @@ def composite_key(level: Column | int = 4) -> Column:
     return F.concat_ws("|", base.otherwise(F.col("base_state")), *parts)
 
 
+def overridden(records: DataFrame, **changes) -> DataFrame:
+    """Records with some fields set to other values (columns, texts or None: unknown); others stay. A name that is no field is an error."""
+    unknown = set(changes) - {"base_state", *MODIFIERS}
+    if unknown:
+        raise ValueError(f"no fields of a record: {', '.join(sorted(unknown))}")
+    return records.withColumns({c: v if isinstance(v, Column) else F.lit(v).cast("string") for c, v in changes.items()})
+
+
 def leveled(records: DataFrame) -> DataFrame:
     """A row for each record and fallback level, with its key and the next record's."""
     exploded = records.withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS])))
@@ -183,3 +194,21 @@ def coverage_by_symbol(forecasts: DataFrame) -> DataFrame:
 
 def warning_counts(forecasts: DataFrame) -> DataFrame:
     return forecasts.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
+
+
+def diagnostics(history: DataFrame, asked: DataFrame, folder: str, top: int = 20) -> dict[str, str]:
+    """Fit once on ``history``, forecast ``asked``, and write the five diagnostic tables as CSV: {name: path}."""
+    made = stored(conditional_forecast(history, asked), "diagnostic-forecasts")
+    # The rarest base states of all symbols together.
+    bare = history.groupBy(F.lit("all").alias("symbol"), F.lit(0).alias("level"), composite_key(0).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    tables = {
+        "fallback_usage": fallback_usage(made).orderBy("fallback_level"),
+        "confidence_distribution": confidence_panel(made).orderBy("tier"),
+        "top_rare_states": rarest(bare, top).select("key", "n"),
+        "coverage_by_symbol": coverage_by_symbol(made).orderBy("symbol"),
+        "forecast_warnings": warning_counts(made).orderBy(F.col("n").desc(), "warning"),
+    }
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
+    for name, df in tables.items():
+        save_csv(df, paths[name], single=True)
+    return paths

@@ -50,6 +50,45 @@ def forecast(p: DataFrame, steps: int, keys: tuple[str, ...] = ("symbol",)) -> D
     return out
 
 
+def check_matrix(p: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``p`` (keys, src, dst, p) itself; a matrix that isn't square, or holds a value that isn't finite, is an error.
+
+    Square: each pair of states from 0 to the largest one, once.
+    """
+    n = F.greatest(F.max("src"), F.max("dst")) + 1
+    sound = p.groupBy(*keys).agg(
+        (F.coalesce(F.min(F.least("src", "dst")), F.lit(-1)) >= 0).alias("at_zero"),
+        (F.count(F.lit(1)) == n * n).alias("full"),
+        (F.count_distinct("src", "dst") == n * n).alias("once"),
+        F.every(F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") != float("inf"))).alias("finite"),
+    )
+    bad = sound.where("NOT coalesce(at_zero AND full AND once AND finite, false)").first()
+    if bad is not None:
+        what = "isn't square" if not (bad["at_zero"] and bad["full"] and bad["once"]) else "holds values that aren't finite"
+        raise ValueError(f"the transition matrix of {', '.join(str(bad[k]) for k in keys)} {what}")
+    return p
+
+
+def state_forecast(p: DataFrame, state: int, steps: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Probabilities (keys, dst, p) ``steps`` after ``state``; a matrix or state that can't be is an error.
+
+    A row is carried from step to step, and the negative rounding errors of
+    its end go: the row sums to 1, or is uniform where nothing is left.
+    """
+    if steps < 1:
+        raise ValueError("steps must be at least 1")
+    check_matrix(p, keys)
+    if state < 0 or not p.groupBy(*keys).agg(F.max("src").alias("_m")).where(F.col("_m") < state).isEmpty():
+        raise ValueError(f"state {state} is outside the transition matrix")
+    row = p.where(F.col("src") == state).select(*keys, "dst", "p")
+    for _ in range(steps - 1):
+        move = p.select(*keys, "src", F.col("dst").alias("_to"), F.col("p").alias("_q"))
+        row = row.withColumnRenamed("dst", "src").join(move, [*keys, "src"]).groupBy(*keys, F.col("_to").alias("dst")).agg(F.sum(F.col("p") * F.col("_q")).alias("p"))
+    own = Window.partitionBy(*keys)
+    kept = F.greatest("p", F.lit(0.0))
+    return row.select(*keys, "dst", F.when(F.sum(kept).over(own) > 1e-12, kept / F.nullif(F.sum(kept).over(own), F.lit(0.0))).otherwise(1 / F.count(F.lit(1)).over(own)).alias("p"))
+
+
 def compare_conditional(conditional: DataFrame, plain: DataFrame, regime: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Distance of each regime's matrix from the unconditional one: total and largest row L1."""
     other = plain.select(*keys, "src", "dst", F.col("p").alias("_q"))
@@ -233,6 +272,7 @@ def _stationary(v: np.ndarray) -> list[float]:
 
 def stationary(p: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """The stationary distribution of each matrix: (keys, dst, p)."""
+    check_matrix(p, keys)
     cells = F.array_sort(F.collect_list(F.struct("src", "dst", "p")))
     dense = p.groupBy(*keys).agg(F.transform(cells, lambda x: x["p"]).alias("m"))
 

@@ -6,11 +6,14 @@ bars later; one symbol holds at most one at a time.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.constants import COST_BPS
-from ..sources.storage import exists
+from ..sources.storage import names_in, read_file, remove, replace_file, stored
 
 DECISIONS = (
     "symbol string, pos int, date date, action string, reason string, position_id string, price double, net_return double, "
@@ -100,6 +103,69 @@ def paper_trade(bars: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_
     return bars.select(*names).groupBy("symbol").applyInPandas(run, DECISIONS)
 
 
+#: What a symbol carries from one day to the next: the last bar's number and signal, and the position it holds.
+CARRIED = (
+    "symbol string, pos int, date date, ev_after_cost double, state int, has_ev boolean, position_id string, entry_price double, target_pos int"
+)
+_CARRIED = [c.split()[0] for c in CARRIED.split(", ")]
+
+
+def nothing_carried(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], CARRIED)
+
+
+def resumed(carried: dict | None, symbol: str) -> tuple[dict | None, dict | None, int]:
+    """The position held, the bar before and the next bar's number, from a carried row."""
+    if carried is None:
+        return None, None, 0
+    held = None
+    if _known(carried["position_id"]):
+        held = {"position_id": carried["position_id"], "symbol": symbol, "entry_price": carried["entry_price"], "target_pos": int(carried["target_pos"])}
+    return held, {c: carried[c] for c in ("date", "ev_after_cost", "state", "has_ev")}, int(carried["pos"]) + 1
+
+
+def carried_on(symbol: str, pos: int, bar: dict, held: dict | None) -> dict:
+    """The row that the next day starts from."""
+    own = {c: (bar.get(c) if _known(bar.get(c)) else None) for c in ("date", "ev_after_cost", "state", "has_ev")}
+    p = held or {}
+    return {"symbol": symbol, "pos": pos} | own | {c: p.get(c) for c in ("position_id", "entry_price", "target_pos")}
+
+
+def daily_step(carried: DataFrame, bars: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_bps: float = COST_BPS) -> tuple[DataFrame, DataFrame]:
+    """The day's decisions and the rows to carry on, from the rows carried so far and the new bars alone.
+
+    ``bars`` (symbol, date, close, ev_after_cost, and optionally state, has_ev,
+    drift, macro_ok) may be of one or several days; nothing earlier is read
+    again. The end of the data isn't known in advance, so the newest bar may
+    open a position. Symbols without a new bar are carried on as they are.
+    Both tables are stored once, and come from the same pass.
+    """
+    options = {"horizon": horizon, "threshold": threshold, "cost_bps": cost_bps}
+    wanted = ("symbol", "date", "close", "ev_after_cost", "state", "has_ev", "drift", "macro_ok")
+    names = [c for c in wanted if c in bars.columns]
+    columns = [c.split()[0] for c in DECISIONS.split(", ")]
+
+    def run(before: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        old = before.to_dict("records")[0] if len(before) else None
+        symbol = new["symbol"].iat[0] if len(new) else old["symbol"]
+        held, last, pos = resumed(old, symbol)
+        out, bar = [], None
+        for values in new.sort_values("date").itertuples(index=False, name=None):
+            bar = dict(zip(names, values, strict=True)) | {"pos": pos}
+            held, made = step(held, bar, last, options)
+            out += [m | {"symbol": symbol} for m in made]
+            last, pos = bar, pos + 1
+        rows = [[False, *[m.get(c) for c in columns], *[None] * len(_CARRIED)] for m in out]
+        row = old if bar is None else carried_on(symbol, pos - 1, bar, held)
+        rows.append([True, *[None] * len(columns), *[row[c] if _known(row[c]) else None for c in _CARRIED]])
+        return pd.DataFrame(rows, columns=["is_carried", *columns, *[f"c_{c}" for c in _CARRIED]], dtype=object)
+
+    both = f"is_carried boolean, {DECISIONS}, " + ", ".join(f"c_{c}" for c in CARRIED.split(", "))
+    made = carried.groupBy("symbol").cogroup(bars.select(*names).groupBy("symbol")).applyInPandas(run, both)
+    made = stored(made, "daily-step")
+    return made.where("NOT is_carried").select(*columns), made.where("is_carried").select(*[F.col(f"c_{c}").alias(c) for c in _CARRIED])
+
+
 def positions_from(decisions: DataFrame, bars: DataFrame, horizon: int = 5) -> DataFrame:
     """The positions table of the decisions; an open position has no exit. ``bars`` (symbol, pos, date) date the targets."""
     opened, closed = F.col("action") == "open", F.col("action") == "close"
@@ -167,20 +233,62 @@ def closed(positions: DataFrame, position_id: str, exit_date, exit_price: float,
     return positions.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def save_positions(positions: DataFrame, path: str) -> None:
-    """A snapshot of the table, each row with the schema's version; ``positions`` must not be read from ``path``."""
-    positions.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(path)
+#: Snapshots that stay readable behind the newest.
+KEPT_SNAPSHOTS = 2
+
+
+class Conflict(RuntimeError):
+    """Another writer has saved a version since this one's was read."""
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The saved versions, oldest first."""
+    return [int(name[:-5]) for name in names_in(spark, f"{path}/log") if name.endswith(".json") and name[:-5].isdigit()]
+
+
+def save_positions(positions: DataFrame, path: str, expected: int | None = None) -> int:
+    """Save the table as the next version, which is returned.
+
+    The rows go to a folder of their own, and one rename of a small log entry
+    makes them the newest version. So ``positions`` may be read from ``path``
+    itself, a crash in between leaves the version before, and of two writers
+    the later one fails. ``expected`` is the version that ``positions`` came
+    from (0: none), if it must still be the newest.
+    """
+    spark = positions.sparkSession
+    before = max(versions(spark, path), default=0)
+    if expected is not None and expected != before:
+        raise Conflict(f"version {before} is the newest, not {expected}")
+    folder = f"snapshot-{before + 1:08d}-{uuid.uuid4().hex[:8]}"
+    positions.write.parquet(f"{path}/{folder}")
+    entry = {"schema_version": SCHEMA_VERSION, "snapshot": folder}
+    try:
+        replace_file(spark, f"{path}/log/{before + 1:08d}.json", json.dumps(entry).encode(), new=True)
+    except FileExistsError as e:
+        remove(spark, f"{path}/{folder}")
+        raise Conflict(f"version {before + 1} was saved meanwhile") from e
+    for old in versions(spark, path)[: -1 - KEPT_SNAPSHOTS]:
+        remove(spark, f"{path}/{_entry(spark, path, old)['snapshot']}")
+        remove(spark, f"{path}/log/{old:08d}.json")
+    return before + 1
+
+
+def _entry(spark: SparkSession, path: str, version: int) -> dict:
+    found = read_file(spark, f"{path}/log/{version:08d}.json")
+    if found is None:
+        raise FileNotFoundError(f"{path}: no version {version}")
+    return json.loads(found)
 
 
-def load_positions(spark: SparkSession, path: str) -> DataFrame:
-    """The saved table, empty if there is none; another version is an error."""
-    if not exists(spark, path):
+def load_positions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest saved table or that ``version``, empty if there is none; another schema version is an error."""
+    saved = versions(spark, path)
+    if not saved and version is None:
         return no_positions(spark)
-    found = spark.read.parquet(path)
-    other = found.where(F.col("schema_version") != SCHEMA_VERSION).first()
-    if other is not None:
-        raise ValueError(f"schema version {other['schema_version']} instead of {SCHEMA_VERSION}")
-    return found.drop("schema_version")
+    entry = _entry(spark, path, saved[-1] if version is None else version)
+    if entry["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"schema version {entry['schema_version']} instead of {SCHEMA_VERSION}")
+    return spark.read.schema(POSITIONS).parquet(f"{path}/{entry['snapshot']}")
 
 
 def as_of(positions: DataFrame, days: DataFrame) -> DataFrame:

@@ -556,6 +556,10 @@ def _(spark, sf):
     return rounded(markov.compare_conditional(conditional, plain, "vol_state"), "total_l1", "max_row_l1")
 
 
+def rolling_sql(step: int) -> str:
+    return ROLLING.replace("% 40", f"% {step}")
+
+
 ROLLING = """
 anch AS (SELECT symbol, k AS anchor FROM known WHERE k + 1 >= 120 AND (k + 1 - 120) % 40 = 0),
 roll AS (
@@ -569,6 +573,12 @@ def _(spark, sf):
     return df.withColumn("anchor", F.col("anchor").cast("long"))
 
 
+@register("rolling_transitions_daily", o.query("SELECT symbol, anchor, src, dst, n, round(p, 6) AS p FROM rollp", *LAB, o.PAIRS, rolling_sql(1)))
+def _(spark, sf):
+    df = rounded(markov.rolling_matrices(labelled(spark, sf), 120), "p")
+    return df.withColumn("anchor", F.col("anchor").cast("long"))
+
+
 STABILITY = """
 mv AS (
   SELECT a.symbol, a.anchor, CAST(s.s AS INTEGER) AS src FROM anch a, range(12) s(s) WHERE a.anchor > (SELECT min(anchor) FROM anch b WHERE b.symbol = a.symbol)
@@ -1201,16 +1211,21 @@ def _(spark, sf):
         FROM sig JOIN ssel USING (symbol, pos)
         UNION ALL SELECT x.symbol, x.pos, 'close', 'horizon_reached', e.symbol || '-' || e.pos, x.close, round(x.close / e.close - 1 - 0.0005, 6)
         FROM ssel s JOIN sig e ON e.symbol = s.symbol AND e.pos = s.pos JOIN sig x ON x.symbol = e.symbol AND x.pos = e.pos + 5""",
-        *POSITIONS_SQL, o.selected("ssel", "(SELECT symbol, pos FROM sig WHERE ev > 0)", 3), recursive=True,
+        *POSITIONS_SQL, o.selected("ssel", "(SELECT symbol, pos FROM sig WHERE ev > 0 AND NOT drift AND macro_ok)", 3), recursive=True,
     ),
 )
 def _(spark, sf):
     """Daily bars written as files and read as a stream; decisions equal a batch run's, but for the end of the data."""
     from ..streaming import bars as streams
 
-    signals = stored(signal_bars(spark, sf).select("symbol", F.col("pos").alias("seq"), "close", "ev_after_cost"), "signals")
+    signals = stored(signal_bars(spark, sf).withColumnRenamed("pos", "seq"), "signals")
     stream = spark.readStream.schema(signals.schema).parquet(signals.inputFiles()[0].rsplit("/", 1)[0])
-    return rounded(streams.drained(streams.streaming_positions(stream), "positions"), "net_return")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, streams.STATE_STORE)
+    try:
+        return rounded(streams.drained(streams.streaming_positions(stream), "positions"), "net_return")
+    finally:
+        spark.conf.set(key, before)
 
 
 # Sorted and limited reports

@@ -76,3 +76,46 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file's bytes, null if it isn't there."""
+    target, fs = filesystem(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def replace_file(spark: SparkSession, path: str, data: bytes, new: bool = False) -> None:
+    """Write a small file under another name and rename it: readers see all of it
+    or the one before. With ``new``, a file that is there already is a FileExistsError."""
+    target, fs = filesystem(spark, path)
+    fs.mkdirs(target.getParent())
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    temporary = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(temporary, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark._sc._gateway.new_array(kind, 1)
+    how[0] = kind.NONE if new else kind.OVERWRITE
+    whole = fs.makeQualified(target)
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), whole, how)
+    except Exception as e:
+        fs.delete(temporary, False)
+        if new and fs.exists(target):
+            raise FileExistsError(path) from e
+        raise
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it isn't there."""
+    target, fs = filesystem(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []

@@ -6,7 +6,6 @@ import datetime
 import html
 import json
 import math
-import os
 import re
 from collections.abc import Callable
 
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import ALL_SYMBOLS, FIRST_SYMBOLS
 from .bars import clean_bars
-from .storage import exists, filesystem
+from .storage import exists, filesystem, replace_file, read_file, stored
+from .vendor import read_vendor, records_from  # noqa: F401
 
 PROVIDERS: dict[str, Callable[..., list[dict]]] = {}
 
@@ -29,43 +29,20 @@ def provider(name: str):
     return keep
 
 
-# Under which names vendors wrap their rows, in order.
-WRAPPERS = ("historical", "data", "results")
+def download(spark: SparkSession, symbols: str | list[str], start: str, end: str, source: str, **options) -> DataFrame:
+    """Bars of the symbols from a registered provider; later rows of a date win.
 
-
-def records_from(payload) -> list[dict]:
-    """The rows of a vendor's JSON: the payload itself, or what the first usable wrapper holds."""
-    places = [payload, *(payload.get(name) for name in WRAPPERS)] if isinstance(payload, dict) else [payload]
-    rows = next((x for x in places if isinstance(x, list)), None)
-    if rows is None:
-        raise ValueError("no records in the payload")
-    return rows
-
-
-def typed_bars(spark: SparkSession, rows: list[tuple[str, int, dict]]) -> DataFrame:
-    """(symbol, number, row dict) to typed vendor rows; what isn't a number becomes null."""
-    values = ("open", "high", "low", "close", "volume")
-    plain = []
-    for symbol, k, row in rows:
-        row = {name.lower(): v for name, v in row.items()}
-        plain.append((symbol, str(row["date"]), *[None if row.get(c) is None else str(row[c]) for c in values], k))
-    raw = spark.createDataFrame(plain, "symbol string, date string, open string, high string, low string, close string, volume string, ingest_seq long")
-    return raw.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in values}).withColumn("date", F.to_date("date"))
-
-
-def download(spark: SparkSession, symbols: str | list[str], start: str, end: str, source: str) -> DataFrame:
-    """Bars of the symbols from a registered provider; later rows of a date win."""
+    The provider is read as a data source, by partitions of symbols and dates
+    in parallel; the rows are stored once, so that nothing is asked for twice.
+    """
     from . import connectors  # noqa: F401  registers the built-in ones
 
     if source not in PROVIDERS:
         raise ValueError(f"unknown provider {source}")
-    rows = []
-    for symbol in [symbols] if isinstance(symbols, str) else symbols:
-        name = symbol.strip().upper()
-        rows += [(name, k, r) for k, r in enumerate(records_from(PROVIDERS[source](name, start, end)))]
-    if not rows:
+    rows = stored(read_vendor(spark, source, PROVIDERS[source], [symbols] if isinstance(symbols, str) else symbols, start, end, **options), "vendor-rows")
+    if rows.isEmpty():
         raise ValueError("the provider returned nothing")
-    return clean_bars(typed_bars(spark, rows))
+    return clean_bars(rows.where("date IS NOT NULL"))
 
 
 def save_raw(df: DataFrame, path: str) -> None:
@@ -149,20 +126,18 @@ def _safe(value):
     return [_safe(v) for v in value] if isinstance(value, list | tuple) else value
 
 
-def save_json(value: dict, path: str) -> None:
-    """Write a small document in one step: readers see the old or the new one."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.tmp"
-    with open(temporary, "w", encoding="utf-8") as f:
-        json.dump(_safe(value), f, indent=1, sort_keys=True, default=str)
-    os.replace(temporary, path)
+def save_json(value: dict, path: str, spark: SparkSession | None = None) -> None:
+    """Write a small document in one step, on any file system that Hadoop knows: readers see the old or the new one."""
+    text = json.dumps(_safe(value), indent=1, sort_keys=True, default=str)
+    replace_file(spark or SparkSession.active(), path, text.encode())
 
 
-def load_json(path: str, version: int | None = None) -> dict | None:
-    if not os.path.exists(path):
+def load_json(path: str, version: int | None = None, spark: SparkSession | None = None) -> dict | None:
+    """The document, null if there is none; another schema version is an error."""
+    found = read_file(spark or SparkSession.active(), path)
+    if found is None:
         return None
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+    value = json.loads(found)
     if version is not None and value.get("schema_version") != version:
         raise ValueError(f"schema version {value.get('schema_version')} instead of {version}")
     return value
@@ -194,10 +169,8 @@ def experiment_report(name: str, sections: dict[str, str], folder: str, day: str
         raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
     text = markdown(f"Experiment Report: {name}", {s: sections.get(s) or NOT_EVALUATED for s in SECTIONS})
     title, rest = text.split("\n", 1)
-    path = os.path.join(folder, f"{slug(name)}.md")
-    os.makedirs(folder, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"{title}\n\n**Date:** {day}\n{rest}")
+    path = f"{folder.rstrip('/')}/{slug(name)}.md"
+    replace_file(SparkSession.active(), path, f"{title}\n\n**Date:** {day}\n{rest}".encode())
     return path
 
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.positions import step
-from ..sources.storage import shared_dir
+from ..operators.positions import CARRIED, carried_on, resumed, step
+from ..sources.storage import new_path
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -35,48 +35,71 @@ def streaming_hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame
     return bars.select("symbol", F.col("w.start").alias("hour"), "open", "high", "low", "close", "volume")
 
 
-STATE = "n INT, position_id STRING, entry_price DOUBLE, target_pos INT, ev DOUBLE, has_before BOOLEAN"
 OUT = "symbol STRING, pos INT, action STRING, reason STRING, position_id STRING, price DOUBLE, net_return DOUBLE"
-
-
-def streaming_positions(bars: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_bps: float = 5.0) -> DataFrame:
-    """Decisions as bars (symbol, seq, close, ev_after_cost) arrive, one small state per symbol.
-
+#: The state of a symbol is the row that a daily job would carry on, without the symbol.
+STATE = ", ".join(CARRIED.split(", ")[1:])
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Positions(StatefulProcessor):
+    """Folds a symbol's bars, with its carried row as typed state; the first state may come from a table."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.carried = handle.getValueState("carried", STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.to_dict("records")[0]
+        self.carried.update(self._row(row))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        symbol = key[0]
+        names = [c.split()[0] for c in STATE.split(", ")]
+        old = dict(zip(names, self.carried.get(), strict=True)) if self.carried.exists() else None
+        held, last, pos = resumed(old, symbol)
+        out, bar = [], None
+        for bar in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+            bar |= {"pos": pos}
+            held, made = step(held, bar, last, self.options)
+            out += [m for m in made if m["action"] != "skip_entry"]
+            last, pos = bar, pos + 1
+        if bar is not None:
+            self.carried.update(self._row(carried_on(symbol, pos - 1, bar, held)))
+        columns = [c.split()[0] for c in OUT.split(", ")]
+        yield pd.DataFrame([[symbol if c == "symbol" else m.get(c) for c in columns] for m in out], columns=columns, dtype=object)
+
+    @staticmethod
+    def _row(row: dict) -> tuple:
+        kinds = {"pos": int, "state": int, "target_pos": int, "ev_after_cost": float, "entry_price": float, "has_ev": bool}
+        names = [c.split()[0] for c in STATE.split(", ")]
+        values = [None if row.get(c) is None or pd.isna(row[c]) else row[c] for c in names]
+        return tuple(v if v is None or c not in kinds else kinds[c](v) for c, v in zip(names, values, strict=True))
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_positions(bars: DataFrame, horizon: int = 5, threshold: float = 0.0, cost_bps: float = 5.0, carried: DataFrame | None = None) -> DataFrame:
+    """Decisions as bars (symbol, seq, close, ev_after_cost, and optionally date,
+    state, has_ev, drift, macro_ok) arrive, one small state per symbol.
+
+    ``carried`` are rows of a daily job or an earlier stream to go on from.
     The exit is set when a position opens, so the newest bar can open one; a
     batch's bars are taken in the order of ``seq``. (symbol, pos, action) is an
-    idempotent key for the sink. Other columns that :func:`step` knows (state,
-    drift, macro_ok) are not part of the stream.
+    idempotent key for the sink. The session needs the state store STATE_STORE.
     """
     options = {"horizon": horizon, "threshold": threshold, "cost_bps": cost_bps}
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, held, entry, target, ev, seen = state.get if state.exists else (0, None, None, None, None, False)
-        position = {"position_id": held, "symbol": key[0], "entry_price": entry, "target_pos": target} if held else None
-        before = {"ev_after_cost": ev} if seen else None
-        rows = []
-        for bar in pd.concat(list(parts)).sort_values("seq").to_dict("records"):
-            bar |= {"symbol": key[0], "pos": n, "date": None}
-            position, made = step(position, bar, before, options)
-            rows += [m for m in made if m["action"] != "skip_entry"]
-            before = bar
-            n += 1
-        last = before.get("ev_after_cost") if before else None
-        p = position or {}
-        state.update((n, p.get("position_id"), p.get("entry_price"), p.get("target_pos"), None if last is None or pd.isna(last) else float(last), before is not None))
-        if rows:
-            names = ["symbol", *[c.split()[0] for c in OUT.split(", ")[1:]]]
-            yield pd.DataFrame([[key[0] if c == "symbol" else m.get(c) for c in names] for m in rows], columns=names, dtype=object)
-
-    slim = bars.select("symbol", "seq", "close", "ev_after_cost")
-    return slim.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    slim = bars.select(*[c for c in ("symbol", "seq", "date", "close", "ev_after_cost", "state", "has_ev", "drift", "macro_ok") if c in bars.columns])
+    first = None if carried is None else carried.groupBy("symbol")
+    return slim.groupBy("symbol").transformWithStateInPandas(Positions(options), OUT, "Append", "None", first)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there and return its rows as a Parquet table."""
-    import uuid
-
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
+    base = new_path(spark, name)
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
         .outputMode("append").trigger(availableNow=True).start()
