@@ -6,7 +6,8 @@ lists of the first ``lists`` of them. Two vectors of one list are candidates by
 their permutations: shared pivots count the more, the nearer their places are,
 and the count must reach ``shared`` pivots at equal places (or the two have a
 pivot in common that is near to both); cosine in double precision then decides.
-A list is compared block against block with matrix products, and a pair is
+A list is taken block against block: shared pivots are counted first, for all
+rows at once, and cosines are taken of the candidates. A pair is
 decided in the first list that both are in, so links are counted without being
 written out; each block writes the number of links of its rows and a spanning
 forest of them.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import components, materialize, small_batches
 
@@ -37,6 +39,8 @@ SHARED = 1.5
 #: Rows of a list that are compared at once; longer lists are dealt out as pairs of blocks.
 LIST_ROWS = 4096
 TILE = 512
+#: Share of a tile's pairs from which their cosines are taken by one matrix product.
+DENSE = 0.05
 
 
 def pivot_count(n: int) -> int:
@@ -95,27 +99,50 @@ def agreement(pa: np.ndarray, pb: np.ndarray) -> np.ndarray:
     return ((pa[:, :, None] == pb[:, None, :]) * weight).sum(axis=(1, 2))
 
 
-def _list_links(a: np.ndarray, b: np.ndarray, pa: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, cosine: float, shared: float, lists: int):
-    """Index pairs (into a, into b) of unit rows that are linked and first meet in the list of ``pivot``.
+def _marked(pivots: np.ndarray, known: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """0/1 rows over the pivots ``known``: those of each row's places that are ``used``."""
+    out = np.zeros((len(pivots), len(known)), dtype=np.float32)
+    row, place = np.nonzero(used)
+    out[row, np.searchsorted(known, pivots[row, place])] = 1
+    return out
 
-    ``na`` and ``nb`` say how many of a row's pivots (nearest first) are near to it.
+
+def candidates(pa: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray, pivot: int, shared: float, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (into a, into b) whose permutations agree enough and that first meet in the list of ``pivot``.
+
+    Shared pivots are counted for all pairs at once, as products of 0/1 rows;
+    places are only looked at where the count allows. ``na`` and ``nb`` say how
+    many of a row's pivots (nearest first) are near to it.
     """
-    near = a @ b.T
-    # The matrix product rounds by block shape; close to the limit the plain sum decides.
-    i, j = np.nonzero(np.abs(near - cosine) < 1e-9)
-    near[i, j] = np.einsum("ij,ij->i", a[i], b[j])
-    i, j = np.nonzero(near >= cosine)
-    same = pa[i][:, :lists, None] == pb[j][:, None, :lists]
-    place = np.arange(same.shape[1])
-    close = same & (place < na[i][:, None])[:, :, None] & (place < nb[j][:, None])[:, None, :]
-    candidate = close.any(axis=(1, 2)) | (agreement(pa[i], pb[j]) >= shared)
+    known, place = np.unique(np.concatenate([pa.ravel(), pb.ravel()])), np.arange(pa.shape[1])
+    everything = np.ones(pa.shape, dtype=bool), np.ones(pb.shape, dtype=bool)
+    close = [(place < np.minimum(n, lists)[:, None]) for n in (na, nb)]
+    near = _marked(pa, known, close[0]) @ _marked(pb, known, close[1]).T > 0
+    count = _marked(pa, known, everything[0]) @ _marked(pb, known, everything[1]).T
+    i, j = np.nonzero(near | (count >= math.ceil(shared)))
+    keep = near[i, j]
+    far = np.flatnonzero(~keep)
+    keep[far] = agreement(pa[i[far]], pb[j[far]]) >= shared
+    i, j = i[keep], j[keep]
     # The pair belongs to the smallest pivot in whose list both are.
+    same = (pa[i][:, :lists, None] == pb[j][:, None, :lists]).any(axis=2)
     most = np.iinfo(pa.dtype).max
-    first = np.where(same.any(axis=2), pa[i][:, :lists], most).min(axis=1, initial=most)
-    keep = candidate & (first == pivot)
+    keep = np.where(same, pa[i][:, :lists], most).min(axis=1, initial=most) == pivot
     return i[keep], j[keep]
 
 
+def verified(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of unit rows whose cosine reaches ``cosine``; where most rows are candidates of one another, by one product."""
+    if len(i) > DENSE * len(a) * len(b):
+        near = (a @ b.T)[i, j]
+        # The matrix product rounds by block shape; close to the limit the plain sum decides.
+        edge = np.flatnonzero(np.abs(near - cosine) < 1e-9)
+        near[edge] = np.einsum("ij,ij->i", a[i[edge]], b[j[edge]])
+    else:
+        near = np.einsum("ij,ij->i", a[i], b[j])
+    return i[near >= cosine], j[near >= cosine]
+
+
 def _compare(cosine: float, shared: float, lists: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -162,10 +189,11 @@ def _task(pdf: pd.DataFrame, cosine: float, shared: float, lists: int) -> Iterat
             lb = right[b : b + TILE]
             if i == j and b < a:
                 continue
-            x, y = _list_links(rows[la], rows[lb], held[la], held[lb], close[la], close[lb], pivot, cosine, shared, lists)
-            x, y = la[x], lb[y]
+            x, y = candidates(held[la], held[lb], close[la], close[lb], pivot, shared, lists)
             if i == j and a == b:
                 x, y = x[x < y], y[x < y]
+            x, y = verified(rows[la], rows[lb], x, y, cosine)
+            x, y = la[x], lb[y]
             np.add.at(number, x, copies[y])
             np.add.at(number, y, copies[x])
             _join(links, label, x, y)
@@ -231,13 +259,21 @@ def near_vectors(
     n = reps.count()
     count = pivot_count(n)
     chosen = reps.withColumn("size", F.size("vector")).select("size", "vector", "same", "id")
+    near = near_cosine(cosine)
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf.sort_values("place")["vector"].tolist()
+        return pd.DataFrame({"size": int(pdf["size"].iat[0]), "vector": list(apart(order, count, near))})
+
+    # A sample by hash, and of each length at least one; kept apart in tasks, so that the driver gets the pivots alone.
+    some = chosen.orderBy("same", "vector").limit(4 * count)
+    one = chosen.groupBy("size").agg(F.min_by("vector", "same").alias("vector"), F.min("same").alias("same"))
+    some = some.select("size", "vector", "same").unionByName(one.select("size", "vector", "same"))
+    some = some.withColumn("place", F.struct("same", "vector")).withColumn("place", F.row_number().over(Window.partitionBy("size").orderBy("place")))
     pivots: dict[int, list] = {}
-    for r in chosen.orderBy("same", "vector").limit(4 * count).collect():
+    for r in some.groupBy("size").applyInPandas(kept, "size int, vector array<double>").collect():
         pivots.setdefault(r["size"], []).append(r["vector"])
-    for r in chosen.groupBy("size").agg(F.min_by("vector", "same").alias("vector")).collect():
-        pivots.setdefault(r["size"], [r["vector"]])
-    near = near_cosine(cosine)
-    unit = {s: apart(v, count, near) for s, v in pivots.items()}
+    unit = {s: np.array(v) for s, v in pivots.items()}
     sent = spark.sparkContext.broadcast(unit)
     described = reps.select("id", "vector").mapInPandas(_describe(sent, prefix, near), "id long, pivots array<int>, close int")
     # Where there are few pivots, one in common is all there can be.
