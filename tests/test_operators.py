@@ -246,7 +246,8 @@ def test_regime_tables(spark):
     assert row.select(regimes.position_size(F.lit(1e5), F.lit(0.01), F.lit(2.0), F.lit(2.0))).first()[0] == 250.0
     assert {datetime.date(2024, 3, 29), datetime.date(2000, 4, 21), datetime.date(1961, 3, 31), datetime.date(2060, 4, 16)} <= set(regimes.holidays(1960, 2060))
     days = {"2024-01-30": "FOMC_WINDOW", "2024-02-12": "CPI_WINDOW", "2024-03-15": "OPEX_WEEK", "2024-08-30": "MONTH_END", "2024-07-05": "HOLIDAY_LIQUIDITY", "2024-07-04": "NONE", "2024-06-29": "NONE"}
-    df = spark.createDataFrame([(k,) for k in days], "d string").select("d", regimes.calendar_state(F.to_date("d"), 2024, 2024).alias("c"))
+    df = spark.createDataFrame([(k,) for k in days], "d string").withColumn("day", F.to_date("d"))
+    df = regimes.with_calendar_state(df, "day", "c")
     assert {r.d: r.c for r in df.collect()} == days
     far = spark.createDataFrame([("2060-04-15",), ("1961-03-30",), (None,)], "d string").select(F.to_date("d").alias("d"))
     got = {str(r.d): r.calendar_state for r in regimes.with_calendar_state(far, "d").collect()}

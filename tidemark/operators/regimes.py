@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import EVENT_DATES, LIQUIDITY_COST_BPS
@@ -49,6 +51,7 @@ def macro_regime(index: DataFrame, vix: DataFrame | None = None, window: int = 2
 
     ``vix`` (date, vix) is taken on the index's dates, then carried forward;
     its values on other dates are lost. Without it volatility counts as calm.
+    An index has a row a date, so the calendar bounds what the one window sorts.
     """
     order = Window.orderBy("date")
     df = index
@@ -108,19 +111,29 @@ def _days(texts: list[str], *shifts: int) -> list[datetime.date]:
     return sorted({datetime.date.fromisoformat(x) + datetime.timedelta(days=s) for x in texts for s in shifts})
 
 
+def near_holidays(year: int) -> list[datetime.date]:
+    """The year's weekdays next to a holiday of that year or a neighbouring one."""
+    near = {d + datetime.timedelta(days=s) for d in holidays(year - 1, year + 1) for s in (-1, 1)}
+    return sorted(d for d in near if d.weekday() < 5 and d.year == year)
+
+
 def with_calendar_state(df: DataFrame, day: str, out: str = "calendar_state") -> DataFrame:
-    """Append each day's state; holidays are made for the years that the column holds."""
-    years = df.agg(F.min(F.year(day)), F.max(F.year(day))).first()
-    first, last = (years[0], years[1]) if years[0] is not None else (2024, 2024)
-    return df.withColumn(out, calendar_state(F.col(day), first - 1, last + 1))
+    """Append each day's state. Holidays are made for the years that the column
+    holds, in a task each, and joined: nothing is computed before the result is asked for."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_near": [d for y in pdf["y"] for d in near_holidays(int(y))]})
+
+    years = df.select(F.year(day).alias("y")).where("y IS NOT NULL").distinct()
+    marked = df.join(years.mapInPandas(near, "_near date"), F.to_date(day) == F.col("_near"), "left")
+    return marked.withColumn(out, calendar_state(F.col(day), F.col("_near").isNotNull())).drop("_near")
 
 
-def calendar_state(day: Column, first_year: int, last_year: int) -> Column:
-    """Of days in the given years, the first that applies: FOMC_WINDOW (a day around), CPI_WINDOW (the day
+def calendar_state(day: Column, next_to_holiday: Column) -> Column:
+    """The first that applies: FOMC_WINDOW (a day around), CPI_WINDOW (the day
     or the one before), OPEX_WEEK (Monday to the third Friday), MONTH_END (the
     last three weekdays), HOLIDAY_LIQUIDITY (a weekday next to a holiday), NONE."""
-    near = {d + datetime.timedelta(days=s) for d in holidays(first_year, last_year) for s in (-1, 1)}
-    near = sorted(d for d in near if d.weekday() < 5)
     friday = F.date_add(F.next_day(F.date_sub(F.trunc(day, "MM"), 1), "FRI"), 14)
     end = F.last_day(day)
     # Weekdays after a day in its month: at most two for the last three weekdays.
@@ -131,7 +144,7 @@ def calendar_state(day: Column, first_year: int, last_year: int) -> Column:
         .when(day.isin(_days(EVENT_DATES["CPI"], -1, 0)), "CPI_WINDOW")
         .when(day.between(F.date_sub(friday, 4), friday), "OPEX_WEEK")
         .when(month_end, "MONTH_END")
-        .when(day.isin(near), "HOLIDAY_LIQUIDITY")
+        .when(next_to_holiday, "HOLIDAY_LIQUIDITY")
         .otherwise("NONE")
     )
 
