@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, expectancy, forecast, indicators, markov, monitoring, paths, positions, regimes, states, statistics
+from tidemark.operators import backtest, changepoints, expectancy, forecast, indicators, markov, monitoring, paths, positions, regimes, states, statistics
 from tidemark.plans import registry
 from tidemark.sources import bars as sources
 from tidemark.sources import connectors, store
@@ -330,34 +330,75 @@ def test_hidden_regimes_take_the_best_of_converged_starts(spark, sf, monkeypatch
 def test_change_points_find_planted_ones():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, s, 120) for s in (0.005, 0.04, 0.005)]) + np.repeat([0, 0.05, 0], 120)
-    found = statistics.change_points(x)
+    found = changepoints.change_points(x)
     assert len(found) == 2 and abs(found[0] - 120) <= 5 and abs(found[1] - 240) <= 5
-    assert statistics.change_points(x[:30]) == []
+    assert changepoints.change_points(x[:30]) == []
 
 
 def test_change_points_span_the_whole_series(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(m, 0.01, n) for m, n in ((0, 300), (0.06, 310), (0, 590), (0.06, 290), (0, 20), (0.06, 490))])
-    assert statistics._median_square(x[:301]) == pytest.approx(np.median(((x[:301, None] - x[None, :301]) ** 2)[np.triu_indices(301, 1)]), rel=1e-12)
-    # The optimal segmentation from the full kernel table, nothing pruned.
-    squares = (x[:, None] - x[None, :]) ** 2
-    sums = np.zeros((len(x) + 1, len(x) + 1))
-    sums[1:, 1:] = np.exp(-squares / np.median(squares[np.triu_indices(len(x), 1)])).cumsum(axis=0).cumsum(axis=1)
-    best, last = np.full(len(x) + 1, np.inf), np.zeros(len(x) + 1, dtype=int)
-    best[0] = -3.0
-    for b in range(20, len(x) + 1):
-        a = np.arange(b - 19)
-        cost = best[a] + 3.0 + (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a)
-        best[b], last[b] = cost.min(), a[cost.argmin()]
-    want, b = [], len(x)
-    while last[b]:
-        want.insert(0, b := int(last[b]))
-    assert [300, 610, 1200, 1490, 1510] == want
+    assert changepoints.median_square(x[:301]) == pytest.approx(np.median(((x[:301, None] - x[None, :301]) ** 2)[np.triu_indices(301, 1)]), rel=1e-12)
+    want = dense_change_points(x, 20, 3.0, 5)
+    assert [300, 610, 1200, 1490, 1510] == want == changepoints.change_points(x)
     df = series(spark, [1.0] * len(x), return_1d=x.tolist())
-    got = statistics.annotate_change_points(df).where("is_changepoint").select("pos").collect()
+    got = changepoints.annotate_change_points(df).where("is_changepoint").select("pos").collect()
     assert sorted(r.pos for r in got) == want
 
 
+def dense_change_points(x, min_size, penalty, jump):
+    """The optimal segmentation from the full kernel table, nothing pruned."""
+    n, squares = len(x), (x[:, None] - x[None, :]) ** 2
+    table = np.exp(-np.clip(squares / (np.median(squares[np.triu_indices(n, 1)]) or 1.0), 1e-2, 1e2))
+    np.fill_diagonal(table, 1.0)
+    sums = np.zeros((n + 1, n + 1))
+    sums[1:, 1:] = table.cumsum(axis=0).cumsum(axis=1)
+    best, last = {0: -penalty}, {}
+    for b in [*range(jump, n, jump), n]:
+        cost = {a: v + penalty + (b - a) - (sums[b, b] - sums[a, b] - sums[b, a] + sums[a, a]) / (b - a) for a, v in best.items() if a <= b - min_size}
+        if cost:
+            last[b] = min(cost, key=cost.get)
+            best[b] = cost[last[b]]
+    found, b = [], n
+    while last[b]:
+        found.insert(0, b := last[b])
+    return found
+
+
+def uneven(rng, n, pieces):
+    cuts = np.sort(rng.integers(0, n, pieces - 1))
+    return np.concatenate([rng.normal(rng.normal(0, 0.01), rng.choice([0.004, 0.01, 0.03]), len(c)) for c in np.split(np.zeros(n), cuts)])
+
+
+@pytest.mark.parametrize("min_size,penalty,jump", [(20, 3.0, 5), (7, 0.6, 1), (3, 1.0, 5), (30, 0.2, 4)])
+def test_change_points_are_optimal(min_size, penalty, jump):
+    rng = np.random.default_rng(min_size)
+    for n in (2 * min_size, 97, 333, 600):
+        x = uneven(rng, n, 6)
+        assert changepoints.change_points(x, min_size, penalty, jump) == dense_change_points(x, min_size, penalty, jump)
+    assert changepoints.change_points(np.zeros(200), min_size, penalty, jump) == []
+    with pytest.raises(ValueError):
+        changepoints.change_points(x, 0)
+    with pytest.raises(ValueError):
+        changepoints.change_points(x, 20, 0)
+
+
+@pytest.mark.parametrize("min_size,penalty,jump,block", [(20, 3.0, 5, 60), (7, 0.6, 1, 50), (11, 0.2, 4, 200)])
+def test_change_points_by_blocks(spark, min_size, penalty, jump, block):
+    rng, want, rows = np.random.default_rng(block), set(), []
+    for name, n, pieces in (("long", 461, 7), ("even", 240, 1), ("short", 70, 2), ("tiny", 2 * min_size - 1, 1), ("flat", 150, 0)):
+        x = uneven(rng, n, pieces) if pieces else np.zeros(n)
+        want |= {(name, 2 * b) for b in (dense_change_points(x, min_size, penalty, jump) if n >= 2 * min_size else [])}
+        # Unknown values lie between the known ones.
+        rows += [(name, p, float(x[p // 2]) if p % 2 == 0 else (None, float("nan"))[p % 4 // 2]) for p in range(2 * n)]
+    df = spark.createDataFrame(rows, "symbol string, pos int, return_1d double").repartition(3)
+    got = changepoints.annotate_change_points(df, "return_1d", min_size, penalty, jump, whole=100, block=block).collect()
+    assert {(r.symbol, r.pos) for r in got if r.is_changepoint} == want and len({s for s, _ in want}) >= 1
+    assert len(got) == len(rows) // 2
+    none = changepoints.annotate_change_points(df.where("false"), whole=100, block=block)
+    assert none.count() == 0 and none.columns == ["symbol", "pos", "is_changepoint"]
+
+
 def test_paper_trading_order(spark):
     n = 12
     df = series(spark, [100.0 + i for i in range(n)], ev_after_cost=[0.01] * n, drift=[i == 1 for i in range(n)], macro_ok=[i != 2 for i in range(n)])

@@ -1,4 +1,4 @@
-"""Resampling, regimes by name and change-points."""
+"""Resampling and regimes by name."""
 
 from __future__ import annotations
 
@@ -152,77 +152,3 @@ def regime_covariances(df: DataFrame, columns: list[str], keys: tuple[str, ...]
     spread = own.groupBy(*keys).agg(*[F.var_pop(c).alias(c) for c in columns])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) if a == b else F.lit(0.0)).alias("v")) for a in columns for b in columns]
     return spread.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.a", "c.b", F.col("c.v").alias("covariance"))
-
-
-def _ranked_gap(ordered: np.ndarray, rank: int) -> float:
-    """The ``rank``-th smallest (from 1) distance between two of the sorted values, without all the pairs."""
-    at = np.arange(len(ordered))
-
-    def within(gap: float) -> int:
-        return int((np.searchsorted(ordered, ordered + gap, side="right") - at - 1).sum())
-
-    if within(0.0) >= rank:
-        return 0.0
-    low, high = 0.0, 2 * float(ordered[-1] - ordered[0])
-    while low < (middle := (low + high) / 2) < high and high - low > 1e-15 * high:
-        low, high = (low, middle) if within(middle) >= rank else (middle, high)
-    return high
-
-
-def _median_square(x: np.ndarray) -> float:
-    """Median of the squared differences of all pairs."""
-    ordered, pairs = np.sort(x), len(x) * (len(x) - 1) // 2
-    one = _ranked_gap(ordered, (pairs + 1) // 2)
-    two = one if pairs % 2 else _ranked_gap(ordered, pairs // 2 + 1)
-    return (one * one + two * two) / 2
-
-
-def change_points(x: np.ndarray, min_size: int = 20, penalty: float = 3.0) -> list[int]:
-    """Penalised optimal segmentation with a Gaussian kernel cost (width from the
-    median distance), pruned; the first positions of new segments.
-
-    The kernel's table is never held: the sums of all segments that end at a
-    position follow from those that end before it and one row of the kernel.
-    """
-    n = len(x)
-    if n < 2 * min_size:
-        return []
-    width = _median_square(x) or 1.0
-    # Kernel sums of the segments from each position to the current one.
-    inside = np.zeros(n)
-    best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.array([0])
-    best[0] = -penalty
-    for b in range(1, n + 1):
-        # Only segments from an open start, or from a later position, are asked for again.
-        first = int(open_[0]) if len(open_) else max(0, b - 1)
-        row = np.exp(-((x[first:b] - x[b - 1]) ** 2) / width)
-        inside[first:b] += 2 * row[::-1].cumsum()[::-1] - 1
-        if b < min_size:
-            continue
-        ready = open_ <= b - min_size
-        starts = open_[ready]
-        if len(starts):
-            values = best[starts] + (b - starts) - inside[starts] / (b - starts)
-            i = int(values.argmin())
-            best[b], last[b] = values[i] + penalty, starts[i]
-            open_ = np.concatenate([starts[values <= best[b]], open_[~ready]])
-        if np.isfinite(best[b]):
-            open_ = np.append(open_, b)
-    found, b = [], n
-    while last[b] > 0:
-        b = int(last[b])
-        found.append(b)
-    return found[::-1]
-
-
-def annotate_change_points(df: DataFrame, value: str = "return_1d", min_size: int = 20, penalty: float = 3.0) -> DataFrame:
-    """(symbol, pos, is_changepoint) of the known values; each symbol's series is segmented as a whole."""
-    known = df.where(F.col(value).isNotNull()).select("symbol", "pos", F.col(value).cast("double").alias("v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        flag = np.zeros(len(pdf), dtype=bool)
-        flag[change_points(pdf["v"].to_numpy(), min_size, penalty)] = True
-        return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "is_changepoint": flag})
-
-    return known.groupBy("symbol").applyInPandas(run, "symbol string, pos int, is_changepoint boolean")

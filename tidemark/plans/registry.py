@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import N_STATES, STATE_LABELS, VOL_LABELS
 from ..functions.windows import by_symbol
-from ..operators import backtest, expectancy, markov, monitoring, paths, positions, regimes, states
+from ..operators import backtest, changepoints, expectancy, markov, monitoring, paths, positions, regimes, states
 from ..operators import forecast as fc
 from ..operators import statistics as stats
 from ..operators.indicators import add_indicators
@@ -1106,7 +1106,7 @@ def _(spark, sf):
 @register("change_points")
 def _(spark, sf):
     df = add_indicators(bars(spark, sf)).select("symbol", "pos", "return_1d")
-    return paths.pause_after(stats.annotate_change_points(df), "is_changepoint", 5)
+    return paths.pause_after(changepoints.annotate_change_points(df), "is_changepoint", 5)
 
 
 # Positions and streams
