@@ -236,7 +236,10 @@ def _long_points(rows: DataFrame, sizes: DataFrame, min_size: int, penalty: floa
     for k in range(rounds // block):
         now = blocks.where(F.col("j") == k)
         if k:
-            pairs = now.select("symbol", F.col("x").alias("now"), F.lit(k).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
+            # Sums are needed from the first block that still has a start.
+            since = starts.groupBy("symbol").agg(F.min("j").alias("since"))
+            reach = F.explode(F.sequence(F.coalesce("since", F.lit(k)), F.lit(k))).alias("j")
+            pairs = now.join(since, "symbol", "left").select("symbol", F.col("x").alias("now"), F.lit(k).alias("k"), reach)
             pairs = blocks.join(pairs, ["symbol", "j"])
             t = pairs.mapInPandas(totals, "symbol string, j int, t array<double>")
             after = t.select("symbol", "j", F.posexplode("t").alias("m", "t"))
