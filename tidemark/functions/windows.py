@@ -29,5 +29,10 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of prices: infinite or NaN where b is zero, as in the SQL; null where either is null."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))

@@ -287,9 +287,9 @@ def _long_points(rows: DataFrame, sizes: DataFrame, min_size: int, penalty: floa
 
 
 def annotate_change_points(df: DataFrame, value: str = "return_1d", min_size: int = 20, penalty: float = 3.0, jump: int = 5, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
-    """(symbol, pos, is_changepoint) of the known values (no nulls, no NaN)."""
+    """(symbol, pos, is_changepoint) of the known values (no nulls, NaN or infinite ones)."""
     _check(min_size, penalty, jump)
-    known = df.select("symbol", "pos", F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    known = df.select("symbol", "pos", F.col(value).cast("double").alias("v")).where("abs(v) < double('inf')")
     known = numbered(known, ["symbol"], "pos", "i")
     sizes = known.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     known = storage.stored(known.join(sizes, "symbol"), "change-values")

@@ -236,7 +236,7 @@ def fit_hmm(x: np.ndarray, k: int = 3, starts: int = 10, rounds: int = 200, seed
 
 def _known(df: DataFrame, columns: list[str], block: int) -> DataFrame:
     """(symbol, pos, n, i, block, x): bars with all emissions, numbered, standardised by symbol."""
-    rows = numbered(df.select("symbol", "pos", *columns).dropna(subset=columns), ["symbol"], "pos", "i")
+    rows = numbered(df.select("symbol", "pos", *columns).where(" AND ".join(f"abs({c}) < double('inf')" for c in columns)), ["symbol"], "pos", "i")
     spread = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("m"), F.array(*[F.stddev_pop(c) for c in columns]).alias("s")
     )
@@ -408,7 +408,7 @@ def hidden_models(df: DataFrame, columns: list[str], k: int = 3, starts: int = 1
     row, in the units of ``columns``) and regimes (symbol, pos, regime).
 
     The best of ``starts`` Baum-Welch fits, with diagonal or ``full``
-    covariances. Bars with a null emission have no regime; a symbol with fewer
+    covariances. Bars with a null, NaN or infinite emission have no regime; a symbol with fewer
     than 2 k other bars has no model.
     """
     if covariance not in ("diag", "full") or k < 1 or starts < 1:

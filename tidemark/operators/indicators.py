@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.windows import by_symbol, guarded, ratio, trailing
+from ..functions.windows import by_symbol, guarded, quotient, ratio, trailing
 from ..sources.bars import require
 
 EMA_BLOCK = 1000
@@ -52,7 +52,7 @@ def add_indicators(bars: DataFrame) -> DataFrame:
     ).withColumn("_move", close - before)
     df = df.withColumn("_gain", F.greatest("_move", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_move"), F.lit(0.0)))
     for n in (1, 5, 10):
-        df = df.withColumn(f"return_{n}d", close / F.lag("close", n).over(w) - 1)
+        df = df.withColumn(f"return_{n}d", quotient(close, F.lag("close", n).over(w)) - 1)
     f14, f20 = trailing(14), trailing(20)
     gain, loss = F.avg("_gain").over(f14), F.avg("_loss").over(f14)
     # A window without gains is 0 even when it has no losses either.
