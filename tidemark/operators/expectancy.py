@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import COST_BPS, HORIZONS
-from ..functions.windows import by_symbol
+from ..functions.windows import by_symbol, quotient
 
 
 def forward_return(h: int, close: str = "close") -> Column:
     if h < 1:
         raise ValueError("horizon must be at least 1")
-    return F.lead(close, h).over(by_symbol()) / F.col(close) - 1
+    return quotient(F.lead(close, h).over(by_symbol()), F.col(close)) - 1
 
 
 def with_horizons(df: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
