@@ -13,7 +13,7 @@ from tidemark.functions.windows import quotient
 from tidemark.plans import registry
 
 #: Queries that follow from the volatility states.
-QUERIES = ("volatility_states", "conditioned_expectancy")
+QUERIES = ("volatility_states", "conditioned_expectancy", "volatility_bars")
 
 
 @pytest.fixture(scope="module")

@@ -1415,7 +1415,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = regimes.volatility_state(labelled(spark, sf))
-    table = rounded(expectancy.expectancy(df, ["symbol", "vol_state", "state"], (5,)), "ev_after_cost").where("n >= 10 AND NOT isnan(ev_after_cost)")
+    table = rounded(expectancy.expectancy(df, ["symbol", "vol_state", "state"], (5,)), "ev_after_cost").where("n >= 10 AND abs(ev_after_cost) < double('inf')")
     order = (F.abs("ev_after_cost").desc(), "symbol", "vol_state", "state")
     top = ranked(table.orderBy(*order).limit(10), *order)
     return top.select(F.concat("symbol", F.lit(" V"), "vol_state", F.lit(" S"), "state").alias("key"), "n", "ev_after_cost", "place")
