@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.constants import N_STATES, STATE_LABELS, VOL_LABELS
-from ..functions.windows import by_symbol
+from ..functions.windows import by_symbol, quotient
 from ..operators import backtest, changepoints, expectancy, markov, monitoring, paths, positions, regimes, states
 from ..operators import forecast as fc
 from ..operators import statistics as stats
@@ -1272,7 +1272,7 @@ def _(spark, sf):
 
 def named_regimes(spark, sf):
     """Volatility states as regimes, with the returns and volatility that name them."""
-    df = regimes.volatility_state(labelled(spark, sf)).withColumn("return_1d", F.col("close") / F.lag("close").over(by_symbol()) - 1)
+    df = regimes.volatility_state(labelled(spark, sf)).withColumn("return_1d", quotient(F.col("close"), F.lag("close").over(by_symbol())) - 1)
     df = df.where("return_1d IS NOT NULL AND realized_vol_20 IS NOT NULL").withColumnRenamed("vol_state", "regime")
     return df, stats.name_regimes(df)
 
