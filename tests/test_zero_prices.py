@@ -13,7 +13,7 @@ from tidemark.functions.windows import quotient
 from tidemark.plans import registry
 
 #: Queries that follow from the volatility states.
-QUERIES = ("volatility_states", "conditioned_expectancy", "volatility_bars", "regime_signal", "conditional_forecast", "conditional_transitions", "coverage", "coverage_by_symbol", "rare_keys")
+QUERIES = ("volatility_states", "conditioned_expectancy", "volatility_bars", "regime_signal", "conditional_forecast", "conditional_transitions", "coverage", "coverage_by_symbol", "rare_keys", "transition_coverage")
 
 
 @pytest.fixture(scope="module")
