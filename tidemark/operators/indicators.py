@@ -14,6 +14,19 @@ def sma(column: str, n: int) -> Column:
     return guarded(F.avg(column).over(trailing(n)), F.col(column), trailing(n), n)
 
 
+def compensated_sma(column: str, n: int) -> Column:
+    """:func:`sma` from a compensated sum, so that what is compared with it doesn't hang on the order in which values are added."""
+
+    def add(acc: Column, x: Column) -> Column:
+        before, total = acc["total"], acc["total"] + x
+        lost = F.when(F.abs(before) >= F.abs(x), (before - total) + x).otherwise((x - total) + before)
+        return F.struct(total.alias("total"), (acc["lost"] + lost).alias("lost"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost"))
+    total = F.aggregate(F.collect_list(column).over(trailing(n)), start, add, lambda acc: acc["total"] + acc["lost"])
+    return guarded(total / n, F.col(column), trailing(n), n)
+
+
 def zscore(column: str, n: int) -> Column:
     """Distance from the rolling mean in sample deviations; null where the deviation is zero."""
     x = ratio(F.col(column) - F.avg(column).over(trailing(n)), F.stddev_samp(column).over(trailing(n)))

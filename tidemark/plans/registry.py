@@ -11,7 +11,7 @@ from ..functions.windows import by_symbol, quotient
 from ..operators import backtest, changepoints, expectancy, markov, monitoring, paths, positions, regimes, states
 from ..operators import forecast as fc
 from ..operators import statistics as stats
-from ..operators.indicators import add_indicators
+from ..operators.indicators import add_indicators, compensated_sma
 from ..sources.bars import bars, clean_bars, hourly_bars, missing_report
 from ..sources.storage import stored
 from . import oracle as o
@@ -922,7 +922,8 @@ def records(spark, sf):
     df = regimes.volatility_state(labelled(spark, sf))
     label = states.state_names(df, out="base_state")
     vol = F.when(F.col("vol_rank").isNotNull(), F.get(F.array(*[F.lit(x) for x in VOL_LABELS.values()]), F.col("vol_state")))
-    trend = F.when(F.col("close") > F.col("sma_50"), "UP").when(F.col("close") <= F.col("sma_50"), "DOWN")
+    mean = compensated_sma("close", 50)
+    trend = F.when(F.col("close") > mean, "UP").when(F.col("close") <= mean, "DOWN")
     return label.select(
         "symbol", "pos", "base_state", vol.alias("volatility_state"), trend.alias("macro_state"),
         F.when(F.weekday("date") == 4, "FRIDAY").alias("calendar_state"), F.lit(None).cast("string").alias("liquidity_state"),
