@@ -14,7 +14,7 @@ from tidemark.operators.indicators import compensated_sma
 from tidemark.plans import registry
 
 #: Queries that compare a close with the mean of its 50.
-QUERIES = ("conditional_forecast", "coverage", "coverage_by_symbol", "rare_keys")
+QUERIES = ("conditional_forecast", "coverage", "coverage_by_symbol", "rare_keys", "transition_coverage")
 
 
 @pytest.fixture(scope="module")
